@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_rules
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -44,3 +46,15 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_model()
     decoded = decode_documents(encode_documents(documents(spark, sf_dir), model), model)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_rules import clean_by_lines
+
+    return clean_by_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars", F.sha2("clean_text", 256).alias("clean_sha256")
+    )
+
+
+ORACLE_SQL["op4_line_rules"] = line_rules.oracle()
