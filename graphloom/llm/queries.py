@@ -58,3 +58,11 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op4_line_rules"] = line_rules.oracle()
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
