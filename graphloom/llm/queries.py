@@ -66,3 +66,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .language_id import identify_languages, train_languages
+
+    docs = documents(spark, sf_dir)
+    model = train_languages(docs.where(~held_out("doc_id", 4)))
+    return identify_languages(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", F.size("span_langs").alias("n_spans"))
