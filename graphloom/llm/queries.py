@@ -76,3 +76,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_languages(docs.where(~held_out("doc_id", 4)))
     return identify_languages(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", F.size("span_langs").alias("n_spans"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .toxicity import score_toxicity, train_toxicity
+
+    docs = documents(spark, sf_dir)
+    model = train_toxicity(docs, labels(spark, sf_dir))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted", F.size("passage_starts").alias("n_passages"))
