@@ -86,3 +86,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_toxicity(docs, labels(spark, sf_dir))
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted", F.size("passage_starts").alias("n_passages"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .quality import score_quality, train_quality
+
+    docs = documents(spark, sf_dir)
+    model = train_quality(docs, labels(spark, sf_dir))
+    return score_quality(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted")
