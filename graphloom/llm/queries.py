@@ -96,3 +96,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train_quality(docs, labels(spark, sf_dir))
     return score_quality(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    found = find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
