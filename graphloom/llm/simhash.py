@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, steps, table, written
+from .common import BROADCAST_BYTES, keyed, steps, table, written
 from .components import Forest, components
 
 RADIUS = 3
@@ -181,3 +181,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select(key, "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows, with all their columns, of the document with the smallest key of each component.
+
+    Of repeated rows of one key one stays. Rows without a key can't be named by a
+    component and stay. The keys to drop are broadcast if they are few, which spares the
+    texts a shuffle; else the join shuffles both sides.
+    """
+    found = written(near_duplicates(docs, key, text, radius), "classes")
+    drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    again = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
+
+    kept = docs.join(small(written(drop, "drop")), key, "left_anti").select(*docs.columns)
+    again = written(again, "again")
+    if again.isEmpty():
+        return kept
+    again = small(again)
+    once = kept.join(again, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return kept.join(again, key, "left_anti").select(*docs.columns).union(once)
