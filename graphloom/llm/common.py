@@ -8,6 +8,7 @@ A-Z only, so both equal the definitions by regular expression and need no decodi
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -108,3 +109,47 @@ class Recent(dict):
             self.clear()
         self[key] = value
         return value
+
+
+class Files:
+    """Raw files of the tasks under a folder that all of them share.
+
+    A file gets a name of its own for each attempt and its final name only once it is
+    whole. Callers keep the names that their tasks return, so what a lost or repeated
+    attempt left behind is never read.
+    """
+
+    def __init__(self, uri: str):
+        self.uri = uri
+
+    def _at(self, name: str):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.uri)
+        return system, f"{root}/{name}"
+
+    def write(self, suffix: str, chunks: Iterable[bytes], by_content: bool = False) -> str:
+        """The new file's name; by_content, equal contents have equal names wherever they are written."""
+        name, digest = uuid.uuid4().hex, hashlib.sha256()
+        system, part = self._at(name + ".part")
+        system.create_dir(part.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(part) as out:
+            for chunk in chunks:
+                out.write(chunk)
+                if by_content:
+                    digest.update(chunk)
+        name = (digest.hexdigest()[:32] if by_content else name) + suffix
+        system.move(part, self._at(name)[1])
+        return name
+
+    def read(self, name: str) -> bytes:
+        system, path = self._at(name)
+        with system.open_input_file(path) as f:
+            return f.read()
+
+
+def new_folder(spark: SparkSession, label: str) -> Files:
+    """A folder for raw files below the shared one; it goes at the end of the program."""
+    uri = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, uri)
+    return Files(uri)

@@ -104,3 +104,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
+
+
+@query
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .common import new_folder
+    from .packing import encode_bytes, read_packed, write_packed
+    from .piece_codec import read_model
+
+    files = new_folder(spark, "packed")
+    encoded = encode_bytes(documents(spark, sf_dir), read_model(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    rows = read_packed(write_packed(encoded, files, end=50256).repartition("ids_file"), files)
+    return rows.select("shard", "row", F.sha2("ids", 256).alias("ids_sha256"), "doc_ids", "offsets", "cu_seqlens", "resets")
