@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_rules
+from . import line_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -118,3 +118,17 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_bytes(documents(spark, sf_dir), read_model(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
     rows = read_packed(write_packed(encoded, files, end=50256).repartition("ids_file"), files)
     return rows.select("shard", "row", F.sha2("ids", 256).alias("ids_sha256"), "doc_ids", "offsets", "cu_seqlens", "resets")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import new_folder
+    from .warc import merge_index, ranked, read_archives, write_archives
+
+    files = new_folder(spark, "warc")
+    runs = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), files)
+    place = ranked(merge_index(runs)).select("archive", "offset", "index_rank")
+    return read_archives(runs, files).join(place, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_rank")
+
+
+ORACLE_SQL["op9_warc"] = warc.oracle()
