@@ -132,3 +132,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_warc"] = warc.oracle()
+
+
+@query
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import held_out
+    from .ppm import score_texts, train
+
+    docs = documents(spark, sf_dir)
+    words, trie = train(docs.where(~held_out("doc_id", 7)))
+    return score_texts(docs, words, trie).select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
