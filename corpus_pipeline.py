@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import written
 from graphloom.llm.decontaminate import drop_contaminated
-from graphloom.llm.piece_codec import decode_documents, encode_documents
+from graphloom.llm.piece_codec import round_trip
 from graphloom.llm.quality import keep_good, train_quality
 from graphloom.llm.queries import labels, piece_model
 from graphloom.llm.simhash import keep_one_of_each
@@ -43,8 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and text, what the ids decode to."""
-    model = piece_model()
-    return decode_documents(encode_documents(docs, model), model)
+    return round_trip(docs, piece_model())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -63,8 +63,8 @@ class PieceCodec:
         for b, i in self.byte_ids.items():
             self.data[i] = bytes([b])
         self.data[self.unk] = " ⁇ ".encode()
-        self.segments = Recent(self._segment, 100_000)
-        self.words, self.starts = Recent(self._word, 400_000), Recent(self._segment, 100_000)
+        self.segments = Recent(self._segment, 50_000)
+        self.words, self.starts = Recent(self._word, 200_000), Recent(self._segment, 50_000)
 
     def _rank_pieces(self, ordinary: list[int], pieces: list[str]) -> None:
         """Ranks: characters first, then joined pieces from best to worst score, each with the pair that it is merged from."""
@@ -279,18 +279,41 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
 
 def decode_documents(encoded: DataFrame, model: bytes, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, ``n_tokens``, ``ids`` and ``text``, the decoded text, of every row of ids. Null ids decode to the empty text."""
-    schema = pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+    schema = _coded(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         for batch in batches:
             for part in _parts(batch):
                 packed = raw(part.column(1))
-                texts = [codec.decode_raw(np.frombuffer(x, dtype="<u4").tolist()) for x in packed]
-                yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, pa.array(texts, type=pa.binary()).cast(pa.string()))
+                yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, _decoded(codec, packed))
 
     return keyed(encoded, key, ids).mapInArrow(run, f"{key} long, n_tokens long, ids binary, text string")
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def round_trip(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text", ends: bool = True) -> DataFrame:
+    """What decode_documents gives of what encode_documents gives, in one pass: one worker and one codec a task instead of two."""
+    schema = _coded(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(model)
+        begin, end = (np.array([i], dtype="<u4").tobytes() if ends else b"" for i in (codec.bos, codec.eos))
+        for batch in batches:
+            for part in _parts(batch):
+                packed = [begin + codec.encode_raw(x.decode()) + end for x in raw(part.column(1))]
+                yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, _decoded(codec, packed))
+
+    return keyed(docs, key, text).mapInArrow(run, f"{key} long, n_tokens long, ids binary, text string")
+
+
+def _coded(key: str) -> pa.Schema:
+    return pa.schema([(key, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+
+
+def _decoded(codec: PieceCodec, packed: list[bytes]) -> pa.Array:
+    texts = [codec.decode_raw(np.frombuffer(x, dtype="<u4").tolist()) for x in packed]
+    return pa.array(texts, type=pa.binary()).cast(pa.string())
+
+
+def _parts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))

@@ -41,10 +41,9 @@ def piece_model() -> bytes:
 
 @query
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .piece_codec import decode_documents, encode_documents
+    from .piece_codec import round_trip
 
-    model = piece_model()
-    decoded = decode_documents(encode_documents(documents(spark, sf_dir), model), model)
+    decoded = round_trip(documents(spark, sf_dir), piece_model())
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

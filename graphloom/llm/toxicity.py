@@ -104,7 +104,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: Counter[bytes] = Counter()
-            features = Recent(lambda w: features_of(w) if wanted is None else features_of(w) & wanted)
+            features = Recent(lambda w: tuple(features_of(w) if wanted is None else features_of(w) & wanted), 50_000)
             for part, texts in steps(batches, text):
                 total[b""] += len(texts)
                 for x in texts:
@@ -140,7 +140,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64())), ("segments", pa.list_(pa.float64()))])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Recent(draft.word_score)
+        score = Recent(draft.word_score, 150_000)
         for part, texts in steps(batches, text):
             words = [words_of(x) for x in texts]
             found = [_segments(w, score, drift) for w in words]
@@ -175,7 +175,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Recent(shared.value.word_score)
+        score = Recent(shared.value.word_score, 150_000)
         for part, texts in steps(batches, text):
             rows = [_judged(x, shared.value, score) for x in texts]
             scores = [r[0] for r in rows]
@@ -197,7 +197,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", thresh
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Recent(shared.value.word_score)
+        score = Recent(shared.value.word_score, 150_000)
         for part, texts in steps(batches, text):
             yield part.filter(pa.array([_judged(x, shared.value, score)[0] < threshold for x in texts], type=pa.bool_()))
 

@@ -6,7 +6,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 import sentencepiece
 
-from graphloom.llm.piece_codec import PieceCodec, decode_documents, encode_documents, read_model
+from graphloom.llm.piece_codec import PieceCodec, decode_documents, encode_documents, read_model, round_trip
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -51,4 +51,5 @@ def test_tables(spark, make, odd, library):
     want = sorted((k or 0, hashlib.sha256(str(library.encode(t or "", add_bos=True, add_eos=True)).encode()).hexdigest(), library.decode(library.encode(t or ""))) for k, t in odd)
     got = sorted((r.doc_id or 0, hashlib.sha256(str([int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4)]).encode()).hexdigest(), r.text) for r in rows)
     assert got == want
+    assert sorted(map(str, round_trip(make(odd), model).collect())) == sorted(map(str, rows))
     assert encode_documents(make([]), model).count() == 0
