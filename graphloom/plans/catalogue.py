@@ -574,3 +574,155 @@ def Q4_hybrid_search(spark, d):
     vectors = table(spark, d, "embeddings")
     semantic = S.nearest(vectors, vectors.where("vec_id = 7").first()["embedding"], "vec_id", limit=20)
     return S.fuse(Q2_bm25(spark, d), semantic, 10)
+
+
+# --- similarity, clustering, taint, sources, increments
+
+
+def _signed(spark, d):
+    from ..operators.similarity import minhash, shingle_hashes
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), shingle_hashes(F.col("text")).alias("h"))
+    return docs.select("id", minhash(F.col("h")).alias("signature"))
+
+
+@query(None)
+def J34_lsh_pairs(spark, d):
+    from ..operators.similarity import similar_pairs
+    from ..sources.scratch import written
+
+    return similar_pairs(written(_signed(spark, d), "signatures"))[0]
+
+
+@query("SELECT doc_id AS id, count(*) OVER (PARTITION BY t) > 1 AS copied FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), ' +'), lambda t: length(t) > 1) AS t FROM documents)")
+def M6_equal_bodies(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(X.tokens(F.col("text")), " ").cast("binary")).alias("t"))
+    counts = docs.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    return docs.join(counts, "t").select("id", (F.col("n") > 1).alias("copied"))
+
+
+@query("WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) SELECT query, id, round(similarity, 4) AS similarity, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id))::INT AS rank FROM s WHERE similarity >= 0 QUALIFY rank <= 10")
+def J35_nearest_neighbors(spark, d):
+    from ..operators.similarity import nearest_neighbors
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return nearest_neighbors(vectors, vectors.where("id % 100 = 0")).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS p FROM embeddings), c AS (SELECT label, p, avg(x) AS m FROM v GROUP BY ALL), s AS (SELECT vec_id, sum(x * m) / sqrt(sum(x * x) * sum(m * m)) AS confidence FROM v JOIN c USING (label, p) GROUP BY vec_id) SELECT vec_id, round(confidence, 5) AS confidence FROM s")
+def A16_centroid_confidence(spark, d):
+    vectors = table(spark, d, "embeddings")
+    means = A.mean_vectors(vectors, "label").select("label", "mean")
+    return vectors.join(F.broadcast(means), "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("mean")), 5).alias("confidence"))
+
+
+@query(None)
+def C1_communities(spark, d):
+    from ..operators.clustering import communities
+
+    edges = supply_edges(spark, d)
+    nations = A.quotient(edges.where("kind = 'CALLS'"), membership(edges).union(_part_home(edges)), None)
+    return communities(nations.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"), F.col("n").alias("weight")))
+
+
+def _part_home(edges: DataFrame) -> DataFrame:
+    """Parts belong to the nation of their first supplier by id."""
+    member = edges.where("kind = 'MEMBER_OF' AND src LIKE 'Supplier:%'").select(F.col("src").alias("s"), F.col("dst").alias("group"))
+    return edges.where("kind = 'CALLS' AND src LIKE 'Supplier:%'").join(member, F.col("src") == F.col("s")).groupBy(F.col("dst").alias("id")).agg(F.min_by("group", "src").alias("group"))
+
+
+@query(
+    supply(
+        """, walk AS (SELECT src AS source, src AS node, 0 AS hops FROM (SELECT DISTINCT src FROM edges WHERE kind = 'CALLS' AND src IN ('Customer:1', 'Customer:2')) UNION SELECT w.source, e.dst, w.hops + 1 FROM walk w JOIN edges e ON e.src = w.node AND e.kind = 'CALLS' WHERE w.hops < 4 AND e.dst NOT IN (SELECT id FROM nodes WHERE kind = 'Order' AND amount < 50000)),
+        least AS (SELECT source, node, min(hops) AS hops FROM walk GROUP BY ALL) SELECT source, node AS sink, hops::INT AS hops, round(greatest(0.5, 0.9 - 0.05 * (hops - 1)), 6)::DOUBLE AS confidence FROM least JOIN nodes n ON n.id = node WHERE n.kind = 'Part' AND n.cyclomatic > 25"""
+    )
+)
+def N1_taint_paths(spark, d):
+    from ..operators.taint import taint_paths
+
+    nodes, edges = supply_nodes(spark, d), supply_edges(spark, d)
+    sources = edges.where("kind = 'CALLS' AND src IN ('Customer:1', 'Customer:2')").select(F.col("src").alias("id")).distinct()
+    found = taint_paths(edges, sources, nodes.where("kind = 'Part' AND cyclomatic > 25").select("id", F.lit("sql").alias("category")), nodes.where("kind = 'Order' AND amount < 50000").select("id"), 4)
+    return found.select("source", "sink", (F.size("path") - 1).alias("hops"), "confidence")
+
+
+@query("SELECT doc_id, len(text) AS characters, ceil(greatest(octet_length(encode(text)) - 500, 1) / 3500)::BIGINT AS chunks FROM documents WHERE octet_length(encode(text)) = length(text)")
+def F19_chunk_text(spark, d):
+    from ..functions.scanners import chunks_of
+
+    docs = table(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
+    return docs.select("doc_id", F.length("text").alias("characters"), F.size(chunks_of(F.col("text"))).cast("long").alias("chunks"))
+
+
+@query("SELECT v.id, t AS \"table\", m AS mode FROM (VALUES (1, 'ORDERS', 'Read'), (1, 'CUSTOMER', 'Read'), (2, 'AUDIT', 'Write'), (2, 'SRC', 'Read'), (3, 'PART', 'Write'), (4, 'T', 'Write'), (4, 'S', 'Read')) v(id, t, m)")
+def F3_sql_tables(spark, d):
+    from ..functions.scanners import tables_of
+
+    texts = ["SELECT * FROM shop.orders o -- FROM no\n JOIN customer c ON c.id = o.id WHERE x = 'FROM y'", "insert into audit select * from src", "UPDATE part SET a = :from", "MERGE INTO t USING s ON (t.a = s.a) WHEN MATCHED THEN UPDATE SET b = 1"]
+    rows = spark.createDataFrame(list(enumerate(texts, 1)), "id int, q string")
+    return rows.select("id", F.explode(tables_of(F.col("q"))).alias("t")).select("id", "t.table", "t.mode")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def I6_windowed_counts(spark, d):
+    from ..streaming.incremental import windowed_counts
+
+    return windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def I7_sessions(spark, d):
+    from ..streaming.incremental import sessions
+
+    return sessions(table(spark, d, "events"))
+
+
+@query("SELECT e.event_id, o.value AS value_at FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') o ON e.user_id = o.user_id AND e.ts >= o.ts")
+def I8_as_of_join(spark, d):
+    from ..streaming.incremental import as_of
+
+    events = table(spark, d, "events")
+    return as_of(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), events.where("event_type = 'purchase'"), "user_id", "ts", "value").select("event_id", "value_at")
+
+
+@query(supply("SELECT e.dst AS process, count(DISTINCT e.src) AS n FROM edges e WHERE e.kind = 'MEMBER_OF' AND e.src LIKE 'Customer:%' GROUP BY e.dst"))
+def J8_symbols_to_processes(spark, d):
+    links = L.linked(supply_edges(spark, d), supply_nodes(spark, d), "MEMBER_OF").where("src LIKE 'Customer:%'")
+    return links.groupBy(F.col("dst").alias("process")).agg(F.count_distinct("src").alias("n"))
+
+
+@query(supply("SELECT a.src AS method, b.src AS via, b.dst AS \"table\" FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'CALLS' WHERE a.kind = 'TESTS' ORDER BY ALL LIMIT 500"))
+def J6_two_step_effects(spark, d):
+    edges = supply_edges(spark, d)
+    second = edges.where("kind = 'CALLS'").select(F.col("src").alias("via"), F.col("dst").alias("table"))
+    return edges.where("kind = 'TESTS'").select(F.col("src").alias("method"), F.col("dst").alias("via")).join(second, "via").select("method", "via", "table").orderBy("method", "via", "table").limit(500)
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def S23_vector_prune(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id, line::INT AS line, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(text, '[Ll]icense') ORDER BY doc_id, line LIMIT 200")
+def S31_grep(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return lines.where(F.col("text").rlike("[Ll]icense")).orderBy("doc_id", "line").limit(200)
+
+
+@query("SELECT coalesce(a.host, b.host) AS host, a.n AS before, b.n AS after, a.n IS DISTINCT FROM b.n AS stale FROM (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, count(*) AS n FROM pages WHERE page_id % 3 = 0 GROUP BY 1) b ON a.host = b.host")
+def P22_staleness(spark, d):
+    hosts = lambda cond, name: table(spark, d, "pages").where(cond).groupBy(F.regexp_extract("url", "//([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias(name))
+    return hosts("page_id % 2 = 0", "before").join(hosts("page_id % 3 = 0", "after"), "host", "full_outer").withColumn("stale", ~F.col("before").eqNullSafe(F.col("after")))
+
+
+@query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, mode_lang AS lang FROM documents JOIN (SELECT source, lang AS mode_lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS k FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE k = 1) USING (source) GROUP BY source, mode_lang")
+def A21_feature_summary(spark, d):
+    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where("lang IS NOT NULL").groupBy("source").agg(F.min(F.struct(-F.col("n"), "lang"))["lang"].alias("mode"))
+    return counts.groupBy("source").agg(F.sum("n").alias("n"), F.count_distinct("lang").alias("langs")).join(top, "source").select("source", "n", "langs", F.col("mode").alias("lang"))
+
+
+@query("SELECT lang, round(count(*) FILTER (quality = 1) / count(*), 6) AS coverage FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def A22_coverage(spark, d):
+    joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    return joined.groupBy("lang").agg(F.round(F.sum((F.col("quality") == 1).cast("int")) / F.count(F.lit(1)), 6).alias("coverage"))
