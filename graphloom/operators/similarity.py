@@ -6,43 +6,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..functions.vectors import signature_match
 
 HASHES, BANDS, ROWS = 64, 32, 2
 _SEEDS = np.random.default_rng(0x5EED).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 
 
-def minhash(shingles: Column) -> Column:
-    """64 MinHash values (0 to 2^32 - 1) of an array of 64-bit shingle hashes; an empty array gives null. Arithmetic wraps at 64 bits."""
+def minhash(words: Column, size: int = 3) -> Column:
+    """64 MinHash values (0 to 2^32 - 1) over the runs of ``size`` tokens of an array; fewer tokens give null. Arithmetic wraps at 64 bits."""
 
     @F.pandas_udf("array<long>")
     def run(batch: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for hashes in batch:
-            yield pd.Series([_signature(np.asarray(h, dtype=np.int64)) if h is not None and len(h) else None for h in hashes], dtype=object)
+        for arrays in batch:
+            yield pd.Series([_signature(_shingles(w, size)) if w is not None and len(w) >= size else None for w in arrays], dtype=object)
 
-    return run(shingles)
+    return run(words)
 
 
-def _signature(hashes: np.ndarray) -> list[int]:
+def _shingles(words: list[str], size: int) -> np.ndarray:
+    runs = set(zip(*(words[k:] for k in range(size)), strict=False))
+    return np.array([xxhash.xxh64_intdigest("\0".join(r)) for r in runs], dtype=np.uint64)
+
+
+def _signature(values: np.ndarray) -> list[int]:
     least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    values = np.unique(hashes).view(np.uint64)
     for k in range(0, len(values), 4096):
         mixed = (values[k : k + 4096, None] ^ _SEEDS[0]) * _SEEDS[1]
         least = np.minimum(least, (mixed >> np.uint64(32)).min(axis=0))
     return least.astype(np.int64).tolist()
 
 
-def shingle_hashes(text: Column, size: int = 3) -> Column:
-    """Hashes of runs of ``size`` tokens."""
-    words = tokens(text)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
-    return F.when(F.size(words) >= size, F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, size), " ")))).otherwise(F.array().cast("array<long>"))
-
-
 def similar_pairs(signed: DataFrame, least: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Pairs of different signatures (a, b, similarity), and membership (id, class).
 

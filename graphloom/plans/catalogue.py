@@ -580,10 +580,9 @@ def Q4_hybrid_search(spark, d):
 
 
 def _signed(spark, d):
-    from ..operators.similarity import minhash, shingle_hashes
+    from ..operators.similarity import minhash
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), shingle_hashes(F.col("text")).alias("h"))
-    return docs.select("id", minhash(F.col("h")).alias("signature"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), minhash(X.tokens(F.col("text"))).alias("signature"))
 
 
 @query(None)
