@@ -87,6 +87,7 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
                 break
             yield batch.slice(first, last - first), texts
             first = last
+        pa.default_memory_pool().release_unused()
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -40,6 +40,8 @@ NODES = 1_000_000
 #: Words that are broadcast at most, and the longest of them.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 _CACHE = 1 << 20
+#: What a task holds before it passes counts on, and the bytes of text that it has as arrays at a time.
+_HELD_WORDS, _HELD_GRAMS, _STEP = 200_000, 1_000_000, 1 << 20
 END_WORD = b"\n"  # no word holds white space
 
 
@@ -159,22 +161,23 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int =
             return every[first], np.add.reduceat(n, first) if len(first) else n
 
         def word_rows() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(words), 100_000):
-                some = list(words.items())[k : k + 100_000]
-                yield table(schema, [w for w, _ in some], [None] * len(some), [n for _, n in some])
+            held, counted = list(words), list(words.values())
             words.clear()
+            for k in range(0, len(held), 50_000):
+                some = held[k : k + 50_000]
+                yield table(schema, some, pa.nulls(len(some), pa.int64()), counted[k : k + 50_000])
 
-        for _, texts in steps(batches, text, 2 << 20):
+        for _, texts in steps(batches, text, _STEP):
             texts = [x.lower() for x in texts]
             for x in texts:
                 words.update(x.split())
             words[END_WORD] += len(texts)
             pending.append(np.unique(grams_of(texts, order)[0], return_counts=True))
-            if len(words) > 500_000:
+            if len(words) > _HELD_WORDS:
                 yield from word_rows()
-            if sum(len(g) for g, _ in pending) > 2_000_000:
+            if sum(len(g) for g, _ in pending) > _HELD_GRAMS:
                 grams, counts = merged()
-            if len(grams) > 2_000_000:
+            if len(grams) > _HELD_GRAMS:
                 yield table(schema, pa.nulls(len(grams), pa.binary()), grams, counts)
                 grams, counts = grams[:0], counts[:0]
         grams, counts = merged()
@@ -232,7 +235,7 @@ def score_texts(docs: DataFrame, words: DataFrame, trie: Trie, key: str = "doc_i
 
         logs, scorer = shared.value[0], Scorer(shared.value[1])
         row = TaskContext.get().partitionId() << 40
-        for part, texts in steps(batches, text, 2 << 20):
+        for part, texts in steps(batches, text, _STEP):
             texts = [x.lower() for x in texts]
             sizes, known, sums, tails, times = [], [], [], [], []
             for x in texts:
