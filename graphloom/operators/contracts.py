@@ -84,3 +84,98 @@ def innermost(sites: DataFrame, scopes: DataFrame) -> DataFrame:
     span = F.row_number().over(Window.partitionBy("site").orderBy(F.col("last") - F.col("first"), "scope"))
     found = sites.join(scopes, "file").where("at BETWEEN first AND last")
     return found.withColumn("rank", span).where("rank = 1").select("site", "scope")
+
+
+def interceptions(edges: DataFrame) -> DataFrame:
+    """Advice on methods: method, and its (kind, advice) in order; the kind is the reason's part after aop-."""
+    kind = F.when(F.col("reason").startswith("aop-"), F.substring("reason", 5, 100)).otherwise("unknown")
+    return edges.where("kind = 'ADVISES'").groupBy(F.col("dst").alias("method")).agg(F.sort_array(F.collect_set(F.struct(kind.alias("kind"), F.col("src").alias("advice")))).alias("advice"))
+
+
+def database_effects(edges: DataFrame) -> DataFrame:
+    """What methods do to tables through their queries: method, query, table, access."""
+    runs = edges.where("kind = 'EXECUTES_QUERY'").select(F.col("src").alias("method"), F.col("dst").alias("query"))
+    access = edges.where("kind IN ('READS_TABLE', 'WRITES_TABLE')").select(F.col("src").alias("query"), F.col("dst").alias("table"), F.when(F.col("kind") == "READS_TABLE", "read").otherwise("write").alias("access"))
+    return runs.join(access, "query").select("method", "query", "table", "access").distinct()
+
+
+def members(sites: DataFrame, defs: DataFrame) -> DataFrame:
+    """Members that sites mean: of one owner and name the same arity, else any overload, else a field. sites: site, owner, name, arity; defs: id, owner, name, arity, kind."""
+    d = defs.select("id", F.col("owner").alias("d_owner"), F.col("name").alias("d_name"), F.col("arity").alias("d_arity"), "kind")
+    found = sites.join(d, (F.col("owner") == F.col("d_owner")) & (F.col("name") == F.col("d_name")))
+    tier = F.when(F.col("kind") == "Field", 2).when(F.col("arity").eqNullSafe(F.col("d_arity")), 0).otherwise(1)
+    rank = F.row_number().over(Window.partitionBy("site").orderBy(tier, "id"))
+    return found.withColumn("rank", rank).where("rank = 1").select("site", "id")
+
+
+def inherited_members(sites: DataFrame, defs: DataFrame, closure: DataFrame) -> DataFrame:
+    """Like members, over the owner and all its ancestors, nearest first. closure: child, ancestor, distance."""
+    own = sites.select("site", "owner", "name", "arity", F.lit(0).alias("distance"))
+    up = sites.join(closure, F.col("owner") == F.col("child")).select("site", F.col("ancestor").alias("owner"), "name", "arity", "distance")
+    d = defs.select("id", F.col("owner").alias("d_owner"), F.col("name").alias("d_name"), F.col("arity").alias("d_arity"))
+    found = own.union(up).join(d, (F.col("owner") == F.col("d_owner")) & (F.col("name") == F.col("d_name")))
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("distance", F.when(F.col("arity").eqNullSafe(F.col("d_arity")), 0).otherwise(1), "id"))
+    return found.withColumn("rank", rank).where("rank = 1").select("site", "id", "distance")
+
+
+def injected(points: DataFrame, beans: DataFrame) -> DataFrame:
+    """Implementations behind injection points: by qualifier .95, the only bean .90, the only implementation .75; never the point's own type.
+
+    points: point, type, qualifier, own; beans: impl, type, qualifier, is_bean.
+    """
+    pairs = points.select("point", F.col("type").alias("t"), F.col("qualifier").alias("q"), "own").join(beans, F.col("t") == F.col("type")).where("impl <> own")
+    sole = lambda df: unique_by(df.select("point", "impl"), ["point"], "impl")
+    tiers = [(pairs.where("q = qualifier"), 0.95), (pairs.where("is_bean"), 0.90), (pairs, 0.75)]
+    return best_tier([sole(df).withColumn("confidence", F.lit(c)) for df, c in tiers], ["point"], ["impl"]).select("point", "impl", "confidence")
+
+
+def overrides(methods: DataFrame, closure: DataFrame, kinds: DataFrame) -> DataFrame:
+    """METHOD_OVERRIDES to the nearest class ancestor with the same signature, METHOD_IMPLEMENTS to every interface with it. methods: id, owner, signature; closure: child, ancestor, distance; kinds: type, kind."""
+    base = methods.select(F.col("id").alias("dst"), F.col("owner").alias("ancestor"), "signature")
+    found = methods.join(closure, F.col("owner") == F.col("child")).join(base, ["ancestor", "signature"]).join(kinds.select(F.col("type").alias("ancestor"), "kind"), "ancestor")
+    nearest = F.row_number().over(Window.partitionBy("id").orderBy("distance", "dst"))
+    over = found.where("kind = 'Class'").withColumn("rank", nearest).where("rank = 1").select(F.col("id").alias("src"), "dst", F.lit("METHOD_OVERRIDES").alias("kind"))
+    return over.unionByName(found.where("kind = 'Interface'").select(F.col("id").alias("src"), "dst", F.lit("METHOD_IMPLEMENTS").alias("kind")).distinct())
+
+
+def entity_tables(types: DataFrame) -> DataFrame:
+    """Tables of entity classes: the declared name, else the class name in snake case. types: id, name, stereotype, table_name."""
+    from ..functions.text import camel_to_snake
+
+    return types.where("stereotype = 'entity'").select("id", F.upper(F.coalesce("table_name", camel_to_snake(F.col("name")))).alias("table"))
+
+
+def feature_overrides(assigned: DataFrame, pinned: DataFrame) -> DataFrame:
+    """Pinned rows (id, feature) instead of what was assigned to their ids."""
+    return assigned.join(pinned.select("id"), "id", "left_anti").unionByName(pinned)
+
+
+def hybrid_features(strategies: Sequence[DataFrame], catch_all: str = "shared") -> DataFrame:
+    """One feature an id from ordered strategies (id, feature, confidence): a later one that isn't the catch-all wins, of catch-alls the most confident."""
+    rows = reduce(DataFrame.unionByName, [s.withColumn("step", F.lit(k)) for k, s in enumerate(strategies)])
+    named = F.col("feature") != catch_all
+    order = F.struct(named.alias("named"), F.when(named, F.col("step")).otherwise(0).alias("late"), "confidence", "feature")
+    return rows.groupBy("id").agg(F.max(order).alias("m")).select("id", "m.feature", "m.confidence")
+
+
+def cross_repository_trace(edges: DataFrame, links: DataFrame, repo: str, node: str, depth: int = 6, hops: int = 3, most: int = 200) -> DataFrame:
+    """Steps over repositories: repo, id, depth, hops. edges: repo, src, dst; links (consumer to provider): consumer_repo, consumer_id, provider_repo, provider_id.
+
+    A link costs a hop; of several ways to a node the one with the least depth, then the
+    fewest hops, counts. At most ``most`` nodes are returned, nearest first.
+    """
+    from ..sources.scratch import written
+
+    inner = edges.select("repo", "src", F.col("repo").alias("to_repo"), "dst", F.lit(0).alias("hop"))
+    outer = links.select(F.col("consumer_repo").alias("repo"), F.col("consumer_id").alias("src"), F.col("provider_repo").alias("to_repo"), F.col("provider_id").alias("dst"), F.lit(1).alias("hop"))
+    steps = inner.union(outer)
+    seen = written(edges.sparkSession.createDataFrame([(repo, node, 0, 0)], "repo string, id string, depth int, hops int"), "trace")
+    front = seen
+    for d in range(1, depth + 1):
+        step = front.join(steps.withColumnRenamed("src", "id"), ["repo", "id"]).where(F.col("hops") + F.col("hop") <= hops).select(F.col("to_repo").alias("repo"), F.col("dst").alias("id"), (F.col("hops") + F.col("hop")).alias("hops"))
+        fresh = step.groupBy("repo", "id").agg(F.min("hops").alias("hops")).join(seen.select("repo", "id"), ["repo", "id"], "left_anti")
+        front = written(fresh.select("repo", "id", F.lit(d).alias("depth"), "hops"), "trace")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.orderBy("depth", "repo", "id").limit(most)

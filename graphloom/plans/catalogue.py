@@ -690,12 +690,6 @@ def J8_symbols_to_processes(spark, d):
     return links.groupBy(F.col("dst").alias("process")).agg(F.count_distinct("src").alias("n"))
 
 
-@query(supply("SELECT a.src AS method, b.src AS via, b.dst AS \"table\" FROM edges a JOIN edges b ON b.src = a.dst AND b.kind = 'CALLS' WHERE a.kind = 'TESTS' ORDER BY ALL LIMIT 500"))
-def J6_two_step_effects(spark, d):
-    edges = supply_edges(spark, d)
-    second = edges.where("kind = 'CALLS'").select(F.col("src").alias("via"), F.col("dst").alias("table"))
-    return edges.where("kind = 'TESTS'").select(F.col("src").alias("method"), F.col("dst").alias("via")).join(second, "via").select("method", "via", "table").orderBy("method", "via", "table").limit(500)
-
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def S23_vector_prune(spark, d):
@@ -725,3 +719,130 @@ def A21_feature_summary(spark, d):
 def A22_coverage(spark, d):
     joined = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
     return joined.groupBy("lang").agg(F.round(F.sum((F.col("quality") == 1).cast("int")) / F.count(F.lit(1)), 6).alias("coverage"))
+
+
+# --- more of joins, sets and scalars
+
+
+@query("SELECT 'm' || l_orderkey AS method, 'q' || l_partkey AS query, 't' || l_suppkey AS \"table\", CASE WHEN l_returnflag = 'R' THEN 'read' ELSE 'write' END AS access FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL")
+def J6_database_effects(spark, d):
+    line = table(spark, d, "lineitem").where("l_linenumber = 1")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    query_id = F.concat(key("q", "l_partkey"), F.lit("/"), F.col("l_orderkey"), F.lit("/"), F.col("l_suppkey"), F.lit("/"), F.col("l_returnflag"))
+    runs = line.select(key("m", "l_orderkey").alias("src"), query_id.alias("dst"), F.lit("EXECUTES_QUERY").alias("kind"))
+    touches = line.select(query_id.alias("src"), key("t", "l_suppkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "READS_TABLE").otherwise("WRITES_TABLE").alias("kind"))
+    return C.database_effects(runs.union(touches)).withColumn("query", F.substring_index("query", "/", 1)).distinct()
+
+
+@query("SELECT dst AS method, array_to_string(list_sort(list(DISTINCT k || ' ' || src)), ',') AS advice FROM (SELECT 'a' || l_suppkey AS src, 'm' || l_partkey AS dst, CASE l_returnflag WHEN 'A' THEN 'around' WHEN 'N' THEN 'before' ELSE 'unknown' END AS k FROM lineitem WHERE l_linenumber = 2) GROUP BY dst")
+def J5_interceptions(spark, d):
+    line = table(spark, d, "lineitem").where("l_linenumber = 2")
+    reason = F.when(F.col("l_returnflag") == "A", "aop-around").when(F.col("l_returnflag") == "N", "aop-before").otherwise("other")
+    edges = line.select(F.concat(F.lit("a"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("ADVISES").alias("kind"), reason.alias("reason"))
+    return C.interceptions(edges).select("method", F.array_join(F.array_sort(F.transform("advice", lambda a: F.concat_ws(" ", a["kind"], a["advice"]))), ",").alias("advice"))
+
+
+@query("SELECT site, id FROM (SELECT o.o_orderkey AS site, p.p_partkey AS id, row_number() OVER (PARTITION BY o.o_orderkey ORDER BY CASE WHEN p.p_size % 10 = 0 THEN 2 WHEN o.o_orderkey % 5 = p.p_size % 5 THEN 0 ELSE 1 END, p.p_partkey) AS k FROM orders o JOIN part p ON p.p_brand = 'Brand#' || (1 + o.o_custkey % 25) AND p.p_type = CASE o.o_orderstatus WHEN 'F' THEN 'ECONOMY' ELSE 'STANDARD' END) WHERE k = 1")
+def J23_member_lookup(spark, d):
+    sites = table(spark, d, "orders").select(F.col("o_orderkey").alias("site"), F.concat(F.lit("Brand#"), 1 + F.col("o_custkey") % 25).alias("owner"), F.when(F.col("o_orderstatus") == "F", "ECONOMY").otherwise("STANDARD").alias("name"), (F.col("o_orderkey") % 5).alias("arity"))
+    defs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("name"), (F.col("p_size") % 5).cast("long").alias("arity"), F.when(F.col("p_size") % 10 == 0, "Field").otherwise("Method").alias("kind"))
+    return C.members(sites, defs)
+
+
+@query("SELECT p_partkey AS id, upper(CASE WHEN p_size % 2 = 0 THEN p_type ELSE lower(regexp_replace(replace(p_brand || 'Of', '#', ''), '(.)([A-Z])', '\\1_\\2', 'g')) END) AS \"table\" FROM part WHERE p_size % 3 = 0")
+def J20_entity_tables(spark, d):
+    types = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.concat("p_brand", F.lit("Of")), "#", "").alias("name"), F.when(F.col("p_size") % 3 == 0, "entity").alias("stereotype"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("table_name"))
+    return C.entity_tables(types)
+
+
+@query("SELECT c_custkey AS point, CASE WHEN q.n = 1 THEN q.s ELSE b.s END AS impl, CASE WHEN q.n = 1 THEN 0.95 ELSE 0.75 END AS confidence FROM customer c LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n, min(s_suppkey) AS s FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) q ON q.k = c_nationkey LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1) b ON b.k = c_nationkey WHERE q.n = 1 OR b.n = 1")
+def J29_injection(spark, d):
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("point"), F.col("c_nationkey").alias("type"), F.lit("rich").alias("qualifier"), F.lit(-1).cast("long").alias("own"))
+    beans = table(spark, d, "supplier").select(F.col("s_suppkey").alias("impl"), F.col("s_nationkey").alias("type"), F.when(F.col("s_acctbal") > 5000, "rich").alias("qualifier"), F.lit(False).alias("is_bean"))
+    return C.injected(points, beans)
+
+
+@query("SELECT o_custkey AS id, coalesce('pin' || c_custkey, 'orders') AS feature FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) ON c_custkey = o_custkey UNION SELECT c_custkey, 'pin' || c_custkey FROM customer WHERE c_custkey % 10 = 0")
+def O7_override_apply(spark, d):
+    assigned = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("orders").alias("feature")).distinct()
+    pinned = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("pin"), F.col("c_custkey")).alias("feature"))
+    return C.feature_overrides(assigned, pinned)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'late' WHEN p_size % 2 = 0 THEN 'early' ELSE 'shared' END AS feature FROM part")
+def O8_hybrid_merge(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    early = part.select("id", F.when(F.col("p_size") % 2 == 0, "early").otherwise("shared").alias("feature"), F.lit(0.9).alias("confidence"))
+    late = part.select("id", F.when(F.col("p_size") % 3 == 0, "late").otherwise("shared").alias("feature"), F.lit(0.4).alias("confidence"))
+    return C.hybrid_features([early, late]).select("id", "feature")
+
+
+@query("SELECT DISTINCT p_brand, p_type FROM part")
+def O10_contract_dedup(spark, d):
+    return table(spark, d, "part").select("p_brand", "p_type").distinct()
+
+
+@query("SELECT o_custkey AS id, o_orderkey AS hit FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def O9_hit_dedup(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("hit"), (-F.col("o_totalprice")).alias("minus"))
+    return A.first_nodes(rows, ["minus", "hit"]).select("id", "hit")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS repo, 'c' || c_custkey AS src, 'o' || o_orderkey AS dst FROM customer JOIN orders ON o_custkey = c_custkey), l AS (SELECT c_nationkey AS cr, 'o' || o_orderkey AS ci, s_nationkey AS pr, 's' || s_suppkey AS pi FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_orderkey % 10 WHERE s_nationkey <> c_nationkey),
+    w AS (SELECT c_nationkey AS repo, 'c1' AS id, 0 AS depth, 0 AS hops FROM customer WHERE c_custkey = 1 UNION SELECT x.repo, x.id, w.depth + 1, w.hops + x.hop FROM w JOIN (SELECT repo AS from_repo, src, repo, dst AS id, 0 AS hop FROM e UNION ALL SELECT cr, ci, pr, pi, 1 FROM l) x ON x.from_repo = w.repo AND x.src = w.id WHERE w.depth < 4 AND w.hops + x.hop <= 2)
+    SELECT repo::VARCHAR AS repo, id, min(depth)::INT AS depth, min(hops)::INT AS hops FROM w GROUP BY ALL ORDER BY depth, repo, id LIMIT 200"""
+)
+def G10_cross_repository_trace(spark, d):
+    customer, orders, supplier = (table(spark, d, t) for t in ("customer", "orders", "supplier"))
+    own = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    repo, order = F.col("c_nationkey").cast("string"), F.concat(F.lit("o"), F.col("o_orderkey"))
+    edges = own.select(repo.alias("repo"), F.concat(F.lit("c"), "c_custkey").alias("src"), order.alias("dst")).distinct()
+    links = own.join(supplier, F.col("s_suppkey") == F.col("o_orderkey") % 10).where("s_nationkey <> c_nationkey").select(repo.alias("consumer_repo"), order.alias("consumer_id"), F.col("s_nationkey").cast("string").alias("provider_repo"), F.concat(F.lit("s"), "s_suppkey").alias("provider_id"))
+    start = customer.where("c_custkey = 1").select(repo.alias("r")).first().r
+    return C.cross_repository_trace(edges, links, start, "c1", 4, 2)
+
+
+@query("SELECT page_id, CASE WHEN contains(id, '#') THEN split_part(regexp_replace(id, '^[^:]*:', ''), '#', 1) END AS owner, regexp_replace(regexp_extract(host, '[^.]*$'), '[<\\[(].*$', '') AS simple FROM (SELECT page_id, 'Method:' || regexp_extract(url, '//([^/]+)', 1) || CASE WHEN page_id % 2 = 0 THEN '#m/0' ELSE '' END AS id, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages)")
+def F10_id_dissection(spark, d):
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    ident = F.concat(F.lit("Method:"), host, F.when(F.col("page_id") % 2 == 0, "#m/0").otherwise(""))
+    return table(spark, d, "pages").select("page_id", X.owner(ident).alias("owner"), X.simple_name(host).alias("simple"))
+
+
+@query("SELECT q, regexp_matches(upper(ltrim(q)), '^(SELECT|INSERT|UPDATE|DELETE|MERGE|CALL|WITH)([^A-Za-z0-9_]|$)') AS is_sql, nullif(regexp_extract(upper(ltrim(q)), '^(SELECT|INSERT|UPDATE|DELETE|MERGE|CALL|WITH)([^A-Za-z0-9_]|$)', 1), '') AS op FROM (VALUES ('  select 1'), ('Selection of'), ('with x as (select 1)'), ('update t'), ('hello'), ('DELETE'), ('merge_all')) v(q)")
+def F4_sql_operation(spark, d):
+    rows = spark.createDataFrame([(q,) for q in ("  select 1", "Selection of", "with x as (select 1)", "update t", "hello", "DELETE", "merge_all")], "q string")
+    return rows.select("q", X.looks_like_sql(F.col("q")).alias("is_sql"), X.sql_operation(F.col("q")).alias("op"))
+
+
+@query("SELECT doc_id, sha256(text) AS version FROM documents")
+def M8_content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("version"))
+
+
+@query("SELECT term, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT lang AS term, count(*) AS df, (SELECT count(*) FROM documents) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)")
+def M1_idf(spark, d):
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    return docs.where("lang IS NOT NULL").groupBy(F.col("lang").alias("term")).agg(F.count(F.lit(1)).alias("df")).select("term", F.round(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def M13_rfc3339(spark, d):
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY turn), '->') AS path FROM conversations GROUP BY conv_id")
+def K7_path_encode(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: x["role"]), "->").alias("path"))
+
+
+@query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) > 1 AS crosses FROM conversations GROUP BY conv_id")
+def G14_cross_community(spark, d):
+    rows = table(spark, d, "conversations")
+    kinds = rows.select(F.col("conv_id").alias("path_id"), F.col("role").alias("id"))
+    groups = rows.select(F.col("role").alias("id"), F.col("role").alias("group")).distinct()
+    turns = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    return A.transitions_between(kinds.distinct(), groups).join(turns, F.col("path_id") == F.col("conv_id")).select("conv_id", "turns", "crosses")
