@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
         shared_dir.own = named
-    return named.rstrip("/")
+    return re.sub("^file:/+", "file:///", named.rstrip("/"))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

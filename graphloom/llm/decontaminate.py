@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -198,7 +199,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
     Words count from 0 in the normal text; the last one is past the match. Null and empty
     texts hold no item. Null items, and items under ``least`` bytes, are never found;
-    items with equal texts are all reported. Without items every list is empty.
+    items with equal texts are all reported. Without items every list is empty. If the
+    items need several passes, rows of one key share what is found in any of them.
     """
     names = ("item_ids", "edits", "first_words", "last_words")
     schema = pa.schema([(key, pa.int64()), *((n, pa.list_(pa.int64())) for n in names)])
@@ -221,12 +223,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         return plain.select(key, *(F.array().cast("array<long>").alias(n) for n in names))
     if len(parts) == 1:
         return parts[0]
-    # Every pass gives the same rows; a row's number within its key pairs them up again.
-    from functools import reduce
-
-    both = reduce(DataFrame.union, [p.select(F.lit(n).alias("pass"), "*") for n, p in enumerate(parts)])
-    hits = both.where(F.size("item_ids") > 0).groupBy(key).agg(*(F.array_distinct(F.flatten(F.collect_list(n))).alias(n) if n == "item_ids" else F.flatten(F.collect_list(n)).alias(n) for n in names))
-    return plain.select(key).join(hits, key, "left").select(key, *(F.coalesce(n, F.array().cast("array<long>")).alias(n) for n in names))
+    # Rows of one key share their items here: each pass found those of its own block.
+    zipped = [p.select(key, F.arrays_zip(*names).alias("m")).where(F.size("m") > 0) for p in parts]
+    hits = reduce(DataFrame.union, zipped).groupBy(F.col(key).alias("k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))).alias("m"))
+    joined = plain.select(key).join(hits, F.col(key).eqNullSafe(F.col("k")), "left")
+    return joined.select(key, *(F.coalesce(F.col(f"m.{n}"), F.array().cast("array<long>")).alias(n) for n in names))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

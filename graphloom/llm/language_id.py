@@ -208,7 +208,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         k = len(model.languages)
-        for part, texts in steps(batches, text, 2 << 20):
+        for part, texts in steps(batches, text, max(1 << 16, (8 << 20) // max(4, k))):
             letters = [bool(x.translate(None, _NOT_ASCII_LETTERS)) or not x.isascii() and any(map(str.isalpha, x.decode())) for x in texts]
             texts = [x if k and y else b"" for x, y in zip(texts, letters, strict=True)]
             scores, sizes, counts = word_scores(texts, model)
