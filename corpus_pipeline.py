@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import written
 from graphloom.llm.decontaminate import drop_contaminated
+from graphloom.llm.near_copies import keep_one_near_copy
 from graphloom.llm.piece_codec import round_trip
 from graphloom.llm.quality import keep_good, train_quality
 from graphloom.llm.queries import labels, piece_model
-from graphloom.llm.simhash import keep_one_of_each
 from graphloom.llm.toxicity import drop_toxic, train_toxicity
 
 
@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return keep_one_of_each(docs)
+    """Of each group of near-duplicates (runs of five words, similarity 0.8 or more) the document with the smallest id stays."""
+    return keep_one_near_copy(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

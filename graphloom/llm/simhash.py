@@ -184,13 +184,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows, with all their columns, of the document with the smallest key of each component.
+    """The rows, with all their columns, of the document with the smallest key of each component; see ``keep_first``."""
+    return keep_first(docs, near_duplicates(docs, key, text, radius), key)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns, of the documents that name their component (``key`` and component_id in ``found``).
 
     Of repeated rows of one key one stays. Rows without a key can't be named by a
     component and stay. The keys to drop are broadcast if they are few, which spares the
     texts a shuffle; else the join shuffles both sides.
     """
-    found = written(near_duplicates(docs, key, text, radius), "classes")
+    found = written(found, "classes")
     drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     again = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
 
