@@ -154,9 +154,11 @@ class Finder:
         place = np.repeat(self.first[piece] - np.cumsum(many) + many, many) + np.arange(many.sum())
         group = self.of_group[place]
         anchor = np.repeat(end + 1 - self.sizes[piece], many) - self.of_offset[place]
-        group, anchor = np.unique(np.stack((group, anchor)), axis=1)
+        # An item that lost bytes at a text's very start has its anchor in the gap before: the text is that of the piece.
+        own = np.repeat(begins.searchsorted(end, side="right") - 1, many)
+        group, anchor, own = np.unique(np.stack((group, anchor, own)), axis=1)
         held = np.concatenate([self._groups_hold(data, group[k : k + 20_000], anchor[k : k + 20_000]) for k in range(0, len(group), 20_000)])
-        spots = sorted({(int(begins.searchsorted(a, side="right")) - 1, self.groups[g].item, int(a) - self.groups[g].offset) for g, a in zip(group[held].tolist(), anchor[held].tolist(), strict=True)})
+        spots = sorted({(t, self.groups[g].item, a - self.groups[g].offset) for g, a, t in zip(group[held].tolist(), anchor[held].tolist(), own[held].tolist(), strict=True)})
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         k = 0
         while k < len(spots):
@@ -166,7 +168,6 @@ class Finder:
             while k < len(spots) and spots[k][:2] == (text, item) and spots[k][2] <= high + len(pattern):
                 high = spots[k][2]
                 k += 1
-            text = min(max(text, 0), len(texts) - 1)
             begin = int(begins[text])
             low, high = max(begin, low - budget), min(begin + len(texts[text]), high + len(pattern) + budget)
             window = joined[low:high]

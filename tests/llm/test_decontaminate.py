@@ -59,3 +59,14 @@ def test_tables(spark, make, odd):
     none = bench.where("item_id > 90")
     assert find_items(docs, none).where("size(item_ids) > 0").count() == 0 and drop_contaminated(docs, none).count() == docs.count()
     assert find_items(make([]), bench).count() == 0
+
+
+def test_edited_items_at_the_start_of_later_texts():
+    rng = random.Random(4)
+    every = [(i, p[: rng.randint(40, 64)].strip()) for i, p in items(rng, 40) if len(p) > 64]
+    texts = [p[rng.randint(1, int(0.1 * len(p))) :] + b" and so on" for _, p in every]
+    want = [[(i, d) for i, p in every if (d := brute_distance(p, text)) <= int(0.1 * len(p))] for text in texts]
+    assert all(want)
+    for n in (1, len(texts)):  # each alone, and all in one step
+        got = [x for k in range(0, len(texts), n) for x in Finder(every).find(texts[k : k + n])]
+        assert [[(i, e) for i, e, *_ in own] for own in got] == want
