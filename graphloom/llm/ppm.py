@@ -10,7 +10,9 @@ reduced totals are computed once. Below the empty context all other symbols are
 
 Codes are found for a whole step of texts at a time: a symbol's code length depends on
 the (ORDER + 1)-gram that ends there, which is looked up in a direct-mapped cache of the
-task; only grams that it doesn't hold walk the trie, all at once.
+task; only grams that it doesn't hold walk the trie, all at once. A trie of many grams is cut
+into blocks by the last two symbols of the context; a task then takes the distinct grams of
+a larger step of texts through one block after the other.
 
 Word counts stand beside the trie for the baseline by unigrams. The most frequent words
 are broadcast, in bounded number and length; the other words of a text are joined with
@@ -20,6 +22,7 @@ the counts by Spark.
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, table, written
+from .common import Files, new_folder, steps, table, written
 
 ORDER = 5
 #: Bits of a symbol: bytes 0 to 255, the end of a text, the start of a text (in contexts only).
 BITS, END, START = 9, 256, 257
 SYMBOLS = 257
-#: Grams that the trie holds of each order at most; beyond it the rarest are pruned.
-NODES = 1_000_000
+#: Grams of the highest order in one block of the trie; more of them make more blocks.
+BLOCK_GRAMS = 1_500_000
+#: Bytes of text that a task scores with one block after the other.
+_BLOCK_STEP = 16 << 20
 #: Words that are broadcast at most, and the longest of them.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 _CACHE = 1 << 20
@@ -138,11 +143,87 @@ class Scorer:
         return np.add.reduceat(value, np.cumsum(sizes) - sizes)
 
 
-def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int = NODES) -> tuple[DataFrame, Trie]:
+@dataclass(frozen=True)
+class Blocks:
+    """A trie in blocks by the last two symbols of the context; a block holds all that its grams need, shorter contexts included."""
+
+    files: Files
+    names: tuple[str, ...]
+    #: The first pair of symbols of each block.
+    starts: np.ndarray
+    order: int
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 of each text's probability, its end included; one block is in memory at a time."""
+        parts, size = [[]], 0
+        for x in texts:
+            if size + len(x) > _STEP and parts[-1]:
+                parts.append([])
+                size = 0
+            parts[-1].append(x)
+            size += len(x)
+        codes = np.unique(np.concatenate([np.unique(grams_of(p, self.order)[0]) for p in parts]))
+        values, block = np.zeros(len(codes)), np.searchsorted(self.starts, _pair(codes), side="right") - 1
+        for b in np.unique(block).tolist():
+            own = np.flatnonzero(block == b)
+            trie = pickle.loads(self.files.read(self.names[b]))
+            for k in range(0, len(own), _CACHE):
+                values[own[k : k + _CACHE]] = trie.logs(codes[own[k : k + _CACHE]])
+            del trie
+        out = []
+        for p in parts:
+            code, sizes = grams_of(p, self.order)
+            out.append(np.add.reduceat(values[np.searchsorted(codes, code)], np.cumsum(sizes) - sizes))
+        return np.concatenate(out)
+
+
+def _pair(gram):
+    """The last two symbols of a gram's context."""
+    return gram >> BITS & ((1 << 2 * BITS) - 1)
+
+
+def _shorter(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and counts of an order, from those of a higher one."""
+    own, back = np.unique(grams & ((1 << BITS * (order + 1)) - 1), return_inverse=True)
+    out = np.zeros(len(own), dtype=np.int64)
+    np.add.at(out, back, counts)
+    return own, out
+
+
+def _whole(top: DataFrame, order: int, block_grams: int) -> Trie | Blocks:
+    """The trie with every gram: one of up to ``block_grams`` grams, else blocks in the shared folder."""
+    def tables(rows: DataFrame, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = rows.toArrow()
+        out = [(found["gram"].to_numpy(), found["n"].to_numpy())]
+        for j in range(order - 1, least - 1, -1):
+            out.append(_shorter(*out[-1], j))
+        return out[::-1]
+
+    if order < 2 or top.count() <= block_grams:
+        return Trie.of(tables(top, 0))
+    pair = F.shiftright("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)
+    starts, size = [0], 0
+    for key, n in sorted(top.groupBy(pair.alias("pair")).count().collect()):  # a row for each pair of symbols at most
+        if size and size + n > block_grams:
+            starts.append(key)
+            size = 0
+        size += n
+    short = top.groupBy(F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    one = (short["gram"].to_numpy(), short["n"].to_numpy())
+    files = new_folder(top.sparkSession, "trie")
+    names = []
+    for low, high in zip(starts, [*starts[1:], 1 << 2 * BITS], strict=True):
+        block = Trie.of([_shorter(*one, 0), one, *tables(top.where((pair >= low) & (pair < high)), 2)])
+        names.append(files.write(".trie", [pickle.dumps(block, protocol=5)]))
+    return Blocks(files, tuple(names), np.array(starts, dtype=np.int64), order)
+
+
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int | None = None, block_grams: int | None = None) -> tuple[DataFrame, Trie | Blocks]:
     """Counts of words (word, n) and the trie, from every whole text of ``docs``, in one pass.
 
-    Texts are in lower case (A-Z). Each text ends with an end symbol and an end word. An
-    order with more than ``nodes`` grams keeps those above the least sufficient count.
+    Texts are in lower case (A-Z). Each text ends with an end symbol and an end word. The
+    trie holds every gram, in blocks beyond ``block_grams``. Only if ``nodes`` is given, an
+    order with more grams than that keeps those above the least sufficient count.
     """
     schema = pa.schema([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -187,6 +268,9 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int =
     counted = docs.select(text).mapInArrow(count, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
     counted = written(counted, "counts")
     top = counted.where("word IS NULL AND gram IS NOT NULL").select("gram", "n")
+    counted_words = counted.where("word IS NOT NULL").select("word", "n")
+    if nodes is None:
+        return counted_words, _whole(top, order, block_grams or BLOCK_GRAMS)
     tables, least = [], 0
     for j in range(order, -1, -1):
         own = top if j == order else top.groupBy(F.col("gram").bitwiseAND((1 << BITS * (j + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
@@ -195,7 +279,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int =
         least = limit if j == order else min(least, limit)
         kept = own.where(F.col("n") >= least).toArrow()
         tables.append(tuple(kept[c].to_numpy() for c in ("gram", "n")))
-    return counted.where("word IS NOT NULL").select("word", "n"), Trie.of(tables[::-1])
+    return counted_words, Trie.of(tables[::-1])
 
 
 def _bucket(n: Column) -> Column:
@@ -214,7 +298,7 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def score_texts(docs: DataFrame, words: DataFrame, trie: Trie, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, words: DataFrame, trie: Trie | Blocks, key: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every whole text.
 
     base_score sums log10((c + 1) / (N + V + 1)) over words and the end; score is the
@@ -233,9 +317,10 @@ def score_texts(docs: DataFrame, words: DataFrame, trie: Trie, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        logs, scorer = shared.value[0], Scorer(shared.value[1])
+        logs, model = shared.value
+        scorer, step = (model, _BLOCK_STEP) if isinstance(model, Blocks) else (Scorer(model), _STEP)
         row = TaskContext.get().partitionId() << 40
-        for part, texts in steps(batches, text, _STEP):
+        for part, texts in steps(batches, text, step):
             texts = [x.lower() for x in texts]
             sizes, known, sums, tails, times = [], [], [], [], []
             for x in texts:

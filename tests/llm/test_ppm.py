@@ -63,3 +63,15 @@ def test_pruned_and_empty_models(make, odd):
     words, trie = train(make([]))
     rows = score_texts(make([(1, "abc"), (2, None)]), words, trie).collect()
     assert all(math.isfinite(r.score) and r.n_known == 0 and r.base_score == 0 for r in rows)
+
+
+def test_every_gram_is_kept(make):
+    """Whatever the number of grams, in one block or in many."""
+    rng = random.Random(3)
+    known, fresh = corpus(rng, 60), [*corpus(rng, 20), "", "ZZZ \x00 unseen 日本"]
+    want = list(brute(known, fresh))
+    for size in (None, 100):
+        words, trie = train(make(list(enumerate(known))), block_grams=size)
+        assert size is None or len(trie.names) > 5
+        rows = {r.doc_id: r.score for r in score_texts(make(list(enumerate(fresh))), words, trie).collect()}
+        assert all(math.isclose(rows[k], w, rel_tol=1e-9) for k, w in enumerate(want))
