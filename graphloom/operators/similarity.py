@@ -59,6 +59,12 @@ def similar_pairs(signed: DataFrame, least: float = 0.95) -> tuple[DataFrame, Da
     return scored.where(F.col("similarity") >= least), members
 
 
+def with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of classes, and one of similarity 1 of each other member of a class with the id that names it: a, b, similarity."""
+    tied = members.where(F.col("class") < F.col("id")).select(F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.select("a", "b", F.col("similarity").cast("double").alias("similarity")).unionByName(tied)
+
+
 def top_per_source(pairs: DataFrame, most: int = 10) -> DataFrame:
     """SIMILAR_TO edges of each class to its most similar ones, of equals the smaller id: src, dst, similarity."""
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity").union(pairs.select("b", "a", "similarity"))

@@ -587,10 +587,11 @@ def _signed(spark, d):
 
 @query(None)
 def J34_lsh_pairs(spark, d):
-    from ..operators.similarity import similar_pairs
+    from ..operators.similarity import similar_pairs, with_members
     from ..sources.scratch import written
 
-    return similar_pairs(written(_signed(spark, d), "signatures"))[0]
+    pairs, members = similar_pairs(written(_signed(spark, d), "signatures"))
+    return with_members(pairs, members)
 
 
 @query("SELECT doc_id AS id, count(*) OVER (PARTITION BY t) > 1 AS copied FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), ' +'), lambda t: length(t) > 1) AS t FROM documents)")
