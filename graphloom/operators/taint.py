@@ -17,7 +17,7 @@ from ..sources.scratch import written
 CALL_STEPS = ("CALLS",)
 
 
-def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, hops: int = 12, most_paths: int = 50_000) -> DataFrame:
+def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame, hops: int = 12) -> DataFrame:
     """Shortest ways from a source to each sink that pass no sanitizer: source, sink, path, category, confidence.
 
     sources: id; sinks: id, category; sanitizers: id. Of equal ways the first by ids
@@ -30,7 +30,7 @@ def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitize
     for _ in range(hops):
         step = front.join(steps, F.col("at") == F.col("src")).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         fresh = step.join(seen, ["source", "at"], "left_anti").groupBy("source", "at").agg(F.min("path").alias("path"))
-        front = written(fresh.limit(most_paths), "front")
+        front = written(fresh, "front")
         if front.isEmpty():
             break
         found, seen = found.unionByName(front), seen.union(front.select("source", "at"))

@@ -14,3 +14,11 @@ def test_members_of_equal_signatures(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_signed", lambda spark, d: signed)
     got = {(r.a, r.b): round(r.similarity, 4) for r in catalogue.J34_lsh_pairs(spark, "").collect()}
     assert got == {(1, 2): 1.0, (1, 3): 1.0, (1, 4): round(63 / 64, 4)}
+
+
+def test_taint_beyond_fifty_thousand(spark):
+    leaves = spark.range(50_100).select(F.format_string("t%06d", "id").alias("dst"))
+    edges = leaves.select(F.lit("s").alias("src"), "dst", F.lit("CALLS").alias("kind"))
+    one = lambda x: spark.createDataFrame([(x,)], "id string")
+    sinks = leaves.select(F.col("dst").alias("id"), F.lit("sql").alias("category"))
+    assert taint.taint_paths(edges, one("s"), sinks, one("none"), 2).count() == 50_100
