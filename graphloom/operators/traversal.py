@@ -136,6 +136,14 @@ def trace_processes(edges: DataFrame, entries: DataFrame, least_confidence: floa
     return done.withColumn("rank", rank).where(F.col("rank") <= 3 * branching).drop("rank")
 
 
+def without_parts(traces: DataFrame) -> DataFrame:
+    """The traces that are no contiguous part of a longer one."""
+    n = F.size("path")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(1), n - s + 1), lambda k: F.slice("path", s, k))))
+    shorter = traces.select(n.alias("n"), F.explode(parts).alias("path")).where(F.size("path") < F.col("n")).select("path").distinct()
+    return traces.join(shorter, "path", "left_anti").select(*traces.columns)
+
+
 def longest_per_pair(traces: DataFrame) -> DataFrame:
     """One trace for each entry and last node: the longest, of equals the first by its text."""
     pair = Window.partitionBy("entry", F.element_at("path", -1)).orderBy(F.desc(F.size("path")), F.array_join("path", "->"))

@@ -328,7 +328,7 @@ def G12_process_tracing(spark, d):
 def G13_trace_dedup(spark, d):
     edges = flow_edges(spark, d)
     traces = G.trace_processes(edges, edges.select(F.col("src").alias("id")).distinct(), 0.5, 3, 5, 3)
-    return G.longest_per_pair(traces).select("entry", F.array_join("path", "->").alias("path"))
+    return G.longest_per_pair(G.without_parts(traces)).select("entry", F.array_join("path", "->").alias("path"))
 
 
 @query(supply(", below AS (SELECT e.src AS id, max(n.loop_depth) AS below FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1), one AS (SELECT n.id, n.kind, coalesce(loop_depth, 0) + coalesce(below, 0) AS total FROM nodes n LEFT JOIN below b ON b.id = n.id), two AS (SELECT e.src AS id, max(o.total) AS below FROM edges e JOIN one o ON o.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1) SELECT o.id, CASE WHEN o.kind = 'Customer' THEN coalesce(two.below, 0) ELSE o.total END::INT AS total FROM one o LEFT JOIN two USING (id)"))

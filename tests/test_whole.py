@@ -22,3 +22,24 @@ def test_taint_beyond_fifty_thousand(spark):
     one = lambda x: spark.createDataFrame([(x,)], "id string")
     sinks = leaves.select(F.col("dst").alias("id"), F.lit("sql").alias("category"))
     assert taint.taint_paths(edges, one("s"), sinks, one("none"), 2).count() == 50_100
+
+
+def brute_dedup(traces):
+    kept, windows = [], set()
+    for t in sorted(set(traces), key=lambda t: (-len(t), "->".join(t))):
+        if t not in windows:
+            kept.append(t)
+            windows |= {t[i:j] for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    best = {}
+    for t in kept:
+        best.setdefault((t[0], t[-1]), t)
+    return set(best.values())
+
+
+def test_parts_of_longer_traces_go(spark, monkeypatch):
+    rng = random.Random(5)
+    traces = [tuple(rng.sample("abcde", rng.randint(1, 5))) for _ in range(60)]
+    rows = spark.createDataFrame([(t[0], list(t)) for t in traces], "entry string, path array<string>")
+    monkeypatch.setattr(catalogue, "flow_edges", lambda spark, d: spark.createDataFrame([], "src string, dst string"))
+    monkeypatch.setattr(traversal, "trace_processes", lambda *a: rows)
+    assert {tuple(r.path.split("->")) for r in catalogue.G13_trace_dedup(spark, "").collect()} == brute_dedup(traces)
