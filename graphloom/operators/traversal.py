@@ -119,15 +119,18 @@ def trace_processes(edges: DataFrame, entries: DataFrame, least_confidence: floa
 
     At each step the ``branching`` smallest targets are followed. A path ends where
     nothing follows or at the depth; of each entry the longest 3 * branching with enough
-    steps stay. No more than ``states`` paths of a level are followed.
+    steps stay. An entry has ``states`` paths at most, itself and the first of each level in
+    order; a path of which none is followed further ends there.
     """
     best = edges.where(F.col("confidence") >= least_confidence).select("src", "dst").distinct()
     narrow = best.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("rank") <= branching).select("src", "dst")
-    live = entries.select(F.col("id").alias("entry"), F.col("id").alias("at"), F.array("id").alias("path"))
+    live = entries.select(F.col("id").alias("entry"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(1).cast("long").alias("used"))
     ended = None
     for _ in range(depth):
         next_ = live.join(narrow, F.col("at") == F.col("src"), "left").withColumn("fits", F.col("dst").isNotNull() & ~F.array_contains("path", F.coalesce("dst", F.lit(""))))
-        grown = written(next_.where("fits").select("entry", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")).orderBy("entry", "path").limit(states), "traces")
+        longer = next_.where("fits").select("entry", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), "used")
+        first = longer.withColumn("rank", F.row_number().over(Window.partitionBy("entry").orderBy("path"))).where(F.col("rank") + F.col("used") <= states)
+        grown = written(first.withColumn("used", F.col("used") + F.count(F.lit(1)).over(Window.partitionBy("entry"))).drop("rank"), "traces")
         last = live.join(grown.select("entry", F.slice("path", 1, F.size("path") - 1).alias("path")).distinct(), ["entry", "path"], "left_anti")
         ended = last if ended is None else ended.unionByName(last)
         live = grown

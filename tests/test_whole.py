@@ -43,3 +43,13 @@ def test_parts_of_longer_traces_go(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "flow_edges", lambda spark, d: spark.createDataFrame([], "src string, dst string"))
     monkeypatch.setattr(traversal, "trace_processes", lambda *a: rows)
     assert {tuple(r.path.split("->")) for r in catalogue.G13_trace_dedup(spark, "").collect()} == brute_dedup(traces)
+
+
+def test_states_of_each_entry(spark):
+    edges = spark.createDataFrame([(a + x, a + y, 1.0) for a in "pqr" for x, y in ("01", "02", "13", "14", "25")], "src string, dst string, confidence double")
+    entries = spark.createDataFrame([("p0",), ("q0",), ("r0",)], "id string")
+    got = {}
+    for r in traversal.trace_processes(edges, entries, least_steps=2, states=4).collect():
+        got.setdefault(r.entry, set()).add("".join(x[1] for x in r.path))
+    # The entry, two of the first level and one of the second are four.
+    assert got == {e: {"013", "02"} for e in ("p0", "q0", "r0")}
