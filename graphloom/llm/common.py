@@ -8,11 +8,14 @@ A-Z only, so both equal the definitions by regular expression and need no decodi
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import hashlib
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,9 +28,11 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's checkpoint folder, or one of our own where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         named = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
         shared_dir.own = named
     return re.sub("^file:/+", "file:///", named.rstrip("/"))
@@ -53,8 +58,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """The table marked for broadcast if its counted rows stay within BROADCAST_BYTES; otherwise a join shuffles it."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def spread(names: DataFrame) -> DataFrame:
+    """A task for each row: for lists of files, which are tiny beside what they name."""
+    return names.coalesce(1).repartition(max(1, names.count()))
+
+
 def keyed(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Only the columns that an operator reads, the key as a long, strings as they are."""
+    """Only the columns that an operator reads, the key as a long, strings as they are. Keys must be whole numbers: any other key fails as its cast does."""
     return df.select(F.col(key).cast("long").alias(key), *(F.col(c) for c in columns))
 
 
@@ -70,7 +85,13 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with about ``limit`` bytes of text each, and their texts."""
+    """Slices of the batches with about ``limit`` bytes of text each, and their texts. At the end, freed memory goes back to the system: workers are reused."""
+    with contextlib.ExitStack() as end:
+        end.callback(trim)
+        yield from _steps(batches, text, limit)
+
+
+def _steps(batches: Iterable[pa.RecordBatch], text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         at = batch.schema.get_field_index(text)
         first = 0
@@ -91,24 +112,37 @@ def steps(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_BYTES)
         pa.default_memory_pool().release_unused()
 
 
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if (release := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        release(0)
+
+
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 class Recent(dict):
-    """A cache of bounded size: once ``room`` entries are new, those not used since the last turn go."""
+    """A cache of bounded size: once ``room`` entries are new, or keys of ``room_bytes``, those not used since the last turn go.
+
+    A key of over 1,024 bytes or characters is computed anew each time.
+    """
 
-    def __init__(self, make, room: int = 250_000):
+    def __init__(self, make, room: int = 250_000, room_bytes: int = 8 << 20):
         super().__init__()
-        self.make, self.room, self.before = make, room, {}
+        self.make, self.room, self.room_bytes, self.bytes, self.before = make, room, room_bytes, 0, {}
 
     def __missing__(self, key):
+        if len(key) > 1024:
+            return self.make(key)
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.room:
+        if len(self) >= self.room or self.bytes > self.room_bytes:
             self.before = dict(self)
             self.clear()
+            self.bytes = 0
+        self.bytes += len(key)
         self[key] = value
         return value
 
@@ -144,9 +178,13 @@ class Files:
         system.move(part, self._at(name)[1])
         return name
 
-    def read(self, name: str) -> bytes:
+    def open(self, name: str) -> BinaryIO:
+        """The file for reading, at any place of it."""
         system, path = self._at(name)
-        with system.open_input_file(path) as f:
+        return system.open_input_file(path)
+
+    def read(self, name: str) -> bytes:
+        with self.open(name) as f:
             return f.read()
 
 

@@ -126,8 +126,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = new_folder(spark, "warc")
     runs = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), files)
-    place = ranked(merge_index(runs)).select("archive", "offset", "index_rank")
-    return read_archives(runs, files).join(place, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_rank")
+    place = ranked(merge_index(runs, files)).select("archive", "offset", "index_rank")
+    # The planner takes what comes of a few file names for small, and would broadcast it.
+    return read_archives(runs, files).hint("merge").join(place, ["archive", "offset"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_rank")
 
 
 ORACLE_SQL["op9_warc"] = warc.oracle()

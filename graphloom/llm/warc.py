@@ -1,9 +1,12 @@
 """WARC archives of captured pages, and their index by external merge.
 
-Tasks write archives (a gzip member a record) and list each archive's captures in the
-order of URL key, time, page: a sorted run. The runs are cut at common borders of that
-order and each range is merged by one task with a loser tree over its slices of the runs,
-so the captures of a URL stand together, oldest first, over the whole index.
+Tasks write archives (a gzip member a record) and, beside each, its captures in the order
+of URL key, time, page: a sorted run, a file of small blocks. Of the runs only the first
+and last keys of the blocks travel: the sparse index. Up to FAN_IN runs are merged at a
+time. Their order is cut at common borders, and a task streams the blocks of one range
+from all runs into a loser tree, one block a run in memory. As long as there are more
+runs, each group's merge is written as a longer run; the last merge is the index, where
+the captures of a URL stand together, oldest first.
 
 Of records with equal payloads (by SHA-1) the one with the smallest page id holds the
 payload, the others are revisits that name it. Which pages those are is settled on
@@ -13,21 +16,31 @@ digests before any payload moves.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+import io
+import itertools
 import re
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Files, raw, table, written
+from .common import Files, raw, small, spread, table, written
 
 #: Compressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 64 << 20
 #: Captures without a time of their own are dated one second a page id from here on.
 EPOCH = 1_700_000_000
+#: Runs that are merged at a time, captures of a block, and captures that a task merges (a range of the order).
+FAN_IN, BLOCK, PART = 128, 512, 250_000
+#: Keys of blocks that the driver draws the borders from, at most about.
+BORDER_KEYS = 100_000
+_CHUNK = 1 << 16
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
 
@@ -76,25 +89,26 @@ def _date(seconds: int) -> bytes:
     return b"%04d-%02d-%02dT%02d:%02d:%02dZ" % (yoe + era * 400 + (month <= 2), month, doy - (153 * mp + 2) // 5 + 1, rest // 3600, rest // 60 % 60, rest % 60)
 
 
-def records_of(archive: bytes) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
-    """Offset, header fields (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(archive):
-        member = zlib.decompressobj(wbits=31)
-        data = member.decompress(archive[at:] if len(archive) - at <= 1 << 16 else archive[at : at + (1 << 16)])
-        taken = min(len(archive) - at, 1 << 16)
-        while not member.eof and at + taken < len(archive):
-            data += member.decompress(archive[at + taken : at + taken + (1 << 16)])
-            taken += min(len(archive) - at - taken, 1 << 16)
+def records_of(archive: bytes | BinaryIO) -> Iterator[tuple[int, dict[str, bytes], bytes]]:
+    """Offset, header fields (names in lower case) and block of each record of an archive, which is read as the records are asked for."""
+    source = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    at, ahead = 0, source.read(_CHUNK)
+    while ahead:
+        member, parts, taken = zlib.decompressobj(wbits=31), [], 0
+        while ahead and not member.eof:
+            parts.append(member.decompress(ahead))
+            taken += len(ahead)
+            ahead = member.unused_data if member.eof else source.read(_CHUNK)
         if not member.eof:
             raise ValueError("an archive ends within a record")
-        head, _, rest = data.partition(b"\r\n\r\n")
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         version, *lines = head.split(b"\r\n")
         if not version.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
         fields = {k.decode().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
         yield at, fields, rest[: int(fields["content-length"])]
-        at += taken - len(member.unused_data)
+        at += taken - len(ahead)
+        ahead = ahead or source.read(_CHUNK)
 
 
 class LoserTree:
@@ -135,19 +149,59 @@ class LoserTree:
 
 _CAPTURES = pa.schema([("url_key", pa.string()), ("time", pa.int64()), ("page_id", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 _CAPTURES_SQL = "url_key string, time long, page_id long, archive string, offset long, length long"
-
-
-def _order(capture: tuple) -> tuple:
-    key, time, page, archive, offset, length = capture
-    return key, time, -1 if page is None else page, archive, offset, length
+_BLOCKS = pa.schema([("archive", pa.string()), ("run", pa.string()), ("seq", pa.int64()), ("file", pa.string()), ("block", pa.int32()), ("n", pa.int32()), ("low", pa.binary()), ("high", pa.binary())])
+_BLOCKS_SQL = "archive string, run string, seq long, file string, block int, n int, low binary, high binary"
+_RUN = pa.schema([("key", pa.binary()), *_CAPTURES])
+
+
+def sort_key(url_key: str, time: int, page: int | None, archive: str, offset: int) -> bytes:
+    """Bytes in the order of the fields, one after the other. A null page counts as -1; no two captures share archive and offset."""
+    number = struct.pack(">QQ", time + (1 << 63), (-1 if page is None else page) + (1 << 63))
+    return url_key.encode().replace(b"\0", b"\0\xff") + b"\0" + number + archive.encode() + b"\0" + struct.pack(">Q", offset)
+
+
+def _write_run(files: Files, run: str, seq: int, archive: str | None, captures: Iterable[tuple], block: int) -> Iterator[pa.RecordBatch]:
+    """Write captures, (key, fields) in order, as a file of blocks; its rows of the sparse index."""
+    index: list[tuple] = []
+
+    def chunks() -> Iterator[bytes]:
+        out = io.BytesIO()
+        source = iter(captures)
+        with pa.ipc.new_file(out, _RUN) as writer:
+            while rows := list(itertools.islice(source, block)):
+                writer.write_batch(table(_RUN, *map(list, zip(*rows, strict=True))))
+                index.append((len(rows), rows[0][0], rows[-1][0]))
+                yield out.getvalue()[: out.tell()]
+                out.seek(0)
+                out.truncate()
+        yield out.getvalue()
+
+    name = files.write(".run", chunks())
+    for k in range(0, len(index), 10_000):
+        some = index[k : k + 10_000]
+        same = lambda x: [x] * len(some)  # noqa: E731, B023
+        yield table(_BLOCKS, same(archive), same(run), same(seq), same(name), list(range(k, k + len(some))), *map(list, zip(*some, strict=True)))
+
+
+def _read_run(files: Files, blocks: list[tuple[str, int]], low: bytes | None, high: bytes | None) -> Iterator[tuple]:
+    """The captures of a run's blocks (file, number) from key ``low`` to before ``high``; one block is in memory."""
+    for name, own in itertools.groupby(blocks, key=lambda b: b[0]):
+        with files.open(name) as source:
+            reader = pa.ipc.open_file(source)
+            for _, block in own:
+                batch = reader.get_batch(block)
+                keys = batch.column(0).to_pylist()
+                first = bisect.bisect_left(keys, low) if low is not None else 0
+                last = bisect.bisect_left(keys, high) if high is not None else len(keys)
+                yield from zip(*(c.to_pylist() for c in batch.slice(first, last - first).columns), strict=True)
 
 
 def _sha1(payload: str) -> Column:
     return F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary"))
 
 
-def write_archives(pages: DataFrame, files: Files, key: str = "page_id", url: str = "url", payload: str = "html", time: Column | None = None, least_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each row and return the archives' sorted runs (url_key, time, page_id, archive, offset, length).
+def write_archives(pages: DataFrame, files: Files, key: str = "page_id", url: str = "url", payload: str = "html", time: Column | None = None, least_payload: int = 0, archive_bytes: int = ARCHIVE_BYTES, block: int = BLOCK) -> DataFrame:
+    """Write a record for each row, and each archive's captures as a sorted run; returns the sparse index of the runs, a row a block.
 
     A null payload is empty, a null URL gives no target, a null page id counts as larger
     than all others and is never referred to. Rows that share the smallest id of a
@@ -159,8 +213,7 @@ def write_archives(pages: DataFrame, files: Files, key: str = "page_id", url: st
     first = digests.groupBy("sha1").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("sha1", "first")
     # Of a payload without copies nothing is carried on; the list of copies is small next to the payloads.
     copies = written(first, "copies")
-    bounded = copies.count() * 60 <= BROADCAST_BYTES
-    joined = rows.withColumn("sha1", _sha1("payload")).join(F.broadcast(copies) if bounded else copies, "sha1", "left")
+    joined = rows.withColumn("sha1", _sha1("payload")).join(small(copies, 60), "sha1", "left")
     enough = F.coalesce(F.octet_length("payload"), F.lit(0)) >= least_payload
     refers = F.when(enough & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page")), F.col("first"))
     ready = joined.select("page", "url", "payload", refers.alias("refers_to"), F.coalesce(when if time is None else F.col("at"), F.lit(EPOCH)).alias("at"))
@@ -187,11 +240,9 @@ def write_archives(pages: DataFrame, files: Files, key: str = "page_id", url: st
             name = files.write(".warc.gz", chunks())
             for c in captures:
                 c[3] = name
-            captures.sort(key=lambda c: _order(tuple(c)))
-            for k in range(0, len(captures), 10_000):
-                yield table(_CAPTURES, *map(list, zip(*captures[k : k + 10_000], strict=True)))
+            yield from _write_run(files, name, 0, name, sorted((sort_key(*c[:5]), *c) for c in captures), block)
 
-    return written(ready.mapInArrow(run, _CAPTURES_SQL), "runs")
+    return written(ready.mapInArrow(run, _BLOCKS_SQL), "runs")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -201,32 +252,73 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw(part.column(2)), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)
 
 
-def merge_index(runs: DataFrame) -> DataFrame:
-    """The captures of all runs in the order of URL key, time and page: columns of the runs, index_part and index_pos.
+def _borders(blocks: DataFrame, parts: int) -> list[bytes]:
+    """Keys that cut the order into ``parts`` ranges of about equally many blocks, from a bounded sample of the blocks."""
+    total = blocks.count()
+    some = blocks if total <= BORDER_KEYS else blocks.where(F.pmod(F.xxhash64("low"), F.lit(total)) < BORDER_KEYS)
+    keys = sorted(bytes(r.low) for r in some.select("low").collect())
+    return sorted({keys[len(keys) * k // parts] for k in range(1, parts)}) if keys else []
 
-    Each part is one range of that order, so a URL with very many captures spreads over
-    parts; (index_part, index_pos) is the global order.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _dealt(blocks: DataFrame, groups: int, borders: list[bytes]) -> DataFrame:
+    """Each block with the group of its run and every range that it reaches into, a task a group and range, in order."""
+    shared = blocks.sparkSession.sparkContext.broadcast(borders)
+    schema = pa.schema([("grp", pa.int64()), ("part", pa.int64()), *_BLOCKS])
 
-        schema = pa.schema([*_CAPTURES, ("index_part", pa.int32()), ("index_pos", pa.int64())])
-        slices: dict[str, list[tuple]] = {}
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                slices.setdefault(capture[3], []).append(_order(capture))
-        for own in slices.values():
-            own.sort()  # pieces of a sorted run, which the shuffle may have put in another order
-        part, at, merged = TaskContext.get().partitionId(), 0, iter(LoserTree([slices[name] for name in sorted(slices)]))
-        while block := [c for _, c in zip(range(10_000), merged, strict=False)]:
-            columns = [list(x) for x in zip(*block, strict=True)]
-            columns[2] = [None if p < 0 else p for p in columns[2]]
-            yield table(schema, *columns, [part] * len(block), list(range(at, at + len(block))))
-            at += len(block)
+            low, high = ([bisect.bisect_right(shared.value, k) for k in batch.column(c).to_pylist()] for c in (7, 8))
+            rows = [(i, part) for i, (a, b) in enumerate(zip(low, high, strict=True)) for part in range(a, b + 1)]
+            own = batch.take(pa.array([i for i, _ in rows], type=pa.int64()))
+            yield table(schema, own.column(0), [p for _, p in rows], *own.columns[1:])
+
+    marked = blocks.select(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("grp"), *_BLOCKS.names).mapInArrow(ranges, f"grp long, part long, {_BLOCKS_SQL}")
+    return marked.repartition(groups * (len(borders) + 1), "grp", "part").sortWithinPartitions("grp", "part", "run", "seq", "block")
+
+
+def _merged(batches: Iterator[pa.RecordBatch], files: Files, borders: list[bytes]) -> Iterator[tuple[int, int, Iterator[tuple]]]:
+    """(group, range, its captures in order) of each group and range at hand, by a loser tree over its runs."""
+    rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 5, 6)), strict=True))
+    for (group, part), own in itertools.groupby(rows, key=lambda r: r[:2]):
+        runs = [[(file, block) for *_, file, block in r] for _, r in itertools.groupby(own, key=lambda r: r[2])]
+        low, high = borders[part - 1] if part else None, borders[part] if part < len(borders) else None
+        yield group, part, iter(LoserTree([_read_run(files, r, low, high) for r in runs]))
+
+
+def merge_index(runs: DataFrame, files: Files, fan_in: int = FAN_IN, part: int = PART, block: int = BLOCK) -> DataFrame:
+    """The captures of all runs in the order of URL key, time and page: columns of a capture, index_part and index_pos.
+
+    Each part is one range of that order, so a URL with very many captures spreads over
+    parts; (index_part, index_pos) is the global order. A null page counts as -1.
+    """
+    level = 0
+    while True:
+        count = runs.select("run").distinct().count()
+        groups = -(-count // fan_in) if count > fan_in else 1
+        total = runs.agg(F.sum("n")).first()[0] or 0
+        # Ranges enough to keep the cores busy, and none of more than about ``part`` captures.
+        parts = max(1, -(-total // (groups * part)), min(2 * runs.sparkSession.sparkContext.defaultParallelism // groups, total // (4 * block)))
+        borders = _borders(runs, parts)
+        dealt = _dealt(runs, groups, borders)
+        if count <= fan_in:
+            break
+        level += 1
+
+        def lengthen(batches: Iterator[pa.RecordBatch], level: int = level, borders: list[bytes] = borders) -> Iterator[pa.RecordBatch]:
+            for group, place, captures in _merged(batches, files, borders):
+                yield from _write_run(files, f"{level}-{group}", place, None, captures, block)
+
+        runs = written(dealt.mapInArrow(lengthen, _BLOCKS_SQL), "runs")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([*_CAPTURES, ("index_part", pa.int32()), ("index_pos", pa.int64())])
+        for _, place, captures in _merged(batches, files, borders):
+            at = 0
+            while block := list(itertools.islice(captures, 10_000)):
+                yield table(schema, *map(list, zip(*(c[1:] for c in block), strict=True)), [place] * len(block), list(range(at, at + len(block))))
+                at += len(block)
 
-    ranged = runs.select([f.name for f in _CAPTURES]).repartitionByRange("url_key", "time", "page_id", "archive", "offset")
-    return ranged.mapInArrow(run, _CAPTURES_SQL + ", index_part int, index_pos long")
+    return dealt.mapInArrow(last, _CAPTURES_SQL + ", index_part int, index_pos long")
 
 
 def read_archives(runs: DataFrame, files: Files) -> DataFrame:
@@ -253,12 +345,13 @@ def read_archives(runs: DataFrame, files: Files) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = [one(name, *x) for x in records_of(files.read(name))]
-                for k in range(0, len(rows), 10_000):
-                    yield table(schema, *map(list, zip(*rows[k : k + 10_000], strict=True)))
+                with files.open(name) as source:
+                    records = (one(name, *x) for x in records_of(source))
+                    while rows := list(itertools.islice(records, 2000)):
+                        yield table(schema, *map(list, zip(*rows, strict=True)))
 
-    names = runs.select("archive").distinct()
-    return names.mapInArrow(run, "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    names = written(runs.where("block = 0").select("archive"), "archives")
+    return spread(names).mapInArrow(run, "archive string, offset long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def ranked(index: DataFrame) -> DataFrame:
