@@ -1,18 +1,23 @@
-"""Near-copies: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
-
-Equal texts are one class, named by their hash. Each class has HASHES MinHash values,
-filed in BANDS bands of ROWS values; two texts of similarity s share a bucket with
-probability 1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8. Each member of a bucket is
-tied to the bucket's smallest, so a bucket costs as many rows as it has members, and what is
-tied together is a cluster. Within a cluster all texts are compared by their exact sets of
-shingles: shared shingles are counted over an inverted index, and a search that goes
-from text to text leaves out what it has reached. A cluster of many bytes is dealt out by
-pairs of tiles.
+"""Near-copies by SimHash: texts whose sets of word shingles have a Jaccard similarity of at least ``least``.
+
+A fingerprint's 64 bits are the majorities of the hashes of a text's distinct shingles.
+Texts of that similarity differ in about 10 bits at 0.8 and 5 words; ``radius_for`` adds
+five standard deviations. At so wide a radius no choice of bit blocks narrows the search,
+so lists of fingerprints to compare come from HASHES MinHash values, filed in BANDS bands
+of ROWS values: two texts of similarity s share a bucket with probability
+1 - (1 - s^ROWS)^BANDS, which is 0.9996 at 0.8. Equal texts are one class, named by their
+hash. Each member of a bucket is tied to the bucket's smallest, so a bucket costs as many
+rows as it has members, and what is tied together is a list.
+
+A list is compared in bit slices (``Slices``): a search that goes from text to text asks
+for the open fingerprints within the radius, and what it finds is verified by the exact
+sets of shingles. What it has reached is closed, so copies of one text are met once. A
+list of many bytes is dealt out by pairs of tiles.
 """
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, steps, table, written
+from .common import keyed, small, steps, table, written
 from .components import components
-from .simhash import keep_first
+from .simhash import Slices, bit_sums, keep_first, majorities, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -33,12 +38,30 @@ LIST_BYTES = 8 << 20
 _SEEDS = np.random.default_rng(0x0C0B1E5).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 
 
+def radius_for(least: float) -> int:
+    """Bits in which texts of that similarity differ at most, but for one pair in millions: sets of equal size have a cosine of 2 s / (1 + s), others a larger one."""
+    share = math.acos(2 * least / (1 + least)) / math.pi
+    return min(63, math.ceil(64 * share + 5 * math.sqrt(64 * share * (1 - share))))
+
+
 def shingles_of(text: bytes, size: int = SHINGLE) -> list[int]:
     """Hashes of the runs of ``size`` lower-cased words; a shorter text is one run, and so is a text without words."""
     words = text.lower().split()
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    return list(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)), itertools.repeat(42)))
+    return list(shingle_hashes(words, size)) if words else [xxhash.xxh64_intdigest(b"", 42)]
+
+
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash fingerprint of each set of hashes, none of which is empty."""
+    if not sets:
+        return np.zeros(0, dtype=np.uint64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    out = []
+    first, held = 0, np.cumsum(sizes)
+    while first < len(sets):  # about 1 << 18 hashes at a time
+        last = max(first + 1, int(np.searchsorted(held, (held[first - 1] if first else 0) + (1 << 18), side="right")))
+        out.append(majorities(bit_sums(np.concatenate(sets[first:last]), np.cumsum(sizes[first:last]) - sizes[first:last]), sizes[first:last]))
+        first = last
+    return np.concatenate(out)
 
 
 def buckets_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -60,32 +83,54 @@ def buckets_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 def linked(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     """For each set of distinct values the first one of its component, over all links of at least that similarity."""
-    n = len(sets)
+    n, radius = len(sets), radius_for(least)
     root, sizes = np.arange(n), np.array([len(s) for s in sets], dtype=np.int64)
-    open_ = np.ones(n, dtype=bool)
-    shingles, owner, first = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), 2 * n
+    prints = fingerprints(sets)
+    slices, values = Slices(prints), prints.tolist()
+    index = _Index(sets, sizes)
     for start in range(n):
-        if not open_[start]:
+        if root[start] != start:
             continue
-        open_[start] = False
+        slices.close(start)
         queue = [start]
-        while queue and open_.any():
-            if 2 * (left := int(open_.sum())) <= first:  # the index holds open sets, and few that no longer are
-                at = np.flatnonzero(open_)
-                shingles, owner, first = np.concatenate([sets[i] for i in at]), np.repeat(at, sizes[at]), left
-                by = np.argsort(shingles, kind="stable")
-                shingles, owner = shingles[by], owner[by]
+        while queue:
             q = queue.pop()
-            low, high = np.searchsorted(shingles, sets[q]), np.searchsorted(shingles, sets[q], side="right")
-            many = high - low
-            place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            shared = np.bincount(owner[place], minlength=n)
-            new = np.flatnonzero(open_ & (shared >= least * (sizes + sizes[q] - shared) - 1e-9))
-            open_[new], root[new] = False, start
-            queue += new.tolist()
+            near = np.array(slices.within(values[q], radius), dtype=np.int64)
+            if not near.size:
+                continue
+            shared = index.shared(q, near)
+            for i in near[shared >= least * (sizes[near] + sizes[q] - shared) - 1e-9].tolist():
+                slices.close(i)
+                root[i] = start
+                queue.append(i)
     return root
 
 
+class _Index:
+    """How many values sets share: few sets are held against each other, many through an inverted index of those still asked for."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
+        self.sets, self.sizes = sets, sizes
+        self.values, self.owner, self.held = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.zeros(len(sets), dtype=bool)
+        self.asked = 0
+
+    def shared(self, q: int, near: np.ndarray) -> np.ndarray:
+        own = self.sets[q]
+        if near.size <= 16:
+            return np.array([np.intersect1d(own, self.sets[i], assume_unique=True).size for i in near], dtype=np.int64)
+        if not self.held[near].all() or 2 * near.size < self.held.sum() and self.asked > 16:
+            self.held[:] = False
+            self.held[near] = True
+            self.values, self.owner, self.asked = np.concatenate([self.sets[i] for i in near]), np.repeat(near, self.sizes[near]), 0
+            by = np.argsort(self.values, kind="stable")
+            self.values, self.owner = self.values[by], self.owner[by]
+        self.asked += 1
+        low, high = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
+        many = high - low
+        place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        return np.bincount(self.owner[place], minlength=len(self.sets))[near]
+
+
 def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cluster and tile: links of each text to the first of its component in the list at hand."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -119,7 +164,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
 def _dealt(sets: DataFrame, list_bytes: int) -> DataFrame:
     """cluster, tile, h, shingles: each list of texts that one task compares, in order."""
     sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles")).alias("bytes")).where(F.col("bytes") > list_bytes)
-    sizes = F.broadcast(written(sizes, "sizes"))  # a row for each list_bytes of shingles at most
+    sizes = small(written(sizes, "sizes"))
     tiles = F.ceil(F.col("bytes") / (list_bytes // 2)).cast("int")
     own = F.pmod(F.xxhash64("h"), F.coalesce(tiles, F.lit(1))).cast("int")
     pairs = F.when(F.col("bytes").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.least(t, own) * 100_000 + F.greatest(t, own)))
@@ -145,7 +190,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     marked = written(keyed(docs.withColumn("_h", class_of), key, "_h", text).mapInArrow(file, f"{key} long, h long, buckets array<long>"), "buckets")
     classes = written(marked.groupBy("h").agg(F.min(key).alias("least"), F.first("buckets").alias("buckets")), "classes")
-    clusters = written(_candidates(classes), "clusters")
+    clusters = small(written(_candidates(classes), "clusters"))  # while it is, no text without a candidate is shuffled
     sets_schema = pa.schema([("cluster", pa.int64()), ("h", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, keyed, steps, table, written
+from .common import keyed, small, steps, table, written
 from .components import Forest, components
 
 RADIUS = 3
@@ -36,28 +36,117 @@ LIST = 8192
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprints_of(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """Fingerprints as unsigned 64-bit integers; a text without words has zero."""
-    hashes, counts = [], []
-    for x in texts:
+def shingle_hashes(words: list[bytes], size: int) -> Iterator[int]:
+    """XXH64 of each run of ``size`` words; fewer words are one run, no words none."""
+    if not words:
+        return iter(())
+    runs = [b" ".join(words)] if len(words) <= size else map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
+    return map(xxhash.xxh64_intdigest, runs, itertools.repeat(42))
+
+
+def bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in each slice of the hashes that begins at ``starts``."""
+    bits = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+
+
+def majorities(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprints whose bits are those set in over half of the hashes."""
+    return np.packbits(2 * sums > counts[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints_of(texts: list[bytes], size: int = SHINGLE, chunk: int = 1 << 18) -> np.ndarray:
+    """Fingerprints as unsigned 64-bit integers; a text without words has zero. Of a long text ``chunk`` hashes are held at a time."""
+    out, full = np.zeros(len(texts), dtype=np.uint64), []
+    held, starts, counts, sums = [], [], [], []
+
+    def settle() -> None:
+        if starts:
+            sums.append(bit_sums(np.array(held, dtype=np.uint64), np.array(starts)))
+        held.clear(), starts.clear()
+
+    for i, x in enumerate(texts):
         words = x.lower().split()
-        if len(words) <= size:
-            found = [xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else []
-        else:
-            shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False))
-            found = list(map(xxhash.xxh64_intdigest, shingles, itertools.repeat(42)))
-        hashes += found
-        counts.append(len(found))
-    out, counts = np.zeros(len(texts), dtype=np.uint64), np.array(counts, dtype=np.int64)
-    full = np.flatnonzero(counts)
-    if full.size:
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate(([0], np.cumsum(counts[full])[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+        if not words:
+            continue
+        full.append(i)
+        counts.append(max(1, len(words) - size + 1))
+        hashes = shingle_hashes(words, size)
+        if len(held) + counts[-1] > chunk:
+            settle()
+        if counts[-1] <= chunk:
+            starts.append(len(held))
+            held.extend(hashes)
+            continue
+        total = np.zeros((1, 64), dtype=np.int64)
+        while block := list(itertools.islice(hashes, chunk)):
+            total += bit_sums(np.array(block, dtype=np.uint64), np.zeros(1, dtype=np.int64))
+        sums.append(total)
+    settle()
+    if full:
+        out[full] = majorities(np.concatenate(sums), np.array(counts, dtype=np.int64))
     return out
 
 
+class Slices:
+    """Fingerprints in bit slices, for one query at a time and any radius under 64.
+
+    Plane k of a block holds bit k of its fingerprints, one a lane of a long integer. The
+    planes that disagree with the query go through counters by carry-save addition, all
+    lanes at once; a block is abandoned once every lane that is asked for exceeds the radius.
+    """
+
+    LANES = 1024
+
+    def __init__(self, values: np.ndarray):
+        bits = np.unpackbits(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        self.blocks = []
+        for first in range(0, len(values), self.LANES):
+            packed = np.packbits(bits[first : first + self.LANES], axis=0, bitorder="little")
+            self.blocks.append([int.from_bytes(packed[:, k].tobytes(), "little") for k in range(64)])
+        #: For each block the lanes that are asked for.
+        self.open = [(1 << min(self.LANES, len(values) - first)) - 1 for first in range(0, len(values), self.LANES)]
+
+    def close(self, place: int) -> None:
+        self.open[place // self.LANES] &= ~(1 << place % self.LANES)
+
+    def within(self, value: int, radius: int) -> list[int]:
+        """Places, in order, of the open fingerprints that differ from the value in at most ``radius`` bits."""
+        found = []
+        for b, (planes, lanes) in enumerate(zip(self.blocks, self.open, strict=True)):
+            counters, over = [0] * max(1, radius.bit_length()), 0
+            beyond = 0
+            for k, plane in enumerate(planes):
+                if beyond == lanes:
+                    break
+                carry = (plane ^ lanes if value >> k & 1 else plane) & lanes
+                for j, held in enumerate(counters):
+                    counters[j], carry = held ^ carry, held & carry
+                    if not carry:
+                        break
+                over |= carry
+                if k & 7 == 7:
+                    beyond = over | _above(counters, radius, lanes)
+            left = lanes & ~beyond
+            while left:
+                low = left & -left
+                found.append(b * self.LANES + low.bit_length() - 1)
+                left ^= low
+        return found
+
+
+def _above(counters: list[int], radius: int, lanes: int) -> int:
+    """Lanes whose counter is above the radius."""
+    above, equal = 0, lanes
+    for j in range(len(counters) - 1, -1, -1):
+        if radius >> j & 1:
+            equal &= counters[j]
+        else:
+            above |= equal & counters[j]
+            equal &= ~counters[j]
+    return above
+
+
 def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``fp`` (the fingerprint's bits as a long) of every whole text; null and empty texts have zero."""
     schema = pa.schema([(key, pa.int64()), ("fp", pa.int64())])
@@ -199,9 +288,6 @@ def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFr
     drop = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
     again = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
 
-    def small(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
-
     kept = docs.join(small(written(drop, "drop")), key, "left_anti").select(*docs.columns)
     again = written(again, "again")
     if again.isEmpty():
