@@ -9,7 +9,9 @@ of steps.
 A shard holds a bounded number of ids and becomes three files: the matrix of ids
 (unsigned 16- or 32-bit, rows padded with the end mark), the cumulative segment lengths
 (int32, for each row from 0 on) with the rows' first entries, and for each segment its
-document, its offset in the document, and the place in the row where positions restart at 0.
+document and whether that has a key, its offset in the document, and the place in the row
+where positions restart at 0. A shard takes documents in the order of its input partition:
+which documents share one follows from the input's partitions, not from their keys.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Files, keyed, raw, table, written
+from .common import Files, keyed, spread, steps, table, written
 
 ROW = 2048
 #: Ids that a shard holds at most, but for one document that is longer.
 SHARD_IDS = 8 << 20
+#: Runs of white space from this length on are encoded as one piece each, without the pattern.
+LONG_RUN = 1000
+# The characters that are white space in patterns, and the alternatives that split a run of it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_RULE = r"\s+(?!\S)|\s+"
+_LONG = re.compile(f"[{_SPACE}]{{{LONG_RUN},}}")
 
 
 class RoomTree:
@@ -84,7 +93,7 @@ def pack(keys: list[int | None], docs: list[np.ndarray], end: int, row: int = RO
     matrix = np.full((rows, row), end, dtype=kind)
     order = sorted(range(len(segments)), key=lambda i: (place[i], segments[i][0], segments[i][1]))
     used = [0] * rows
-    lengths, first, doc, offset, reset = [], [], [], [], []
+    lengths, first, doc, known, offset, reset = [], [], [], [], [], []
     for i in order:
         d, a, b = segments[i]
         r, start = place[i], used[place[i]]
@@ -94,10 +103,11 @@ def pack(keys: list[int | None], docs: list[np.ndarray], end: int, row: int = RO
         matrix[r, start : start + b - a] = docs[d][a:b]
         used[r] = start + b - a
         lengths.append(used[r])
-        doc.append(-1 if keys[d] is None else keys[d])
+        doc.append(keys[d] or 0)
+        known.append(keys[d] is not None)
         offset.append(a)
         reset.append(start)
-    return {"ids": matrix, "cu_seqlens": np.array(lengths, dtype="<i4"), "row_first": np.array([*first, len(lengths)], dtype="<i8"), "doc": np.array(doc, dtype="<i8"), "offset": np.array(offset, dtype="<i8"), "reset": np.array(reset, dtype="<i4")}
+    return {"ids": matrix, "cu_seqlens": np.array(lengths, dtype="<i4"), "row_first": np.array([*first, len(lengths)], dtype="<i8"), "doc": np.array(doc, dtype="<i8"), "known": np.array(known, dtype=bool), "offset": np.array(offset, dtype="<i8"), "reset": np.array(reset, dtype="<i4")}
 
 
 def _file(arrays: dict[str, np.ndarray]) -> Iterator[bytes]:
@@ -113,15 +123,15 @@ def _arrays(data: bytes, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     return {n: np.lib.format.read_array(source, allow_pickle=False) for n in names}
 
 
-FILES = {"ids_file": ("ids",), "lengths_file": ("cu_seqlens", "row_first"), "segments_file": ("doc", "offset", "reset")}
+FILES = {"ids_file": ("ids",), "lengths_file": ("cu_seqlens", "row_first"), "segments_file": ("doc", "known", "offset", "reset")}
 _MANIFEST = pa.schema([*((n, pa.string()) for n in FILES), ("rows", pa.int64()), ("n_ids", pa.int64())])
 
 
 def write_packed(encoded: DataFrame, files: Files, end: int, key: str = "doc_id", ids: str = "ids", row: int = ROW, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Pack rows of (key, ids as little-endian unsigned 16-bit integers) and write the shards' files; returns their names, a row a shard.
 
-    A segment gets the end mark, so a null or empty document is an end mark alone. A null
-    key is written as -1. Each task packs its own rows; the manifest is written before
+    A document gets the end mark, so a null or empty one is an end mark alone. A null key
+    is marked as such. Repeated rows are packed as often as they occur. Each task packs its own rows; the manifest is written before
     it is returned, so files and names stay together if a task runs again later.
     """
 
@@ -138,9 +148,8 @@ def write_packed(encoded: DataFrame, files: Files, end: int, key: str = "doc_id"
             return out
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                for own, data in zip(part.column(0).to_pylist(), raw(part.column(1)), strict=True):
+            for part, packed in steps([batch], ids):
+                for own, data in zip(part.column(0).to_pylist(), packed, strict=True):
                     docs.append(np.append(np.frombuffer(data, dtype="<u2"), np.uint16(end)))
                     keys.append(own)
                     held += len(docs[-1])
@@ -155,7 +164,7 @@ def write_packed(encoded: DataFrame, files: Files, end: int, key: str = "doc_id"
 
 
 def read_packed(manifest: DataFrame, files: Files) -> DataFrame:
-    """The rows of all shards: shard (its file of ids), row, ids (binary), cu_seqlens, doc_ids, offsets in the documents, and position resets."""
+    """The rows of all shards: shard (its file of ids), row, ids (binary), cu_seqlens, doc_ids, offsets in the documents, and position resets. A task reads one shard."""
     schema = pa.schema([("shard", pa.string()), ("row", pa.int64()), ("ids", pa.binary()), *((n, pa.list_(pa.int64())) for n in ("cu_seqlens", "doc_ids", "offsets", "resets"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,29 +180,48 @@ def read_packed(manifest: DataFrame, files: Files) -> DataFrame:
                     rows = range(k, min(k + 500, len(matrix)))
                     yield table(
                         schema, [shard["ids_file"]] * len(rows), list(rows), [matrix[r].tobytes() for r in rows], [a["cu_seqlens"][first[r] : first[r + 1]].tolist() for r in rows],
-                        *([a[n][begin[r] : begin[r + 1]].tolist() for r in rows] for n in ("doc", "offset", "reset")),
+                        [[d if k else None for d, k in zip(*(a[n][begin[r] : begin[r + 1]].tolist() for n in ("doc", "known")), strict=True)] for r in rows],
+                        *([a[n][begin[r] : begin[r + 1]].tolist() for r in rows] for n in ("offset", "reset")),
                     )
 
-    return manifest.mapInArrow(run, "shard string, row long, ids binary, cu_seqlens array<long>, doc_ids array<long>, offsets array<long>, resets array<long>")
+    return spread(manifest).mapInArrow(run, "shard string, row long, ids binary, cu_seqlens array<long>, doc_ids array<long>, offsets array<long>, resets array<long>")
 
 
 _encodings: dict[str, object] = {}
 
 
+def encode_text(encoding, text: str, split: bool = True) -> list[int]:
+    """The ids of a text, as ``encode_ordinary`` gives them where it can: on long runs of white space the pattern's search overflows its stack.
+
+    So with ``split`` such a run goes around the pattern, which must end in the usual
+    rule: all of a run is one piece, but for its last character if other text follows.
+    """
+    ids, at = [], 0
+    for run in _LONG.finditer(text) if split else ():
+        stop = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : stop])
+        at = stop
+    ids += encoding.encode_ordinary(text[at:])
+    return ids
+
+
 def encode_bytes(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``ids`` (binary, little-endian unsigned 16-bit) of whole texts, by a byte-level vocabulary of at most 65,536 ids in the form of ranks; no special tokens."""
+    """``key`` and ``ids`` (binary, little-endian unsigned 16-bit) of whole texts, by a byte-level vocabulary of at most 65,536 ids in the form of ranks; no special tokens.
+
+    Null and empty texts have no ids. Repeated rows give repeated rows; other columns aren't read.
+    """
     schema = pa.schema([(key, pa.int64()), ("ids", pa.binary())])
+    split = pattern.endswith(_SPACE_RULE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        name = hashlib.sha256(ranks).hexdigest()
+        name = hashlib.sha256(ranks + pattern.encode()).hexdigest()
         if name not in _encodings:
+            _encodings.clear()
             _encodings[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}, special_tokens={})
-        encode = _encodings[name].encode_ordinary
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                yield table(schema, part.column(0), [np.array(encode(x or ""), dtype="<u2").tobytes() for x in part.column(1).to_pylist()])
+        for part, texts in steps(batches, text):
+            yield table(schema, part.column(0), [np.array(encode_text(_encodings[name], x.decode(), split), dtype="<u2").tobytes() for x in texts])
 
     return keyed(docs, key, text).mapInArrow(run, f"{key} long, ids binary")

@@ -115,7 +115,7 @@ def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = new_folder(spark, "packed")
     encoded = encode_bytes(documents(spark, sf_dir), read_model(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    rows = read_packed(write_packed(encoded, files, end=50256).repartition("ids_file"), files)
+    rows = read_packed(write_packed(encoded, files, end=50256), files)
     return rows.select("shard", "row", F.sha2("ids", 256).alias("ids_sha256"), "doc_ids", "offsets", "cu_seqlens", "resets")
 
 
