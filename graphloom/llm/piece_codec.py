@@ -29,9 +29,11 @@ import pyarrow as pa
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Recent, keyed, raw, table
+from .common import Recent, keyed, steps, table
 
 MARK = "▁"
+#: Bytes of text, or of ids, that a task has at a time.
+_STEP = 1 << 20
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -269,10 +271,9 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         begin, end = (np.array([i], dtype="<u4").tobytes() if ends else b"" for i in (codec.bos, codec.eos))
-        for batch in batches:
-            for part in _parts(batch):
-                ids = [begin + codec.encode_raw(x.decode()) + end for x in raw(part.column(1))]
-                yield table(schema, part.column(0), [len(x) // 4 for x in ids], ids)
+        for part, texts in steps(batches, text, _STEP):
+            ids = [begin + codec.encode_raw(x.decode()) + end for x in texts]
+            yield table(schema, part.column(0), [len(x) // 4 for x in ids], ids)
 
     return keyed(docs, key, text).mapInArrow(run, f"{key} long, n_tokens long, ids binary")
 
@@ -283,10 +284,8 @@ def decode_documents(encoded: DataFrame, model: bytes, key: str = "doc_id", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
-        for batch in batches:
-            for part in _parts(batch):
-                packed = raw(part.column(1))
-                yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, _decoded(codec, packed))
+        for part, packed in steps(batches, ids, _STEP):
+            yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, _decoded(codec, packed))
 
     return keyed(encoded, key, ids).mapInArrow(run, f"{key} long, n_tokens long, ids binary, text string")
 
@@ -298,10 +297,9 @@ def round_trip(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model)
         begin, end = (np.array([i], dtype="<u4").tobytes() if ends else b"" for i in (codec.bos, codec.eos))
-        for batch in batches:
-            for part in _parts(batch):
-                packed = [begin + codec.encode_raw(x.decode()) + end for x in raw(part.column(1))]
-                yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, _decoded(codec, packed))
+        for part, texts in steps(batches, text, _STEP):
+            packed = [begin + codec.encode_raw(x.decode()) + end for x in texts]
+            yield table(schema, part.column(0), [len(x) // 4 for x in packed], packed, _decoded(codec, packed))
 
     return keyed(docs, key, text).mapInArrow(run, f"{key} long, n_tokens long, ids binary, text string")
 
@@ -313,7 +311,3 @@ def _coded(key: str) -> pa.Schema:
 def _decoded(codec: PieceCodec, packed: list[bytes]) -> pa.Array:
     texts = [codec.decode_raw(np.frombuffer(x, dtype="<u4").tolist()) for x in packed]
     return pa.array(texts, type=pa.binary()).cast(pa.string())
-
-
-def _parts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
