@@ -9,6 +9,9 @@ at most s - 1 edits. That distance is computed for all hits of a step at once by
 bit-parallel recursion, one machine word a hit. Only what remains is verified against the
 whole item, with the same recursion on long integers. No filter loses a match.
 
+An item of fewer than LEAST_BYTES bytes is no evidence, as ordinary text holds it by chance:
+it is found too, as whole words without edits, but listed apart and never drops a text.
+
 Items travel to the tasks in blocks of bounded size, each block with a pass of its own
 over the documents.
 """
@@ -30,7 +33,7 @@ from .common import keyed, steps, table
 
 #: Share of an item's bytes that may be edited.
 RATE = 0.10
-#: An item of fewer bytes is no evidence: ordinary text holds it by chance.
+#: An item of fewer bytes is listed apart.
 LEAST_BYTES = 40
 #: Bytes of items that one pass searches for.
 BLOCK_BYTES = 2 << 20
@@ -82,7 +85,17 @@ class Group:
 class Finder:
     """Items as an automaton of pieces, groups of pieces and whole patterns."""
 
-    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, bytes]], rate: float = RATE, least: int = LEAST_BYTES):
+        short: dict[bytes, list[int]] = defaultdict(list)
+        for i, p in items:
+            if len(p) < least:
+                short[p].append(i)
+        self.short = ahocorasick.Automaton()
+        for p, ids in short.items():
+            self.short.add_word(f" {p.decode('latin-1')} ", ids)
+        if short:
+            self.short.make_automaton()
+        items = [(i, p) for i, p in items if len(p) >= least]
         self.ids = [i for i, _ in items]
         self.patterns = [p for _, p in items]
         self.budgets = [int(rate * len(p)) for p in self.patterns]
@@ -137,6 +150,12 @@ class Finder:
             up, down = minus | ~(vertical | plus), plus & vertical
         return best <= allowed
 
+    def find_short(self, texts: list[bytes]) -> list[list[int]]:
+        """The short items that each normal text holds as whole words."""
+        if not len(self.short):
+            return [[] for _ in texts]
+        return [sorted({i for _, ids in self.short.iter(f" {x.decode('latin-1')} ") for i in ids}) for x in texts]
+
     def find(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each normal text its items: (item id, edits, first word, past the last word), one entry an item, its closest and earliest match."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -184,65 +203,69 @@ class Finder:
         return [sorted(x) for x in out]
 
 
-def blocks_of_items(benchmark: DataFrame, item: str, text: str, least: int, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items as the driver holds them: at most about ``block_bytes`` at a time."""
+def blocks_of_items(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items, in normal form and not empty, as the driver holds them: at most about ``block_bytes`` at a time."""
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
         found = sorted({(r.i, normal(r.t.encode())) for r in own.collect()})
-        yield [(i, p) for i, p in found if len(p) >= least]
+        yield [(i, p) for i, p in found if p]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``key``, ``item_ids``, ``edits``, ``first_words`` and ``last_words`` (arrays that correspond) of every row.
+    """``key``, ``item_ids``, ``edits``, ``first_words`` and ``last_words`` (arrays that correspond) of every row, and ``short_ids``.
 
     Words count from 0 in the normal text; the last one is past the match. Null and empty
-    texts hold no item. Null items, and items under ``least`` bytes, are never found;
-    items with equal texts are all reported. Without items every list is empty. If the
-    items need several passes, rows of one key share what is found in any of them.
+    texts hold no item. Items under ``least`` bytes are listed in short_ids alone, if the
+    text holds them as whole words. Null items, and items without a letter or digit, are
+    never found; items with equal texts are all reported. Without items every list is
+    empty. If the items need several passes, rows of one key share what is found in any.
     """
     names = ("item_ids", "edits", "first_words", "last_words")
-    schema = pa.schema([(key, pa.int64()), *((n, pa.list_(pa.int64())) for n in names)])
-    columns = ", ".join(f"{n} array<long>" for n in names)
+    names_short = (*names, "short_ids")
+    schema = pa.schema([(key, pa.int64()), *((n, pa.list_(pa.int64())) for n in names_short)])
+    columns = ", ".join(f"{n} array<long>" for n in names_short)
     plain = keyed(docs, key, text)
 
     def search(items: list[tuple[int, bytes]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value, rate)
+            finder = Finder(shared.value, rate, least)
             for part, texts in steps(batches, text, 2 << 20):
-                found = finder.find([normal(x) for x in texts])
-                yield table(schema, part.column(0), *([[m[k] for m in own] for own in found] for k in range(4)))
+                texts = [normal(x) for x in texts]
+                found = finder.find(texts)
+                yield table(schema, part.column(0), *([[m[k] for m in own] for own in found] for k in range(4)), finder.find_short(texts))
 
         return plain.mapInArrow(run, f"{key} long, {columns}")
 
-    parts = [search(items) for items in blocks_of_items(benchmark, item, item_text, least, block_bytes)]
+    parts = [search(items) for items in blocks_of_items(benchmark, item, item_text, block_bytes)]
     if not parts:
-        return plain.select(key, *(F.array().cast("array<long>").alias(n) for n in names))
+        return plain.select(key, *(F.array().cast("array<long>").alias(n) for n in names_short))
     if len(parts) == 1:
         return parts[0]
     # Rows of one key share their items here: each pass found those of its own block.
-    zipped = [p.select(key, F.arrays_zip(*names).alias("m")).where(F.size("m") > 0) for p in parts]
-    hits = reduce(DataFrame.union, zipped).groupBy(F.col(key).alias("k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))).alias("m"))
+    zipped = [p.select(key, F.arrays_zip(*names).alias("m"), "short_ids").where((F.size("m") > 0) | (F.size("short_ids") > 0)) for p in parts]
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    hits = reduce(DataFrame.union, zipped).groupBy(F.col(key).alias("k")).agg(every("m").alias("m"), every("short_ids").alias("short_ids"))
     joined = plain.select(key).join(hits, F.col(key).eqNullSafe(F.col("k")), "left")
-    return joined.select(key, *(F.coalesce(F.col(f"m.{n}"), F.array().cast("array<long>")).alias(n) for n in names))
+    return joined.select(key, *(F.coalesce(F.col(c), F.array().cast("array<long>")).alias(n) for n, c in [*((n, f"m.{n}") for n in names), ("short_ids", "short_ids")]))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, least: int = LEAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows, with all their columns, whose text holds no item."""
-    for items in blocks_of_items(benchmark, "item_id", "text", least, block_bytes):
-        docs = _without(docs, items, text, rate)
+    """The rows, with all their columns, whose text holds no item of ``least`` bytes or more. Null and empty texts hold none; repeated rows share one fate."""
+    for items in blocks_of_items(benchmark, "item_id", "text", block_bytes):
+        docs = _without(docs, [(i, p) for i, p in items if len(p) >= least], text, rate, least)
     return docs
 
 
-def _without(docs: DataFrame, items: list[tuple[int, bytes]], text: str, rate: float) -> DataFrame:
+def _without(docs: DataFrame, items: list[tuple[int, bytes]], text: str, rate: float, least: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value, rate)
+        finder = Finder(shared.value, rate, least)
         for part, texts in steps(batches, text, 2 << 20):
             yield part.filter(pa.array([not x for x in finder.find([normal(x) for x in texts])], type=pa.bool_()))
 

@@ -35,6 +35,8 @@ SCRIPTS = 11
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 BLOCK = 128
+#: Bytes of one text that are held in arrays at a time.
+_PIECE = 4 << 20
 
 #: Letters of ASCII in lower case and all bytes of other characters stay, all else parts words.
 _FOLD = bytes(32 if b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if b < 91 else b for b in range(256))
@@ -85,8 +87,34 @@ def _scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.array(SCRIPT_NUMBERS)[np.searchsorted(SCRIPT_STARTS, point, side="right") - 1]
 
 
-def word_scores(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores of all words (words, languages), at most 0; the number of bytes of each; the number of words of each text."""
+def _cut(text: bytes, limit: int) -> Iterator[bytes]:
+    """The text in pieces of about ``limit`` bytes that end at white space: no word is cut."""
+    at = 0
+    while len(text) - at > limit:
+        stop = max(text.rfind(b" ", at, at + limit), text.rfind(b"\n", at, at + limit)) + 1
+        if not stop:
+            stop = text.find(b" ", at + limit) + 1
+            if not stop:
+                break
+        yield text[at:stop]
+        at = stop
+    yield text[at:] if at else text
+
+
+def word_scores(texts: list[bytes], model: LanguageModel, limit: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of all words (words, languages), at most 0; the number of bytes of each; the number of words of each text. A longer text goes through in pieces."""
+    limit = limit or _PIECE
+    if all(len(x) <= limit for x in texts):
+        return _word_scores(texts, model)
+    parts, counts = [], []
+    for x in texts:
+        own = [_word_scores([piece], model) for piece in _cut(x, limit)]
+        parts += own
+        counts.append(sum(int(c.sum()) for *_, c in own))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array(counts, dtype=np.int64)
+
+
+def _word_scores(texts: list[bytes], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, starts, counts = _words(texts)
     if not counts.sum():
         return np.zeros((0, len(model.languages))), np.zeros(0, dtype=np.int64), counts
@@ -152,7 +180,11 @@ def label_words(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.nd
 
 
 def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang", switch_penalty: float = 12.0) -> LanguageModel:
-    """A model of the languages in column ``lang`` from all rows whose language isn't null. The result has languages x 65,537 numbers."""
+    """A model of the languages in column ``lang`` from all rows whose language isn't null. The result has languages x 65,537 numbers.
+
+    Null and empty texts add nothing, repeated rows count as often as they occur. Without
+    words of a language its n-grams are all equally likely and no script is its own.
+    """
     spark_schema = "lang string, kind int, bucket int, n long"
     schema = pa.schema([("lang", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
@@ -161,8 +193,11 @@ def train_languages(docs: DataFrame, text: str = "text", lang: str = "lang", swi
         for part, texts in steps(batches, text):
             names = part.column(1).to_pylist()
             for name in set(names):
-                data, starts, counts = _words([x for x, own in zip(texts, names, strict=True) if own == name])
-                if counts.sum():
+                own = [x for x, lang_of in zip(texts, names, strict=True) if lang_of == name]
+                groups = [own] if max(map(len, own)) <= _PIECE else [[piece] for x in own for piece in _cut(x, _PIECE)]
+                for data, starts, counts in map(_words, groups):
+                    if not counts.sum():
+                        continue
                     total = grams.setdefault(name, np.zeros(BUCKETS + 1 + SCRIPTS, dtype=np.int64))
                     for n in ORDERS:
                         total[: BUCKETS + 1] += np.bincount(_buckets(data, n), minlength=BUCKETS + 1)

@@ -65,6 +65,30 @@ def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return code, sizes
 
 
+def parts_of(texts: list[bytes], order: int = ORDER, limit: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """What grams_of gives, about ``limit`` bytes at a time: the first text of a part, its grams, and their number for it and each text after it. A longer text is cut into several parts."""
+    limit = limit or _STEP
+    first, size = 0, 0
+    for i, x in enumerate(texts):
+        if first < i and size + len(x) > limit:
+            yield first, *grams_of(texts[first:i], order)
+            first, size = i, 0
+        if len(x) <= limit:
+            size += len(x) + 1
+            continue
+        first = i + 1
+        for a in range(0, len(x) + 1, limit):
+            b, begin = min(a + limit, len(x) + 1), max(0, a - order)
+            known = np.frombuffer(x, dtype=np.uint8, offset=begin, count=min(b, len(x)) - begin)
+            symbols = np.concatenate((np.full(order - (a - begin), START), known, [END] if b > len(x) else [])).astype(np.int64)
+            code = np.zeros(b - a, dtype=np.int64)
+            for k in range(order, -1, -1):
+                code = code << BITS | symbols[order - k : order - k + b - a]
+            yield i, code, np.array([b - a])
+    if first < len(texts):
+        yield first, *grams_of(texts[first:], order)
+
+
 @dataclass(frozen=True)
 class Trie:
     """For each order the sorted grams and their log10 probabilities, the sorted contexts and their log10 escapes, alone and after an escape from a longer context."""
@@ -131,16 +155,18 @@ class Scorer:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability, its end included."""
-        code, sizes = grams_of(texts, self.order)
-        slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        value = self.values[slot]
-        missed = np.flatnonzero(self.keys[slot] != code)
-        if missed.size:
-            fresh, back = np.unique(code[missed], return_inverse=True)
-            logs = self.trie.logs(fresh)
-            value[missed] = logs[back]
-            self.keys[slot[missed]], self.values[slot[missed]] = code[missed], value[missed]
-        return np.add.reduceat(value, np.cumsum(sizes) - sizes)
+        out = np.zeros(len(texts))
+        for first, code, sizes in parts_of(texts, self.order):
+            slot = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            value = self.values[slot]
+            missed = np.flatnonzero(self.keys[slot] != code)
+            if missed.size:
+                fresh, back = np.unique(code[missed], return_inverse=True)
+                logs = self.trie.logs(fresh)
+                value[missed] = logs[back]
+                self.keys[slot[missed]], self.values[slot[missed]] = code[missed], value[missed]
+            out[first : first + len(sizes)] += np.add.reduceat(value, np.cumsum(sizes) - sizes)
+        return out
 
 
 @dataclass(frozen=True)
@@ -155,14 +181,7 @@ class Blocks:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability, its end included; one block is in memory at a time."""
-        parts, size = [[]], 0
-        for x in texts:
-            if size + len(x) > _STEP and parts[-1]:
-                parts.append([])
-                size = 0
-            parts[-1].append(x)
-            size += len(x)
-        codes = np.unique(np.concatenate([np.unique(grams_of(p, self.order)[0]) for p in parts]))
+        codes = np.unique(np.concatenate([np.unique(code) for _, code, _ in parts_of(texts, self.order)]))
         values, block = np.zeros(len(codes)), np.searchsorted(self.starts, _pair(codes), side="right") - 1
         for b in np.unique(block).tolist():
             own = np.flatnonzero(block == b)
@@ -170,11 +189,10 @@ class Blocks:
             for k in range(0, len(own), _CACHE):
                 values[own[k : k + _CACHE]] = trie.logs(codes[own[k : k + _CACHE]])
             del trie
-        out = []
-        for p in parts:
-            code, sizes = grams_of(p, self.order)
-            out.append(np.add.reduceat(values[np.searchsorted(codes, code)], np.cumsum(sizes) - sizes))
-        return np.concatenate(out)
+        out = np.zeros(len(texts))
+        for first, code, sizes in parts_of(texts, self.order):
+            out[first : first + len(sizes)] += np.add.reduceat(values[np.searchsorted(codes, code)], np.cumsum(sizes) - sizes)
+        return out
 
 
 def _pair(gram):
@@ -253,11 +271,12 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int |
             for x in texts:
                 words.update(x.split())
             words[END_WORD] += len(texts)
-            pending.append(np.unique(grams_of(texts, order)[0], return_counts=True))
+            for _, code, _ in parts_of(texts, order):
+                pending.append(np.unique(code, return_counts=True))
+                if sum(len(g) for g, _ in pending) > _HELD_GRAMS:
+                    grams, counts = merged()
             if len(words) > _HELD_WORDS:
                 yield from word_rows()
-            if sum(len(g) for g, _ in pending) > _HELD_GRAMS:
-                grams, counts = merged()
             if len(grams) > _HELD_GRAMS:
                 yield table(schema, pa.nulls(len(grams), pa.binary()), grams, counts)
                 grams, counts = grams[:0], counts[:0]

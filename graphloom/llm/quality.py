@@ -93,13 +93,15 @@ def _draft(mean: np.ndarray, scale: np.ndarray, waves: int, width: float, seed:
 def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 4, class_rows: int = CLASS_ROWS, waves: int = 384, width: float = 4.0, ridge: float = 1e-2, seed: int = 7) -> QualityModel:
     """Fit on a sample of about ``class_rows`` labelled training rows of each class at most.
 
-    Without labelled rows of both classes every text scores alike: the only class, or one half.
+    Without labels of both classes every text scores alike: the only class, or one half;
+    one half too if no labelled row is among ``docs``. Null texts are empty, repeated rows
+    count as often as they occur, of several labels of one key the smallest counts.
     """
     sample, weight = labelled_sample(docs, labels, label, key, text, modulus, class_rows)
+    width_of = len(STATISTICS)
+    flat = _draft(np.zeros(width_of), np.ones(width_of), waves, width, seed)
     if set(weight) != {0, 1}:
-        flat = _draft(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), waves, width, seed)
         return flat if not weight else QualityModel(flat.mean, flat.scale, flat.projection, flat.phase, flat.weights, flat.knots, np.array([float(set(weight) == {1})]))
-    width_of = len(STATISTICS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("y", pa.int32()), ("stats", pa.list_(pa.float64()))])
@@ -110,6 +112,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     measured = written(sample.mapInArrow(measure, "part int, y int, stats array<double>"), "statistics")
     of = [F.get("stats", F.lit(k)) for k in range(width_of)]
     moments = measured.agg(*(F.avg(c) for c in of), *(F.stddev_pop(c) for c in of)).first()
+    if moments[0] is None:
+        return flat
     draft = _draft(np.array(moments[:width_of], dtype=float), np.array(moments[width_of:], dtype=float), waves, width, seed)
 
     def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,7 +167,7 @@ def score_quality(docs: DataFrame, model: QualityModel, key: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows, with all their columns, whose text scores at the threshold or above."""
+    """The rows, with all their columns, whose text scores at the threshold or above. Null and empty texts have statistics of zero; repeated rows share one fate."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

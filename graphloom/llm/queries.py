@@ -102,7 +102,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
 
     found = find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits")
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "edits", "short_ids")
 
 
 @query

@@ -2,8 +2,9 @@
 
 A word's features are the word and its first 4, 5 and 6 bytes, so that inflected forms
 share evidence. A feature scores the lower confidence bound of its log odds in toxic
-against other documents, under a Dirichlet prior of half a text and the feature's overall rate; a word
-scores its best feature if that is high enough, and a small negative drift otherwise.
+against other documents, under a Dirichlet prior: half a text with the feature and half
+without, and ``prior`` texts in which it has its overall rate. A word scores its best
+feature if that is high enough, and a small negative drift otherwise.
 Ruzzo and Tompa's scan finds all maximal segments of a text in linear time. Their scores
 are calibrated by extreme-value theory (Karlin and Altschul): lambda solves
 E[exp(lambda score)] = 1 over words of clean documents, K follows from the segments found
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, steps, table
+from .common import Recent, steps, table, written
 from .labelled import CLASS_ROWS, labelled_sample, logistic
 
 _FOLD = bytes(32 if b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if b < 91 else b for b in range(256))
@@ -39,6 +40,14 @@ def features_of(word: bytes) -> set[bytes]:
     return {word + b" "} | {word[:k] for k in (4, 5, 6) if len(word) >= k}
 
 
+def lower_log_odds(a: int, n1: int, b: int, n0: int, prior: float) -> float:
+    """The lower 95 % bound of the log odds ratio of a feature in ``a`` of n1 texts against ``b`` of n0, under its Dirichlet prior."""
+    rate = (a + b) / (n1 + n0)
+    has, lacks = 0.5 + prior * rate, 0.5 + prior * (1 - rate)
+    odds = math.log((a + has) / (n1 - a + lacks)) - math.log((b + has) / (n0 - b + lacks))
+    return odds - 1.64 * math.sqrt(1 / (a + has) + 1 / (b + has))
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     lexicon: dict[bytes, float] = field(default_factory=dict)
@@ -88,12 +97,14 @@ def _segments(words: list[bytes], score: Recent, drift: float) -> tuple[list[tup
     return maximal_segments(positive, drift), [s for _, s in positive]
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, class_rows: int = CLASS_ROWS, drift: float = 0.5, least_odds: float = 2.5, prior: float = 100.0) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 4, class_rows: int = CLASS_ROWS, drift: float = 0.5, least_odds: float = 2.5, prior: float = 10.0) -> ToxicityModel:
     """Fit on a sample of at most about ``class_rows`` labelled training rows of each class.
 
     Candidate features occur in 0.2 % of the toxic texts and in 5 of them at least, which
-    bounds their number by 500 times the features of a text, whatever the corpus. Without
-    labelled rows of both classes the model scores every text alike, below 0.05.
+    bounds their number by 500 times the features of a text, whatever the corpus; weaker
+    evidence than ``least_odds`` counts for nothing. Without labelled texts of both classes
+    the model scores every text alike, below 0.05. Null texts are empty, repeated rows
+    count as often as they occur, of several labels of one key the smallest counts.
     """
     sample, weight = labelled_sample(docs, labels, label, key, text, modulus, class_rows)
     if set(weight) != {0, 1}:
@@ -128,41 +139,57 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     lexicon = {}
     for f, a in toxic.items():
         b = clean.get(f, 0)
-        share = 0.5 + prior * (a + b) / (n1 + n0) ** 2
-        odds = math.log((a + share) / (n1 + prior - a - share)) - math.log((b + share) / (n0 + prior - b - share)) if n1 + prior > a + share and n0 + prior > b + share else 0.0
-        bound = odds - 1.64 * math.sqrt(1 / (a + share) + 1 / (b + share))
+        bound = lower_log_odds(a, n1, b, n0, prior)
         if bound >= least_odds:
             lexicon[f] = bound
     if not lexicon:
         return ToxicityModel(drift=drift)
 
     draft = ToxicityModel(lexicon, drift)
-    schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64())), ("segments", pa.list_(pa.float64()))])
+    schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("values", pa.list_(pa.float64())), ("times", pa.list_(pa.int64())), ("segments", pa.list_(pa.float64()))])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Recent(draft.word_score, 150_000)
         for part, texts in steps(batches, text):
             words = [words_of(x) for x in texts]
             found = [_segments(w, score, drift) for w in words]
-            yield table(schema, part.column(part.schema.get_field_index("y")), [len(w) for w in words], [s for _, s in found], [[s for *_, s in seg] for seg, _ in found])
+            counts = [Counter(s) for _, s in found]
+            yield table(schema, part.column(part.schema.get_field_index("y")), [len(w) for w in words], [list(c) for c in counts], [list(c.values()) for c in counts], [[s for *_, s in seg] for seg, _ in found])
+
+    measured = written(sample.mapInArrow(segments, "y int, n long, values array<double>, times array<long>, segments array<double>"), "segments")
+    clean_rows = measured.where("y = 0")
+    words_in, reached = (x or 0 for x in clean_rows.agg(F.sum("n"), F.sum(F.size("segments"))).first())
+    # A word's score is one of the lexicon's: no more rows than that.
+    counts = clean_rows.select(F.explode(F.arrays_zip("values", "times")).alias("v")).groupBy("v.values").agg(F.sum("v.times").alias("n")).collect()
+    lam, k = karlin_altschul({r["values"]: r["n"] for r in counts}, words_in, reached, drift, float(np.mean(list(lexicon.values()))))
+    model = ToxicityModel(lexicon, drift, lam, k)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, n, scores = (batch.column(c).to_pylist() for c in range(3))
+            yield table(pa.schema([("y", pa.int32()), ("evidence", pa.float64())]), y, [model.evidence(*x) for x in zip(n, scores, strict=True)])
+
+    # Two numbers a sampled row.
+    rows = measured.select("y", "n", "segments").mapInArrow(weigh, "y int, evidence double").toArrow()
+    y = rows["y"].to_numpy().astype(float)
+    intercept, slope = logistic(np.log1p(rows["evidence"].to_numpy()), y, np.where(y == 1, weight[1], weight[0]))
+    return ToxicityModel(lexicon, drift, lam, k, intercept, slope)
 
-    rows = sample.mapInArrow(segments, "y int, n long, scores array<double>, segments array<double>").toArrow().to_pylist()
-    clean_rows = [r for r in rows if r["y"] == 0]
-    total = sum(r["n"] for r in clean_rows) + 1
-    positive = np.array([s for r in clean_rows for s in r["scores"]] + [float(np.mean(list(lexicon.values())))])
-    low, high = 0.0, 50.0
+
+def karlin_altschul(positive: dict[float, int], words: int, segments: int, drift: float, typical: float) -> tuple[float, float]:
+    """lambda and K of clean texts: how often each positive score occurs among so many words, all others scoring -drift, and the number of their segments.
+
+    One more word, of the typical score, and one more segment stand for what the sample didn't show.
+    """
+    counts = Counter(positive)
+    counts[typical] += 1
+    scores, times = np.array(list(counts)), np.array(list(counts.values()), dtype=float)
+    total, low, high = words + 1, 0.0, 50.0
     for _ in range(100):  # the sum is convex and below 0 just above lambda = 0, as positive scores are rare among clean words
         lam = (low + high) / 2
-        excess = np.exp(np.minimum(600, lam * positive)).sum() + (total - len(positive)) * math.exp(-lam * drift) - total
+        excess = (times * np.exp(np.minimum(600, lam * scores))).sum() + (total - times.sum()) * math.exp(-lam * drift) - total
         low, high = (low, lam) if excess > 0 else (lam, high)
-    least = float(positive.min())
-    reached = 1 + sum(s >= least for r in clean_rows for s in r["segments"])
-    k = reached / (total * math.exp(-lam * least))
-    model = ToxicityModel(lexicon, drift, lam, k)
-    x = np.log1p([model.evidence(r["n"], r["segments"]) for r in rows])
-    y = np.array([r["y"] for r in rows], dtype=float)
-    intercept, slope = logistic(x, y, np.where(y == 1, weight[1], weight[0]))
-    return ToxicityModel(lexicon, drift, lam, k, intercept, slope)
+    return lam, (segments + 1) / (total * math.exp(-lam * float(scores.min())))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -193,7 +220,7 @@ def _judged(data: bytes, model: ToxicityModel, score: Recent) -> tuple[float, li
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows, with all their columns, whose text scores below the threshold."""
+    """The rows, with all their columns, whose text scores below the threshold. Null and empty texts score lowest and stay; repeated rows share one fate."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,9 +50,11 @@ def test_tables(spark, make, odd):
     rng = random.Random(3)
     bench = spark.createDataFrame([(i, p.decode()) for i, p in items(rng)] + [(50, None), (None, "x" * 60), (51, "too short"), (52, "")], "item_id long, text string")
     first, second = (r.text for r in bench.orderBy("item_id").where("item_id IN (0, 1)").collect())
-    docs = make([*odd, (20, "Before. " + first.upper() + " after"), (21, first + "\n" + second), (22, "clean text, not much of it")])
+    docs = make([*odd, (20, "Before. " + first.upper() + " after"), (21, first + "\n" + second), (22, "clean text, not much of it; too shorty"), (23, "that is TOO  short!")])
     for block in (1 << 20, 64):  # one pass, and many
         got = {r.doc_id: sorted(r.item_ids) for r in find_items(docs, bench, block_bytes=block).collect()}
+        short = {r.doc_id: r.short_ids for r in find_items(docs, bench, block_bytes=block).collect()}
+        assert short[23] == [51] and not any(v for k, v in short.items() if k != 23)
         assert got[20] == [0] and got[21] == [0, 1] and not any(v for k, v in got.items() if k not in (20, 21))
         kept = drop_contaminated(docs, bench, block_bytes=block)
         assert kept.columns == docs.columns and kept.count() == docs.count() - 2
@@ -68,5 +70,25 @@ def test_edited_items_at_the_start_of_later_texts():
     want = [[(i, d) for i, p in every if (d := brute_distance(p, text)) <= int(0.1 * len(p))] for text in texts]
     assert all(want)
     for n in (1, len(texts)):  # each alone, and all in one step
-        got = [x for k in range(0, len(texts), n) for x in Finder(every).find(texts[k : k + n])]
+        got = [x for k in range(0, len(texts), n) for x in Finder(every, least=1).find(texts[k : k + n])]
         assert [[(i, e) for i, e, *_ in own] for own in got] == want
+
+
+def test_query_against_brute_force(spark, make, tmp_path):
+    """The registered query, on a small table: every text against every item by dynamic programming."""
+    from graphloom.llm.queries import QUERIES
+
+    rng = random.Random(6)
+    every = items(rng, 8)
+    rows = []
+    for k in range(60):
+        _, p = rng.choice(every)
+        parts = [rng.choice(every)[1][:25], edited(rng, p, rng.randint(0, len(p) // 7)), rng.choice(every)[1][3:30]]
+        rng.shuffle(parts)
+        rows.append((k, " ".join(x.decode() for x in parts[: rng.randint(1, 3)])))
+    make(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, p.decode()) for i, p in every], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.contaminated, r.item_ids, r.edits) for r in QUERIES["op1_decontaminate"](spark, str(tmp_path)).collect()}
+    for k, text in rows:
+        want = [(i, d) for i, p in every if (d := brute_distance(p, normal(text.encode()))) <= int(0.1 * len(p))]
+        assert got[k] == (bool(want), [i for i, _ in want], [d for _, d in want])

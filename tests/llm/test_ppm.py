@@ -2,7 +2,9 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from graphloom.llm.ppm import END, ORDER, START, SYMBOLS, score_texts, train
+import numpy as np
+
+from graphloom.llm.ppm import END, ORDER, START, SYMBOLS, grams_of, parts_of, score_texts, train
 
 
 def corpus(rng, n):
@@ -75,3 +77,16 @@ def test_every_gram_is_kept(make):
         assert size is None or len(trie.names) > 5
         rows = {r.doc_id: r.score for r in score_texts(make(list(enumerate(fresh))), words, trie).collect()}
         assert all(math.isclose(rows[k], w, rel_tol=1e-9) for k, w in enumerate(want))
+
+
+def test_long_texts_in_parts():
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 5, 100, 31, 32, 33, 7, 64, 0, 200, 3)]
+    code, sizes = grams_of(texts)
+    ends = np.cumsum(sizes)
+    for limit in (8, 32, 1000):
+        got, counted = [], np.zeros(len(texts), dtype=int)
+        for first, own, n in parts_of(texts, 5, limit):
+            got.append(own)
+            counted[first : first + len(n)] += n
+        assert np.concatenate(got).tolist() == code.tolist() and counted.tolist() == sizes.tolist() and ends[-1] == counted.sum()
