@@ -8,11 +8,13 @@ checksum of each round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -44,6 +46,50 @@ def components(edges: DataFrame) -> DataFrame:
         edges = _small_star(_large_star(edges).distinct()).distinct()
 
 
+#: Items of a large list that every one of its tiles holds, about.
+PIVOTS = 8
+
+
+def components_of_lists(filed: DataFrame, names: list[str], item: str, size: Column, limit: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components, as ``components`` gives them, over the links within each list.
+
+    ``filed`` has a row for each list (columns ``names``), item (a long) and payload;
+    ``compare`` takes such rows, in tasks that hold whole lists, sorted by list, tile
+    and item, and gives links ``a``, ``b`` that join whatever is linked within a list.
+    A list of more than ``limit`` (sum of ``size``) is dealt out by tiles of half of that, each
+    with some common pivots. As a rule that joins most of a large list; what is outside of
+    its largest component so far is then held against all tiles. So no link is lost, and
+    a list whose members are alike costs about as much a member as a small one.
+    """
+    totals = filed.groupBy(*names).agg(F.sum(size).alias("_size"), F.count(F.lit(1)).alias("_n")).where(F.col("_size") > limit)
+    heavy = written(totals.withColumn("_tiles", F.ceil(F.col("_size") / (limit // 2))), "heavy")
+    own = F.pmod(F.xxhash64(item), F.col("_tiles"))
+    pivot = F.pmod(F.xxhash64(item, F.lit("pivot")), F.col("_n")) < PIVOTS
+    every = F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)
+
+    def dealt(rows: DataFrame, tiles: Column) -> DataFrame:
+        # Each tile is a list of its own; small lists are tile 0.
+        payload = [c for c in filed.columns if c not in names]
+        return rows.select(*names, F.explode(tiles).alias("tile"), *payload).repartition(*names, "tile").sortWithinPartitions(*names, "tile", item)
+
+    known = small(heavy, 64)
+    first = F.when(F.col("_tiles").isNull(), F.array(F.lit(0).cast("long"))).when(pivot, every).otherwise(F.array(own))
+    roots = components(compare(dealt(filed.join(known, names, "left"), first)))
+    if heavy.isEmpty():
+        return roots
+    rooted = filed.join(known, names).join(roots.select(F.col("a").alias(item), F.col("b").alias("_root")), item, "left").withColumn("_root", F.coalesce("_root", item))
+    rooted = written(rooted, "rooted")
+    main = rooted.groupBy(*names, "_root").agg(F.sum(size).alias("_part")).groupBy(*names).agg(F.max_by("_root", F.struct("_part", "_root")).alias("_main"), F.sum("_part").alias("_all"), F.max("_part").alias("_most"))
+    main = written(main.where("_most < _all").select(*names, "_main", F.ceil((F.col("_all") - F.col("_most")) / (limit // 2)).alias("_outer")), "main")
+    if main.isEmpty():
+        return roots
+    crossed = rooted.join(small(main, 64), names)
+    beside = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_outer") - 1), lambda a: a * (1 << 31) + own)
+    outside = F.transform(every, lambda b: F.pmod(F.xxhash64(item, F.lit("outer")), F.col("_outer")) * (1 << 31) + b)
+    both = F.when(F.col("_root") == F.col("_main"), beside).otherwise(F.array_distinct(F.concat(beside, outside)))
+    return components(roots.union(compare(dealt(crossed, both))))
+
+
 class Forest:
     """Union-find over 0..n-1 within one task; an element's root is the smallest of its set."""
 

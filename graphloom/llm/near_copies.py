@@ -12,7 +12,7 @@ rows as it has members, and what is tied together is a list.
 A list is compared in bit slices (``Slices``): a search that goes from text to text asks
 for the open fingerprints within the radius, and what it finds is verified by the exact
 sets of shingles. What it has reached is closed, so copies of one text are met once. A
-list of many bytes is dealt out by pairs of tiles.
+list of many bytes is dealt out by tiles (``components_of_lists``).
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, small, steps, table, written
-from .components import components
+from .components import components, components_of_lists
 from .simhash import Slices, bit_sums, keep_first, majorities, shingle_hashes
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
 HASHES = BANDS * ROWS
-#: Bytes of shingles of one cluster that a task compares; larger clusters are dealt out by pairs of tiles of half of that.
+#: Bytes of shingles of one cluster that a task compares; larger clusters are dealt out by tiles of half of that.
 LIST_BYTES = 8 << 20
 _SEEDS = np.random.default_rng(0x0C0B1E5).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 
@@ -161,17 +161,6 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return tied.select(F.col("a").alias("h"), F.col("b").alias("cluster")).union(tied.select("b", "b").distinct())
 
 
-def _dealt(sets: DataFrame, list_bytes: int) -> DataFrame:
-    """cluster, tile, h, shingles: each list of texts that one task compares, in order."""
-    sizes = sets.groupBy("cluster").agg(F.sum(F.octet_length("shingles")).alias("bytes")).where(F.col("bytes") > list_bytes)
-    sizes = small(written(sizes, "sizes"))
-    tiles = F.ceil(F.col("bytes") / (list_bytes // 2)).cast("int")
-    own = F.pmod(F.xxhash64("h"), F.coalesce(tiles, F.lit(1))).cast("int")
-    pairs = F.when(F.col("bytes").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.least(t, own) * 100_000 + F.greatest(t, own)))
-    dealt = sets.join(sizes, "cluster", "left").select("cluster", F.explode(pairs).alias("tile"), "h", "shingles")
-    return dealt.repartition("cluster", "tile").sortWithinPartitions("cluster", "tile", "h")
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = LEAST, list_bytes: int = LIST_BYTES) -> DataFrame:
     """``key`` and ``component_id``, the smallest key reachable over links, for every row.
 
@@ -199,7 +188,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     once = docs.select(class_of.alias("h"), F.col(text)).join(clusters, "h").dropDuplicates(["h"]).select("cluster", "h", text)
     shingled = written(once.mapInArrow(sets, "cluster long, h long, shingles binary"), "shingles")
-    roots = components(_dealt(shingled, list_bytes).mapInArrow(lambda batches: _links(batches, least), "a long, b long"))
+    compare = lambda lists: lists.mapInArrow(lambda batches: _links(batches, least), "a long, b long")
+    roots = components_of_lists(shingled, ["cluster"], "h", F.octet_length("shingles"), list_bytes, compare)
     rooted = classes.select("h", "least").join(roots.select(F.col("a").alias("h"), F.col("b").alias("root")), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("h", "root").join(smallest, "root").select("h", "component_id")

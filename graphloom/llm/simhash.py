@@ -5,8 +5,8 @@ fingerprints link if they differ in at most ``radius`` bits. Distinct fingerprin
 into bit blocks; two that link agree on all but ``radius`` of the blocks, so each is filed
 under the value of every choice of the other blocks, and only what is filed together is
 compared. The number of blocks follows from the number of distinct fingerprints, so that
-a key's list stays short at any size; a key with many fingerprints is dealt out by pairs
-of tiles.
+a key's list stays short at any size; a key with many fingerprints is dealt out by tiles
+(``components_of_lists``).
 
 A list is compared in bit slices: plane k holds bit k of 64 fingerprints a machine word.
 For a query, the planes that disagree are added to 64 counters at once with carry-save
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, small, steps, table, written
-from .components import Forest, components
+from .components import Forest, components_of_lists
 
 RADIUS = 3
 SHINGLE = 3
-#: Fingerprints of one key that a task compares; larger keys are dealt out by pairs of tiles of half of that.
+#: Fingerprints of one key that a task compares; larger keys are dealt out by tiles of half of that.
 LIST = 8192
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -241,19 +241,12 @@ def _compare(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
         yield linked(held_lists, held)
 
 
-def fingerprint_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links ``a``, ``b`` that join all distinct fingerprints (column fp, n rows) of distance up to radius, and no others."""
+def linked_fingerprints(distinct: DataFrame, n: int, radius: int = RADIUS, most: int = LIST) -> DataFrame:
+    """Components of all distinct fingerprints (column fp, n rows) over distances up to radius, as ``components`` gives them."""
     masks = _keys(blocks_for(n, radius), radius)
-    filed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("f")).select("f.choice", "f.key", "fp")
-    heavy = written(filed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIST), "heavy")
-    # So few keys are heavy, as each has thousands of the n * choices rows; beyond the bound it is an ordinary join.
-    few = n * len(masks) // LIST <= 500_000
-    tiles = F.ceil(F.col("n") / (LIST // 2)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.coalesce(tiles, F.lit(1))).cast("int")
-    pairs = F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.least(t, own) * 100_000 + F.greatest(t, own)))
-    dealt = filed.join(F.broadcast(heavy) if few else heavy, ["choice", "key"], "left").select("choice", "key", F.explode(pairs).alias("tile"), "fp")
-    ordered = dealt.select(F.col("choice").cast("long").alias("choice"), "key", F.col("tile").cast("long").alias("tile"), "fp").repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile", "fp")
-    return ordered.mapInArrow(lambda batches: _compare(batches, radius), "a long, b long")
+    choices = F.array(*(F.struct(F.lit(k).cast("long").alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
+    filed = distinct.select("fp", F.explode(choices).alias("f")).select("f.choice", "f.key", "fp")
+    return components_of_lists(filed, ["choice", "key"], "fp", F.lit(1), most, lambda lists: lists.mapInArrow(lambda batches: _compare(batches, radius), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -265,7 +258,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     """
     marked = written(fingerprint(docs, key, text), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct.select("fp"), distinct.count(), radius))
+    roots = linked_fingerprints(distinct.select("fp"), distinct.count(), radius)
     rooted = distinct.join(roots.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")

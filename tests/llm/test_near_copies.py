@@ -64,3 +64,19 @@ def test_odd_rows(make, odd):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 4, 5, 6, 7, 10]
     assert kept.where("doc_id IS NULL").count() == 1
     assert keep_one_near_copy(make([])).count() == 0
+
+
+def test_one_hot_family(make):
+    """Hundreds of near-copies of one text among others, in lists far beyond the limit: the same classes."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+    rows = []
+    for k in range(260):
+        own = list(words)
+        for _ in range(rng.choice([1, 1, 2, 3, 9])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(9999)}"
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, t) for k, t in copies(rng, 3)]
+    want = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in near_copies(make(rows), list_bytes=20_000).collect()}
+    assert got == want

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from graphloom.llm.components import Forest, components
-from graphloom.llm.simhash import blocks_for, fingerprint_links, fingerprints_of, keep_one_of_each, near, near_duplicates
+from graphloom.llm.simhash import Slices, blocks_for, fingerprints_of, keep_one_of_each, linked_fingerprints, near, near_duplicates
 
 
 def brute_fingerprint(text):
@@ -47,14 +47,13 @@ def test_bit_slices():
         assert (forest.root == brute_classes(values, radius)).all()
 
 
-def test_links_and_components(spark, monkeypatch):
+def test_links_and_components(spark):
     from graphloom.llm import simhash
 
     values = clustered(random.Random(2), 1500)
     distinct = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
     for size, claimed in ((8192, 1500), (16, 1500), (8192, 10_000_000)):  # also with heavy keys dealt out by tiles, and with more blocks
-        monkeypatch.setattr(simhash, "LIST", size)
-        roots = {r.a: r.b for r in components(fingerprint_links(distinct, claimed)).collect()}
+        roots = {r.a: r.b for r in linked_fingerprints(distinct, claimed, most=size).collect()}
         signed = values.view(np.int64).tolist()
         groups, want = {}, {}
         for v, r in zip(signed, brute_classes(values), strict=True):
@@ -87,3 +86,22 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "x long, y long")
     found = {r.a: r.b for r in components(edges).collect()}
     assert found == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+def test_slices():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 63, size=2100, dtype=np.uint64)
+    values[1050:] = values[:1050] ^ (np.uint64(1) << rng.integers(0, 64, size=1050, dtype=np.uint64))
+    slices = Slices(values)
+    for radius in (0, 1, 3, 4, 25, 31, 32, 40):
+        for i in (0, 1049, 2099):
+            assert slices.within(int(values[i]), radius) == np.flatnonzero(np.bitwise_count(values ^ values[i]) <= radius).tolist()
+    slices.close(7)
+    assert 7 not in slices.within(int(values[7]), 3) and 1057 in slices.within(int(values[7]), 3)
+
+
+def test_long_texts_by_chunks():
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(rng.randint(0, 60))).encode() for _ in range(80)]
+    want = [brute_fingerprint(t.decode()) for t in texts]
+    assert fingerprints_of(texts).tolist() == want and fingerprints_of(texts, chunk=7).tolist() == want
