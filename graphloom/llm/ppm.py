@@ -181,7 +181,11 @@ class Blocks:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability, its end included; one block is in memory at a time."""
-        codes = np.unique(np.concatenate([np.unique(code) for _, code, _ in parts_of(texts, self.order)]))
+        parts = []
+        for first, code, sizes in parts_of(texts, self.order):
+            own, back = np.unique(code, return_inverse=True)
+            parts.append((first, sizes, own, back.astype(np.int32)))
+        codes = np.unique(np.concatenate([own for *_, own, _ in parts]))
         values, block = np.zeros(len(codes)), np.searchsorted(self.starts, _pair(codes), side="right") - 1
         for b in np.unique(block).tolist():
             own = np.flatnonzero(block == b)
@@ -190,8 +194,8 @@ class Blocks:
                 values[own[k : k + _CACHE]] = trie.logs(codes[own[k : k + _CACHE]])
             del trie
         out = np.zeros(len(texts))
-        for first, code, sizes in parts_of(texts, self.order):
-            out[first : first + len(sizes)] += np.add.reduceat(values[np.searchsorted(codes, code)], np.cumsum(sizes) - sizes)
+        for first, sizes, own, back in parts:
+            out[first : first + len(sizes)] += np.add.reduceat(values[np.searchsorted(codes, own)][back], np.cumsum(sizes) - sizes)
         return out
 
 
@@ -208,32 +212,61 @@ def _shorter(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndar
     return own, out
 
 
-def _whole(top: DataFrame, order: int, block_grams: int) -> Trie | Blocks:
-    """The trie with every gram: one of up to ``block_grams`` grams, else blocks in the shared folder."""
-    def tables(rows: DataFrame, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        found = rows.toArrow()
-        out = [(found["gram"].to_numpy(), found["n"].to_numpy())]
-        for j in range(order - 1, least - 1, -1):
-            out.append(_shorter(*out[-1], j))
-        return out[::-1]
+def _tables(grams: np.ndarray, counts: np.ndarray, order: int, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of the orders from ``least`` to ``order``, from those of the highest."""
+    out = [(grams, counts)]
+    for j in range(order - 1, least - 1, -1):
+        out.append(_shorter(*out[-1], j))
+    return out[::-1]
 
+
+def _whole(top: DataFrame, order: int, block_grams: int) -> Trie | Blocks:
+    """The trie with every gram: one of up to ``block_grams`` grams, else blocks in the shared folder, each built by a task."""
     if order < 2 or top.count() <= block_grams:
-        return Trie.of(tables(top, 0))
+        found = top.toArrow()
+        return Trie.of(_tables(found["gram"].to_numpy(), found["n"].to_numpy(), order, 0))
     pair = F.shiftright("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)
-    starts, size = [0], 0
+    firsts, size = [0], 0
     for key, n in sorted(top.groupBy(pair.alias("pair")).count().collect()):  # a row for each pair of symbols at most
         if size and size + n > block_grams:
-            starts.append(key)
+            firsts.append(key)
             size = 0
         size += n
+    starts = np.array(firsts, dtype=np.int64)
     short = top.groupBy(F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
     one = (short["gram"].to_numpy(), short["n"].to_numpy())
     files = new_folder(top.sparkSession, "trie")
-    names = []
-    for low, high in zip(starts, [*starts[1:], 1 << 2 * BITS], strict=True):
-        block = Trie.of([_shorter(*one, 0), one, *tables(top.where((pair >= low) & (pair < high)), 2)])
-        names.append(files.write(".trie", [pickle.dumps(block, protocol=5)]))
-    return Blocks(files, tuple(names), np.array(starts, dtype=np.int64), order)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
+        for batch in batches:
+            own = np.searchsorted(starts, _pair(batch.column(0).to_numpy()), side="right") - 1
+            yield table(schema, own.astype(np.int32), *batch.columns)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def finish() -> pa.RecordBatch:
+            grams, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            block = Trie.of([_shorter(*one, 0), one, *_tables(grams, counts, order, 2)])
+            name = files.write(".trie", [pickle.dumps(block, protocol=5)])
+            return table(pa.schema([("block", pa.int32()), ("name", pa.string())]), [at], [name])
+
+        at, held = -1, []
+        for batch in batches:
+            of, grams, counts = (c.to_numpy() for c in batch.columns)
+            edge = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                if b > a:
+                    if held and of[a] != at:
+                        yield finish()
+                    at = int(of[a])
+                    held.append((grams[a:b].copy(), counts[a:b].copy()))
+        if held:
+            yield finish()
+
+    dealt = top.mapInArrow(mark, "block int, gram long, n long").repartition(len(starts), "block").sortWithinPartitions("block")
+    names = dict(written(dealt.mapInArrow(build, "block int, name string"), "blocks").collect())
+    return Blocks(files, tuple(names[b] for b in range(len(starts))), starts, order)
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, nodes: int | None = None, block_grams: int | None = None) -> tuple[DataFrame, Trie | Blocks]:
