@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import aggregates, contracts, lookup, search, traversal
+from .schemas import FILE_SYMBOL_KINDS
 
 
 @dataclass
@@ -91,7 +92,7 @@ class Engine:
 
     def detect_changes(self, files: DataFrame, depth: int = 4) -> DataFrame:
         """What the nodes of changed files (column file) reach upstream: id, depth, risk by the number."""
-        roots = lookup.in_files(self.nodes, files, limit=5000).select("id")
+        roots = self.nodes.where(F.col("kind").isin(list(FILE_SYMBOL_KINDS))).join(files.select("file").distinct(), "file", "left_semi").select("id")
         walk = traversal.reach(self.nodes, self.edges.where("kind = 'CALLS'"), roots, "up", depth)
         return walk.rows.withColumn("risk", traversal.risk(F.lit(walk.evaluated)))
 
@@ -111,4 +112,4 @@ class Engine:
         return contracts.compare_fields(provided, consumed)
 
     def overview(self) -> dict[str, DataFrame]:
-        return {"kinds": aggregates.summary(self.nodes), "entry_points": aggregates.entry_points(self.nodes, self.edges.where("kind = 'CALLS'"), 20), "faults": aggregates.integrity(self.nodes, self.edges)}
+        return {"kinds": aggregates.summary(self.nodes), "entry_points": aggregates.entry_points(self.nodes, self.edges, 20), "faults": aggregates.integrity(self.nodes, self.edges)}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import CALLABLE_KINDS
+
 
 def summary(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind")
@@ -56,12 +60,39 @@ def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return size[0].join(size[1]).join(dup).join(dup_edges).join(dangling)
 
 
-def entry_points(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
-    """Callees over callers plus one, times a multiplier by name and stereotype; nodes without callees and tests don't score."""
-    counted = nodes.where(~F.col("stereotype").eqNullSafe("test")).join(degrees(edges), "id")
-    boost = F.when(F.col("stereotype").isin("http", "event"), 3.0).when(F.col("stereotype").isin("scheduled", "main"), 2.0).when(F.col("name").rlike("^(?i)(main|run|start|handle|process|execute)"), 1.5).otherwise(1.0)
-    score = F.round(F.col("out_degree") / (F.col("in_degree") + 1) * boost, 6)
-    return counted.where("out_degree > 0").select("id", "name", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+# How names of utilities and of entries begin and end, and what each kind of entry counts.
+UTILITY_STARTS = ("get", "set", "is", "has", "to", "from", "format", "parse", "validate", "convert", "log", "debug")
+UTILITY_ENDS = ("Helper", "Util", "Utils")
+ENTRY_STARTS = ("main", "init", "execute", "run", "start", "handle", "process", "perform", "dispatch", "trigger", "fire", "emit")
+ENTRY_ENDS = ("Handler", "Controller", "Listener", "Endpoint")
+MULTIPLIERS = {"http": 3.0, "event": 3.0, "scheduled": 2.0, "main": 2.0}
+
+
+def entry_points(nodes: DataFrame, edges: DataFrame, limit: int = 200, kinds: Sequence[str] = CALLABLE_KINDS) -> DataFrame:
+    """Callees over callers plus one, times a multiplier: id, name, entry (what kind it is), score.
+
+    Handlers of routes and listeners, by their edges or stereotype, count most and stay
+    without callees; then scheduled methods and main, names of entries, all others, and
+    names of utilities. Tests never score. Ties go by id.
+    """
+    own = nodes.where(F.col("kind").isin(list(kinds)) & ~F.col("stereotype").eqNullSafe("test")).select("id", "name", "stereotype")
+    role = lambda kind, name: edges.where(F.col("kind") == kind).select(F.col("src").alias("id")).distinct().withColumn(name, F.lit(True))
+    calls = degrees(edges.where("kind = 'CALLS'")).select("id", "out_degree", "in_degree")
+    found = own.join(calls, "id", "left").join(role("HANDLES_ROUTE", "handles"), "id", "left").join(role("LISTENS_TO", "listens"), "id", "left")
+    entry = (
+        F.when(F.col("handles"), "http").when(F.col("listens"), "event").when(F.col("stereotype").isin("http", "event", "scheduled"), F.col("stereotype"))
+        .when((F.col("stereotype") == "main") | (F.col("name") == "main"), "main").otherwise("fanout")
+    )
+    name = F.col("name")
+    utility = name.rlike(f"^({'|'.join(UTILITY_STARTS)})|({'|'.join(UTILITY_ENDS)})$")
+    entering = name.rlike(f"^({'|'.join(ENTRY_STARTS)})(?![a-z])|({'|'.join(ENTRY_ENDS)})$")
+    factor = F.lit(1.0)
+    factor = F.when(utility, 0.3).when(entering, 1.5).otherwise(factor)
+    for kind, value in MULTIPLIERS.items():
+        factor = F.when(F.col("entry") == kind, value).otherwise(factor)
+    callees, callers = F.coalesce("out_degree", F.lit(0)), F.coalesce("in_degree", F.lit(0))
+    scored = found.withColumn("entry", entry).where((callees > 0) | F.col("entry").isin("http", "event"))
+    return scored.select("id", "name", "entry", F.round(callees / (callers + 1) * factor, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def cohesion(edges: DataFrame, membership: DataFrame, sample: int = 50) -> DataFrame:
@@ -79,6 +110,15 @@ def merged_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.min(F.when(F.col("reason") != "", F.col("reason"))).alias("reason"))
 
 
+def combined_edges(edges: DataFrame, most: int = 20) -> DataFrame:
+    """Structural and resolved edges as one a key, with the greatest confidence and the call sites (array ``sites``) of all, in order, each once, ``most`` at most."""
+    by_site = edges.select("src", "dst", "kind", F.explode_outer("sites").alias("site")).distinct()
+    rank = F.row_number().over(Window.partitionBy("src", "dst", "kind").orderBy("site"))
+    few = by_site.where("site IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= most).groupBy("src", "dst", "kind").agg(F.sort_array(F.collect_list("site")).alias("sites"))
+    best = edges.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+    return best.join(few, ["src", "dst", "kind"], "left").select("src", "dst", "kind", "confidence", F.coalesce("sites", F.array().cast("array<string>")).alias("sites"))
+
+
 def first_nodes(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
     """One node an id, the first in an order."""
     return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where("rank = 1").drop("rank")
@@ -95,11 +135,24 @@ def route_groups(routes: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def mean_vectors(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """The mean vector of each key and its number of rows: by position, so no group is gathered before it is averaged."""
-    counts = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    by_place = vectors.select(key, F.posexplode(vector).alias("place", "value")).groupBy(key, "place").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    joined = by_place.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]).alias("mean"))
-    return joined.join(counts, key)
+    """The mean vector of each key and its number of rows. Each task adds up its own rows, so a row a key and task is shuffled, whatever a group's size. Vectors of one key have one length; null vectors count for nothing."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for frame in frames:
+            frame = frame[frame["v"].map(lambda v: v is not None)]
+            for name, rows in frame.groupby("key", dropna=False)["v"]:
+                name = None if pd.isna(name) else name
+                s, n = total.get(name, (0.0, 0))
+                total[name] = (s + np.stack(rows.to_numpy()).astype(np.float64).sum(axis=0), n + len(rows))
+        yield pd.DataFrame({"key": list(total), "sums": [s for s, _ in total.values()], "n": [n for _, n in total.values()]})
+
+    kind = dict(vectors.dtypes)[key]
+    parts = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(sums, f"key {kind}, sums array<double>, n long")
+    zero = F.array().cast("array<double>")
+    added = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, b: a + b))
+    grouped = parts.groupBy("key").agg(F.collect_list("sums").alias("s"), F.sum("n").alias("n"))  # a row a task
+    return grouped.select(F.col("key").alias(key), F.transform(F.aggregate("s", zero, added), lambda x: x / F.col("n")).alias("mean"), "n")
 
 
 def transitions_between(kinds: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +57,9 @@ def resolve_types(refs: DataFrame, types: DataFrame, imports: DataFrame) -> Data
     """Type names to types, first tier that answers: ref, target, confidence.
 
     refs: ref, name, file, package; types: fqn, name, package; imports: file, raw, is_wildcard.
-    Tiers: qualified 1.00, explicit import .90, same package .85, a wildcard import's
-    package .75, and a simple name that is unique everywhere .70.
+    Tiers: qualified 1.00, explicit import .90, same package .85, directly in a wildcard
+    import's package .75, the only type of that name anywhere in the wildcard packages (a
+    nested one) .72, and a simple name that is unique everywhere .70.
     """
     t = types.select("fqn", F.col("name").alias("t_name"), F.col("package").alias("t_package"))
     explicit = imports.where("NOT is_wildcard").select("file", "raw")
@@ -66,7 +69,8 @@ def resolve_types(refs: DataFrame, types: DataFrame, imports: DataFrame) -> Data
         pick(refs.join(t, F.col("name") == F.col("fqn")), 1.00),
         pick(refs.join(explicit, "file").join(t, (F.col("raw") == F.col("fqn")) & (F.col("name") == F.col("t_name"))), 0.90),
         pick(refs.join(t, (F.col("package") == F.col("t_package")) & (F.col("name") == F.col("t_name"))), 0.85),
-        pick(refs.join(wild, "file").join(t, (F.col("raw") == F.col("t_package")) & (F.col("name") == F.col("t_name"))), 0.75),
+        pick(refs.join(wild, "file").join(t, F.concat_ws(".", "raw", "name") == F.col("fqn")), 0.75),
+        pick(unique_by(refs.join(wild, "file").join(t, (F.col("raw") == F.col("t_package")) & (F.col("name") == F.col("t_name"))).select("ref", "fqn"), ["ref"], "fqn"), 0.72),
         pick(refs.join(unique_by(t.select("t_name", "fqn"), ["t_name"], "fqn"), F.col("name") == F.col("t_name")), 0.70),
     ]
     return best_tier(tiers, ["ref"], ["target"]).select("ref", "target", "confidence")
@@ -80,10 +84,32 @@ def constant_values(sites: DataFrame, constants: DataFrame) -> DataFrame:
 
 
 def innermost(sites: DataFrame, scopes: DataFrame) -> DataFrame:
-    """The smallest scope of the same file that contains each site: site, scope. sites: site, file, at; scopes: scope, file, first, last."""
-    span = F.row_number().over(Window.partitionBy("site").orderBy(F.col("last") - F.col("first"), "scope"))
-    found = sites.join(scopes, "file").where("at BETWEEN first AND last")
-    return found.withColumn("rank", span).where("rank = 1").select("site", "scope")
+    """The smallest scope of the same file that contains each site: site, scope. sites: site, file, at; scopes: scope, file, first, last.
+
+    Of equal scopes the first by id; sites outside of any scope are left out. A file's scopes
+    and sites are swept together by place, the open scopes in a heap by width, so no pair
+    of them is made; they fit a task.
+    """
+    kind, place = dict(sites.dtypes)["site"], dict(scopes.dtypes)["scope"]
+
+    def sweep(key: tuple, own: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
+        spans, own = spans.sort_values("first", kind="stable"), own.sort_values("at", kind="stable")
+        starts = list(zip(spans["first"], spans["last"], spans["scope"], strict=True))
+        open_, at, out = [], 0, []
+        for site, where in zip(own["site"], own["at"], strict=True):
+            while at < len(starts) and starts[at][0] <= where:
+                first, last, scope = starts[at]
+                heapq.heappush(open_, (last - first, scope, last))
+                at += 1
+            while open_ and open_[0][2] < where:
+                heapq.heappop(open_)
+            if open_:
+                out.append((site, open_[0][1]))
+        return pd.DataFrame(out, columns=["site", "scope"])
+
+    number = lambda df, *more: df.select(*(F.col(c).cast("double").alias(c) if c in ("at", "first", "last") else F.col(c) for c in more))
+    left, right = number(sites, "site", "file", "at"), number(scopes, "scope", "file", "first", "last").where("first <= last")
+    return left.groupBy("file").cogroup(right.groupBy("file")).applyInPandas(sweep, f"site {kind}, scope {place}")
 
 
 def interceptions(edges: DataFrame) -> DataFrame:
@@ -161,21 +187,24 @@ def hybrid_features(strategies: Sequence[DataFrame], catch_all: str = "shared")
 def cross_repository_trace(edges: DataFrame, links: DataFrame, repo: str, node: str, depth: int = 6, hops: int = 3, most: int = 200) -> DataFrame:
     """Steps over repositories: repo, id, depth, hops. edges: repo, src, dst; links (consumer to provider): consumer_repo, consumer_id, provider_repo, provider_id.
 
-    A link costs a hop; of several ways to a node the one with the least depth, then the
-    fewest hops, counts. At most ``most`` nodes are returned, nearest first.
+    A link costs a hop. A node is met again as long as it takes fewer hops than on any
+    level before, so no way is lost that the hops allow; its row has the least depth and
+    the fewest hops. At most ``most`` nodes are returned, nearest first.
     """
-    from ..sources.scratch import written
+    from ..sources.scratch import small, written
 
     inner = edges.select("repo", "src", F.col("repo").alias("to_repo"), "dst", F.lit(0).alias("hop"))
     outer = links.select(F.col("consumer_repo").alias("repo"), F.col("consumer_id").alias("src"), F.col("provider_repo").alias("to_repo"), F.col("provider_id").alias("dst"), F.lit(1).alias("hop"))
-    steps = inner.union(outer)
+    steps = written(inner.union(outer).distinct(), "steps")
     seen = written(edges.sparkSession.createDataFrame([(repo, node, 0, 0)], "repo string, id string, depth int, hops int"), "trace")
     front = seen
     for d in range(1, depth + 1):
-        step = front.join(steps.withColumnRenamed("src", "id"), ["repo", "id"]).where(F.col("hops") + F.col("hop") <= hops).select(F.col("to_repo").alias("repo"), F.col("dst").alias("id"), (F.col("hops") + F.col("hop")).alias("hops"))
-        fresh = step.groupBy("repo", "id").agg(F.min("hops").alias("hops")).join(seen.select("repo", "id"), ["repo", "id"], "left_anti")
-        front = written(fresh.select("repo", "id", F.lit(d).alias("depth"), "hops"), "trace")
+        step = steps.withColumnRenamed("src", "id").join(small(front), ["repo", "id"]).where(F.col("hops") + F.col("hop") <= hops)
+        fresh = step.groupBy(F.col("to_repo").alias("repo"), F.col("dst").alias("id")).agg(F.min(F.col("hops") + F.col("hop")).alias("hops"))
+        known = seen.groupBy("repo", "id").agg(F.min("hops").alias("least"))
+        better = fresh.join(known, ["repo", "id"], "left").where("least IS NULL OR hops < least")
+        front = written(better.select("repo", "id", F.lit(d).alias("depth"), "hops"), "trace")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen.orderBy("depth", "repo", "id").limit(most)
+    return seen.groupBy("repo", "id").agg(F.min("depth").alias("depth"), F.min("hops").alias("hops")).orderBy("depth", "repo", "id").limit(most)

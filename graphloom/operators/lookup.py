@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import DATA_STEPS, EDGE_KINDS, FILE_SYMBOL_KINDS, FORWARD_STEPS, NODE_KINDS, REVERSED_STEPS
+from ..schemas import CALLABLE_KINDS, DATA_STEPS, EDGE_KINDS, FILE_SYMBOL_KINDS, FORWARD_STEPS, KINDS_OF_USE, NODE_KINDS, REVERSED_STEPS
 
 
 def bounded(name: str, value: int, low: int, high: int) -> int:
@@ -172,6 +172,53 @@ def test_coverage(nodes: DataFrame, edges: DataFrame, node_id: str, type_kinds:
     return keyset_page(nodes.select("id", "name", "file").join(tests, "id"), ("file", "name", "id"), after, limit)
 
 
+def tests_of_members(nodes: DataFrame, edges: DataFrame, member_edge: str = "HAS_METHOD") -> DataFrame:
+    """Tests of every method, directly or through its owner: id, test; each pair once."""
+    own = nodes.where(F.col("kind").isin(list(CALLABLE_KINDS))).select("id", F.col("id").alias("scope"))
+    owners = edges.where(F.col("kind") == member_edge).select(F.col("dst").alias("id"), F.col("src").alias("scope"))
+    tests = edges.where("kind = 'TESTS'").select(F.col("dst").alias("scope"), F.col("src").alias("test"))
+    return own.union(owners.join(own.select("id"), "id", "left_semi").select("id", "scope")).join(tests, "scope").select("id", "test").distinct()
+
+
+def similar_methods(nodes: DataFrame, edges: DataFrame, root: str, least: float = 0.0, limit: int = 10) -> DataFrame:
+    """Targets of SIMILAR_TO edges from a node, most similar first, ties by id: id, name, file, similarity."""
+    found = edges.where((F.col("kind") == "SIMILAR_TO") & (F.col("src") == root) & (F.col("confidence") >= least)).select(F.col("dst").alias("id"), F.col("confidence").alias("similarity"))
+    return nodes.select("id", "name", "file").join(found, "id").orderBy(F.desc("similarity"), "id").limit(min(50, max(1, limit)))
+
+
+def of_kinds(nodes: DataFrame, use: str) -> DataFrame:
+    """Nodes of the kinds that a use is for: searchable, embeddable, clusterable, community or projection (of edges)."""
+    return nodes.where(F.col("kind").isin(list(KINDS_OF_USE[use])))
+
+
+def final_edges(edges: DataFrame, access: str = "any") -> DataFrame:
+    """Edges that may end a path: any, or those that read or write a table."""
+    wanted = {"any": None, "read": "READS_TABLE", "write": "WRITES_TABLE"}[access]
+    return edges if wanted is None else edges.where(F.col("kind") == wanted)
+
+
+def is_external(props: Column) -> Column:
+    """Does the JSON say that a node isn't of the project: external, or read from an archive?"""
+    true = lambda key: F.coalesce(F.get_json_object(props, f"$.{key}") == "true", F.lit(False))
+    return true("external") | true("fromJar")
+
+
+def project_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes of the project itself that are no tests: neither external nor from an archive. nodes: file, name and props."""
+    return nodes.where(~is_external(F.col("props")) & ~is_test(F.col("file"), F.regexp_replace("file", r"\.[A-Za-z]+$", "")))
+
+
+def architecture(modules: Column, files: Column) -> Column:
+    """Monolith with over 500 files in over 3 modules, microservice with under 100 files, else unknown."""
+    return F.when((files > 500) & (modules > 3), "monolith").when(files < 100, "microservice").otherwise("unknown")
+
+
+def staleness(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """Repositories and the state of what was saved of them: fresh, stale (another head) or missing. Both sides: repo, head."""
+    both = current.select("repo", "head").join(saved.select("repo", F.col("head").alias("was")), "repo", "left")
+    return both.select("repo", F.when(F.col("was").isNull(), "missing").when(F.col("was").eqNullSafe(F.col("head")), "fresh").otherwise("stale").alias("state"))
+
+
 def offset_page(rows: DataFrame, order: Sequence[str | Column], offset: int, limit: int) -> DataFrame:
     """Rows numbered from 0 in a total order; offset and limit together reach 5,000 at most, so one top-k serves it."""
     bounded("offset + limit", offset + limit, 1, 5000)

@@ -6,13 +6,14 @@ follow). What needs the order of a method's statements runs on one method at a t
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import small, written
+from .contracts import best_tier
 
 CALL_STEPS = ("CALLS",)
 
@@ -28,7 +29,7 @@ def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitize
     seen = written(front.select("source", "at"), "seen")
     found = front
     for _ in range(hops):
-        step = front.join(steps, F.col("at") == F.col("src")).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
+        step = steps.join(small(front, 512), F.col("at") == F.col("src")).select("source", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
         fresh = step.join(seen, ["source", "at"], "left_anti").groupBy("source", "at").agg(F.min("path").alias("path"))
         front = written(fresh, "front")
         if front.isEmpty():
@@ -39,6 +40,47 @@ def taint_paths(edges: DataFrame, sources: DataFrame, sinks: DataFrame, sanitize
     return ends.select("source", F.col("at").alias("sink"), "path", "category", F.round(F.greatest(F.lit(0.5), 0.9 - 0.05 * (hop - 1)), 6).alias("confidence")).orderBy(F.desc("confidence"), F.size("path"), "source", "sink")
 
 
+def merged_rules(*rules: DataFrame) -> DataFrame:
+    """Rules (kind: source, sink or sanitizer; pattern; category) of several origins, the first origin of a kind and pattern wins."""
+    return best_tier(rules, ["kind", "pattern"], ["category"]).drop("tier")
+
+
+def matched_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Nodes whose id holds a rule's pattern: id, kind, pattern, category. Rules are few, so they go to the scan of the nodes."""
+    r = rules.select(F.col("kind").alias("rule"), "pattern", "category")
+    found = nodes.select("id").join(F.broadcast(r), F.expr("contains(id, pattern)"))
+    return found.select("id", F.col("rule").alias("kind"), "pattern", "category").distinct()
+
+
+def straight_line(statements: list[dict], tainted: Iterable[str], sinks: Iterable[str]) -> tuple[list[int], bool]:
+    """Liveness without control flow: the places where a call whose name holds a sink's gets a tainted argument, and whether a tainted name is returned.
+
+    A statement that reads or passes a tainted name taints what it defines; nothing is
+    ever clean again.
+    """
+    dirty, hits, returns = set(tainted), [], False
+    for s in sorted(statements, key=lambda s: s["at"]):
+        read, passed = bool(dirty & set(s["uses"])), bool(dirty & set(s.get("args") or s["uses"]))
+        if passed and any(p in c for c in s["calls"] for p in sinks):
+            hits.append(s["at"])
+        if read or passed:
+            dirty |= set(s["defs"])
+        returns |= s["kind"] == "return" and read
+    return hits, returns
+
+
+def confirm_straight(statements: DataFrame, params: DataFrame, sinks: Sequence[str]) -> DataFrame:
+    """Per method: sink calls that a tainted parameter reaches in a straight line, whether it returns, and the factor: 1.15 confirmed, .75 not."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [{**r, **{c: [] if r[c] is None else list(r[c]) for c in ("defs", "uses", "calls")}} for r in frame.to_dict("records")]
+        start = rows[0]["params"]
+        hits, returns = straight_line(rows, [] if start is None else list(start), sinks)
+        return pd.DataFrame({"method": [rows[0]["method"]], "hits": [len(hits)], "returns": [returns], "factor": [1.15 if hits else 0.75]})
+
+    return statements.join(params, "method", "left").groupBy("method").applyInPandas(run, "method string, hits int, returns boolean, factor double")
+
+
 def flow(statements: list[dict]) -> dict[int, list[int]]:
     """What may follow each statement; without a list the next one."""
     places = [s["at"] for s in statements]

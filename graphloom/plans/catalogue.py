@@ -14,12 +14,16 @@ from ..operators import contracts as C
 from ..operators import lookup as L
 from ..operators import search as S
 from ..operators import traversal as G
-from ..views import FLOW_SQL, PAGES_SQL, SUPPLY_SQL, flow_edges, page_routes, supply_edges, supply_nodes, table
+from ..views import CODE_SQL, FLOW_SQL, PAGES_SQL, SUPPLY_SQL, code_edges, code_nodes, flow_edges, page_routes, supply_edges, supply_nodes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def code(sql: str) -> str:
+    return f"WITH RECURSIVE {CODE_SQL} {sql}"
+
+
 def supply(sql: str) -> str:
     return f"WITH RECURSIVE {SUPPLY_SQL} {sql}"
 
@@ -124,9 +128,9 @@ def J3_stored_transitions(spark, d):
     return L.transitions(supply_nodes(spark, d), supply_edges(spark, d), sources, ("b", "", "", "", 0.0, ""), 40)
 
 
-@query(supply("SELECT kind, reverse, count(*) AS n FROM (SELECT kind, false AS reverse FROM edges WHERE kind = 'CALLS') GROUP BY ALL"))
+@query(code("SELECT src, dst, kind, false AS reverse FROM edges WHERE kind IN ('CALLS', 'PUBLISHES_EVENT', 'EXECUTES_QUERY', 'READS_TABLE', 'WRITES_TABLE') UNION ALL SELECT dst, src, kind, true FROM edges WHERE kind IN ('HANDLES_ROUTE', 'LISTENS_TO')"))
 def J4_execution_transitions(spark, d):
-    return L.execution_edges(supply_edges(spark, d)).groupBy("kind", "reverse").agg(F.count(F.lit(1)).alias("n"))
+    return L.execution_edges(code_edges(spark, d)).select("src", "dst", "kind", "reverse")
 
 
 @query(supply("SELECT src, dst, n.name AS dst_name FROM edges e JOIN nodes n ON n.id = dst WHERE e.kind = 'MEMBER_OF'"))
@@ -141,14 +145,24 @@ def J9_context(spark, d):
     return part("callers", "in").union(part("callees", "out"))
 
 
-@query(supply("SELECT id, name, file FROM nodes WHERE id IN (SELECT src FROM edges WHERE kind = 'TESTS' AND dst IN ('Order:7', 'Order:8', 'Order:9')) ORDER BY file, name, id"))
+_SCOPE = """, asked(root) AS (VALUES ('Class:S1'), ('Class:S4'), ('Method:S2#p' || (SELECT min(p) FROM own WHERE s = 2) || '/0')), scope AS (SELECT root, root AS id FROM asked UNION SELECT root, dst FROM asked JOIN edges ON src = root AND kind = 'HAS_METHOD' UNION SELECT root, src FROM asked JOIN edges ON dst = root AND kind = 'HAS_METHOD')"""
+
+
+@query(code(_SCOPE + " SELECT * FROM (SELECT DISTINCT root, n.id, n.name, n.file FROM scope JOIN edges e ON e.dst = scope.id AND e.kind = 'TESTS' JOIN nodes n ON n.id = e.src) QUALIFY row_number() OVER (PARTITION BY root ORDER BY file, name, id) <= 51"))
 def J11_test_coverage(spark, d):
-    nodes, edges = supply_nodes(spark, d), supply_edges(spark, d)
+    """A class, an interface and a method, each with the probe row of its page."""
+    nodes, edges = code_nodes(spark, d), code_edges(spark, d)
+    first = nodes.where("id LIKE 'Method:S2#%'").select(F.min(F.regexp_extract("id", "#p(\\d+)/", 1).cast("long")).alias("p")).first().p
     out = None
-    for k in (7, 8, 9):
-        one = L.test_coverage(nodes, edges, f"Order:{k}")
+    for root in ("Class:S1", "Class:S4", f"Method:S2#p{first}/0"):
+        one = L.test_coverage(nodes, edges, root).select(F.lit(root).alias("root"), "id", "name", "file")
         out = one if out is None else out.union(one)
-    return out.distinct()
+    return out
+
+
+@query(code(", o AS (SELECT id AS root FROM nodes WHERE kind = 'Method'), s AS (SELECT root, root AS id FROM o UNION ALL SELECT dst, src FROM edges WHERE kind = 'HAS_METHOD') SELECT root, count(DISTINCT e.src) AS tests FROM s JOIN edges e ON e.dst = s.id AND e.kind = 'TESTS' GROUP BY root"))
+def J10_tests_of_members(spark, d):
+    return L.tests_of_members(code_nodes(spark, d), code_edges(spark, d)).groupBy(F.col("id").alias("root")).agg(F.count_distinct("test").alias("tests"))
 
 
 @query(
@@ -212,16 +226,16 @@ def J18_shape_check(spark, d):
 
 
 @query(
-    """WITH own AS (SELECT c_nationkey AS f, c_mktsegment AS k, min(c_name) AS v FROM customer WHERE c_custkey % 50 = 0 GROUP BY ALL HAVING count(DISTINCT c_name) = 1), shared AS (SELECT c_mktsegment AS k, min(c_name) AS v FROM customer WHERE c_custkey % 50 = 0 GROUP BY ALL HAVING count(DISTINCT c_name) = 1)
-    SELECT c_custkey AS site, coalesce(own.v, shared.v) AS value, coalesce(own.v, shared.v) IS NULL AS dynamic FROM customer LEFT JOIN own ON own.f = c_nationkey AND own.k = c_mktsegment LEFT JOIN shared ON shared.k = c_mktsegment"""
+    """WITH k AS (SELECT s_nationkey AS f, 'K' || (s_suppkey % 40) AS k, s_name AS v FROM supplier), own AS (SELECT f, k, min(v) AS v FROM k GROUP BY ALL HAVING count(DISTINCT v) = 1), shared AS (SELECT k, min(v) AS v FROM k GROUP BY ALL HAVING count(DISTINCT v) = 1)
+    SELECT c_custkey AS site, coalesce(own.v, shared.v) AS value, coalesce(own.v, shared.v) IS NULL AS dynamic FROM customer LEFT JOIN own ON own.f = c_nationkey AND own.k = 'K' || (c_custkey % 45) LEFT JOIN shared ON shared.k = 'K' || (c_custkey % 45)"""
 )
 def J19_constant_two_tier(spark, d):
-    own = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("file"), F.col("c_mktsegment").alias("const"), F.col("c_name").alias("value"))
-    return C.constant_values(own.select("site", "file", "const"), own.where("site % 50 = 0").select("file", F.col("const").alias("name"), "value"))
+    sites = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("file"), F.concat(F.lit("K"), F.col("c_custkey") % 45).alias("const"))
+    return C.constant_values(sites, table(spark, d, "supplier").select(F.col("s_nationkey").alias("file"), F.concat(F.lit("K"), F.col("s_suppkey") % 40).alias("name"), F.col("s_name").alias("value")))
 
 
 @query(
-    """WITH t AS (SELECT 'p' || p_brand || '.' || p_name AS fqn, p_name AS name, 'p' || p_brand AS package FROM part), r AS (SELECT l_orderkey * 10 + l_linenumber AS ref, p_name AS name, l_orderkey % 7 AS file, 'pBrand#' || (11 + l_orderkey % 5) AS package FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2),
+    """WITH t AS (SELECT 'p' || p_brand || '.' || p_name AS fqn, p_name AS name, 'p' || p_brand AS package FROM part), r AS (SELECT l_orderkey * 10 + l_linenumber AS ref, p_name AS name, l_orderkey % 7 AS file, 'pBrand#' || (11 + l_orderkey % 5) AS package FROM lineitem JOIN part ON p_partkey = l_partkey),
     u AS (SELECT name, min(fqn) AS fqn FROM t GROUP BY name HAVING count(DISTINCT fqn) = 1),
     a AS (SELECT ref, fqn, 0.85 AS c, 2 AS tier FROM r JOIN t USING (package, name) UNION ALL SELECT ref, fqn, 0.75, 3 FROM r JOIN t USING (name) WHERE t.package = 'pBrand#2' || (1 + file % 5) UNION ALL SELECT ref, fqn, 0.70, 4 FROM r JOIN u USING (name))
     SELECT ref, fqn AS target, c::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY tier, fqn) AS k FROM a) WHERE k = 1"""
@@ -230,7 +244,7 @@ def J21_tiered_types(spark, d):
     part, line = table(spark, d, "part"), table(spark, d, "lineitem")
     package = F.concat(F.lit("p"), "p_brand")
     types = part.select(F.concat(package, F.lit("."), "p_name").alias("fqn"), F.col("p_name").alias("name"), package.alias("package"))
-    refs = line.where("l_linenumber <= 2").join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("p_name").alias("name"), (F.col("l_orderkey") % 7).alias("file"), F.concat(F.lit("pBrand#"), 11 + F.col("l_orderkey") % 5).alias("package"))
+    refs = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("p_name").alias("name"), (F.col("l_orderkey") % 7).alias("file"), F.concat(F.lit("pBrand#"), 11 + F.col("l_orderkey") % 5).alias("package"))
     imports = spark.range(7).select(F.col("id").alias("file"), F.concat(F.lit("pBrand#2"), 1 + F.col("id") % 5, F.lit(".*")).alias("raw"), F.lit(True).alias("is_wildcard"))
     return C.resolve_types(refs, types, imports)
 
@@ -242,17 +256,13 @@ def J22_unique_lookup(spark, d):
 
 
 @query(
-    """SELECT site, scope FROM (SELECT o_orderkey AS site, c_custkey AS scope, row_number() OVER (PARTITION BY o_orderkey ORDER BY c_custkey % 40, c_custkey) AS k
+    """SELECT site, scope FROM (SELECT o_orderkey AS site, c_custkey AS scope, row_number() OVER (PARTITION BY o_orderkey ORDER BY (c_acctbal * 20 + (c_custkey % 40) * 1000) - c_acctbal * 20, c_custkey) AS k
     FROM orders JOIN customer ON c_nationkey = o_custkey % 25 WHERE o_totalprice BETWEEN c_acctbal * 20 AND c_acctbal * 20 + (c_custkey % 40) * 1000) WHERE k = 1"""
 )
 def J36_interval_containment(spark, d):
     sites = table(spark, d, "orders").select(F.col("o_orderkey").alias("site"), (F.col("o_custkey") % 25).alias("file"), F.col("o_totalprice").alias("at"))
-    width = (F.col("c_custkey") % 40) * 1000
-    scopes = table(spark, d, "customer").select(F.col("c_custkey").alias("scope"), F.col("c_nationkey").cast("long").alias("file"), (F.col("c_acctbal") * 20).alias("first"), (F.col("c_acctbal") * 20 + width).alias("last"), (F.col("c_custkey") % 40).alias("width"))
-    from pyspark.sql import Window
-
-    found = sites.join(scopes, "file").where("at BETWEEN first AND last")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("width", "scope"))).where("rank = 1").select("site", "scope")
+    scopes = table(spark, d, "customer").select(F.col("c_custkey").alias("scope"), F.col("c_nationkey").cast("long").alias("file"), (F.col("c_acctbal") * 20).alias("first"), (F.col("c_acctbal") * 20 + (F.col("c_custkey") % 40) * 1000).alias("last"))
+    return C.innermost(sites, scopes)
 
 
 @query(supply("SELECT n.id, coalesce(e.dst, 'unclustered') AS feature FROM nodes n LEFT JOIN edges e ON e.src = n.id AND e.kind = 'MEMBER_OF' WHERE n.kind IN ('Customer', 'Part')"))
@@ -285,7 +295,7 @@ def G2_risk_label(spark, d):
 @query(supply(""", walk AS (SELECT 'Region:1' AS id, 0 AS depth UNION SELECT CASE WHEN e.src = w.id THEN e.dst ELSE e.src END, w.depth + 1 FROM walk w JOIN edges e ON (e.src = w.id OR e.dst = w.id) AND e.kind <> 'CALLS' AND e.kind <> 'TESTS' WHERE w.depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id"""))
 def G3_subgraph(spark, d):
     roots = spark.createDataFrame([("Region:1",)], "id string")
-    return G.subgraph(supply_nodes(spark, d), supply_edges(spark, d).where("kind NOT IN ('CALLS', 'TESTS')"), roots, 2)[0]
+    return G.subgraph(supply_nodes(spark, d), supply_edges(spark, d).where("kind NOT IN ('CALLS', 'TESTS')"), roots, 2).nodes
 
 
 @query(supply("SELECT src, dst, kind, max(confidence) AS confidence, min(reason) FILTER (reason <> '') AS reason FROM edges WHERE src LIKE 'Supplier:%' GROUP BY src, dst, kind"))
@@ -331,7 +341,7 @@ def G13_trace_dedup(spark, d):
     return G.longest_per_pair(G.without_parts(traces)).select("entry", F.array_join("path", "->").alias("path"))
 
 
-@query(supply(", below AS (SELECT e.src AS id, max(n.loop_depth) AS below FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1), one AS (SELECT n.id, n.kind, coalesce(loop_depth, 0) + coalesce(below, 0) AS total FROM nodes n LEFT JOIN below b ON b.id = n.id), two AS (SELECT e.src AS id, max(o.total) AS below FROM edges e JOIN one o ON o.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1) SELECT o.id, CASE WHEN o.kind = 'Customer' THEN coalesce(two.below, 0) ELSE o.total END::INT AS total FROM one o LEFT JOIN two USING (id)"))
+@query(supply(", below AS (SELECT e.src AS id, max(n.loop_depth) AS below FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1), one AS (SELECT n.id, n.kind, coalesce(loop_depth, 0) + coalesce(below, 0) AS total FROM nodes n LEFT JOIN below b ON b.id = n.id), two AS (SELECT e.src AS id, max(o.total) AS below FROM edges e JOIN one o ON o.id = e.dst WHERE e.kind = 'CALLS' GROUP BY 1) SELECT o.id, CASE WHEN o.kind = 'Customer' THEN coalesce(two.below, 0) ELSE o.total END::INT AS total, false AS recursive FROM one o LEFT JOIN two USING (id)"))
 def G16_transitive_loop_depth(spark, d):
     return G.transitive_loop_depth(supply_nodes(spark, d), supply_edges(spark, d).where("kind = 'CALLS'"))
 
@@ -373,9 +383,16 @@ def A8_graph_report(spark, d):
     return A.integrity(supply_nodes(spark, d), supply_edges(spark, d))
 
 
-@query(supply(", deg AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges WHERE kind = 'CALLS' UNION ALL SELECT dst, 0, 1 FROM edges WHERE kind = 'CALLS') GROUP BY id) SELECT n.id, n.name, round(o / (i + 1), 6) AS score FROM nodes n JOIN deg USING (id) WHERE stereotype IS DISTINCT FROM 'test' AND o > 0 ORDER BY score DESC, id LIMIT 200"))
+@query(
+    code(
+        """, deg AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges WHERE kind = 'CALLS' UNION ALL SELECT dst, 0, 1 FROM edges WHERE kind = 'CALLS') GROUP BY id),
+        m AS (SELECT n.id, n.name, coalesce(o, 0) AS o, coalesce(i, 0) AS i, CASE WHEN n.id IN (SELECT src FROM edges WHERE kind = 'HANDLES_ROUTE') THEN 'http' WHEN n.id IN (SELECT src FROM edges WHERE kind = 'LISTENS_TO') THEN 'event' WHEN stereotype = 'scheduled' THEN 'scheduled' ELSE 'fanout' END AS entry
+            FROM nodes n LEFT JOIN deg USING (id) WHERE n.kind = 'Method' AND stereotype IS DISTINCT FROM 'test')
+        SELECT id, name, entry, round(o / (i + 1) * CASE WHEN entry IN ('http', 'event') THEN 3.0 WHEN entry = 'scheduled' THEN 2.0 WHEN name LIKE 'get%' THEN 0.3 WHEN regexp_matches(name, '^(run|handle)') THEN 1.5 ELSE 1.0 END, 6) AS score FROM m WHERE o > 0 OR entry IN ('http', 'event') ORDER BY score DESC, id LIMIT 200"""
+    )
+)
 def A9_entry_points(spark, d):
-    return A.entry_points(supply_nodes(spark, d), supply_edges(spark, d).where("kind = 'CALLS'"))
+    return A.entry_points(code_nodes(spark, d), code_edges(spark, d))
 
 
 @query(
@@ -402,9 +419,14 @@ def A15_mean_vector(spark, d):
     return means.select("label", F.posexplode("mean").alias("p", "x"), "n").select("label", (F.col("p") + 1).alias("place"), F.round("x", 5).alias("mean"), "n")
 
 
-@query("SELECT l_orderkey, l_partkey, max_by(l_suppkey, l_extendedprice * 100 + l_suppkey / 1000000) AS best, count(*) AS n FROM lineitem GROUP BY ALL")
+@query(
+    """WITH e AS (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN 'READS_TABLE' ELSE 'CALLS' END AS kind, 1 - l_discount AS confidence, 's' || l_suppkey AS a, 'd' || l_linenumber AS b FROM lineitem),
+    s AS (SELECT DISTINCT src, dst, kind, unnest([a, b]) AS site FROM e) SELECT e.src, e.dst, e.kind, round(max(confidence), 6) AS confidence, any_value(t.sites) AS sites FROM e JOIN (SELECT src, dst, kind, array_to_string(list_slice(list(site ORDER BY site), 1, 3), ',') AS sites FROM s GROUP BY ALL) t ON t.src = e.src AND t.dst = e.dst AND t.kind = e.kind GROUP BY ALL"""
+)
 def A17_edge_dedup(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max_by("l_suppkey", F.col("l_extendedprice") * 100 + F.col("l_suppkey") / 1000000).alias("best"), F.count(F.lit(1)).alias("n"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    edges = table(spark, d, "lineitem").select(key("o", "l_orderkey").alias("src"), key("p", "l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "READS_TABLE").otherwise("CALLS").alias("kind"), (1 - F.col("l_discount")).alias("confidence"), F.array(key("s", "l_suppkey"), key("d", "l_linenumber")).alias("sites"))
+    return A.combined_edges(edges, 3).select("src", "dst", "kind", F.round("confidence", 6).alias("confidence"), F.array_join("sites", ",").alias("sites"))
 
 
 @query("SELECT o_custkey AS id, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
@@ -464,10 +486,10 @@ def L8_byte_budget(spark, d):
     return L.within_bytes(table(spark, d, "nation").select("n_nationkey", "n_name"), ("n_nationkey",), 400).drop("json_bytes")
 
 
-@query("SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT doc_id AS k, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id AS k, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE md5(text) END AS h FROM documents WHERE doc_id % 7 <> 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
+@query("SELECT coalesce(doc_id, page_id) AS path, CASE WHEN doc_id IS NULL THEN 'added' WHEN page_id IS NULL THEN 'removed' ELSE 'modified' END AS change FROM documents FULL JOIN pages ON doc_id = page_id WHERE (length(text) % 7)::VARCHAR IS DISTINCT FROM (length(html) % 7)::VARCHAR")
 def O4_changed_files(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.md5(F.col("text").cast("binary")).alias("hash"))
-    return C.changed_files(docs.where("path % 3 <> 0"), docs.where("path % 7 <> 0").withColumn("hash", F.when(F.col("path") % 5 == 0, "x").otherwise(F.col("hash"))))
+    files = lambda t, key, text: table(spark, d, t).select(F.col(key).alias("path"), (F.length(text) % 7).cast("string").alias("hash"))
+    return C.changed_files(files("documents", "doc_id", "text"), files("pages", "page_id", "html"))
 
 
 @query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
@@ -594,13 +616,6 @@ def J34_lsh_pairs(spark, d):
     return with_members(pairs, members)
 
 
-@query("SELECT doc_id AS id, count(*) OVER (PARTITION BY t) > 1 AS copied FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), ' +'), lambda t: length(t) > 1) AS t FROM documents)")
-def M6_equal_bodies(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.array_join(X.tokens(F.col("text")), " ").cast("binary")).alias("t"))
-    counts = docs.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    return docs.join(counts, "t").select("id", (F.col("n") > 1).alias("copied"))
-
-
 @query("WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0) SELECT query, id, round(similarity, 4) AS similarity, (row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id))::INT AS rank FROM s WHERE similarity >= 0 QUALIFY rank <= 10")
 def J35_nearest_neighbors(spark, d):
     from ..operators.similarity import nearest_neighbors
@@ -703,10 +718,10 @@ def S31_grep(spark, d):
     return lines.where(F.col("text").rlike("[Ll]icense")).orderBy("doc_id", "line").limit(200)
 
 
-@query("SELECT coalesce(a.host, b.host) AS host, a.n AS before, b.n AS after, a.n IS DISTINCT FROM b.n AS stale FROM (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, count(*) AS n FROM pages WHERE page_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT regexp_extract(url, '//([^/]+)', 1) AS host, count(*) AS n FROM pages WHERE page_id % 3 = 0 GROUP BY 1) b ON a.host = b.host")
+@query("SELECT page_id AS repo, CASE WHEN doc_id IS NULL THEN 'missing' WHEN length(text) % 5 <> length(html) % 5 THEN 'stale' ELSE 'fresh' END AS state FROM pages LEFT JOIN documents ON doc_id = page_id")
 def P22_staleness(spark, d):
-    hosts = lambda cond, name: table(spark, d, "pages").where(cond).groupBy(F.regexp_extract("url", "//([^/]+)", 1).alias("host")).agg(F.count(F.lit(1)).alias(name))
-    return hosts("page_id % 2 = 0", "before").join(hosts("page_id % 3 = 0", "after"), "host", "full_outer").withColumn("stale", ~F.col("before").eqNullSafe(F.col("after")))
+    head = lambda t, key, text: table(spark, d, t).select(F.col(key).alias("repo"), (F.length(text) % 5).cast("string").alias("head"))
+    return L.staleness(head("pages", "page_id", "html"), head("documents", "doc_id", "text"))
 
 
 @query("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, mode_lang AS lang FROM documents JOIN (SELECT source, lang AS mode_lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS k FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE k = 1) USING (source) GROUP BY source, mode_lang")
@@ -725,9 +740,9 @@ def A22_coverage(spark, d):
 # --- more of joins, sets and scalars
 
 
-@query("SELECT 'm' || l_orderkey AS method, 'q' || l_partkey AS query, 't' || l_suppkey AS \"table\", CASE WHEN l_returnflag = 'R' THEN 'read' ELSE 'write' END AS access FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL")
+@query("SELECT 'm' || l_orderkey AS method, 'q' || l_partkey AS query, 't' || l_suppkey AS \"table\", CASE WHEN l_returnflag = 'R' THEN 'read' ELSE 'write' END AS access FROM lineitem GROUP BY ALL")
 def J6_database_effects(spark, d):
-    line = table(spark, d, "lineitem").where("l_linenumber = 1")
+    line = table(spark, d, "lineitem")
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     query_id = F.concat(key("q", "l_partkey"), F.lit("/"), F.col("l_orderkey"), F.lit("/"), F.col("l_suppkey"), F.lit("/"), F.col("l_returnflag"))
     runs = line.select(key("m", "l_orderkey").alias("src"), query_id.alias("dst"), F.lit("EXECUTES_QUERY").alias("kind"))
@@ -735,9 +750,9 @@ def J6_database_effects(spark, d):
     return C.database_effects(runs.union(touches)).withColumn("query", F.substring_index("query", "/", 1)).distinct()
 
 
-@query("SELECT dst AS method, array_to_string(list_sort(list(DISTINCT k || ' ' || src)), ',') AS advice FROM (SELECT 'a' || l_suppkey AS src, 'm' || l_partkey AS dst, CASE l_returnflag WHEN 'A' THEN 'around' WHEN 'N' THEN 'before' ELSE 'unknown' END AS k FROM lineitem WHERE l_linenumber = 2) GROUP BY dst")
+@query("SELECT dst AS method, array_to_string(list_sort(list(DISTINCT k || ' ' || src)), ',') AS advice FROM (SELECT 'a' || l_suppkey AS src, 'm' || l_partkey AS dst, CASE l_returnflag WHEN 'A' THEN 'around' WHEN 'N' THEN 'before' ELSE 'unknown' END AS k FROM lineitem) GROUP BY dst")
 def J5_interceptions(spark, d):
-    line = table(spark, d, "lineitem").where("l_linenumber = 2")
+    line = table(spark, d, "lineitem")
     reason = F.when(F.col("l_returnflag") == "A", "aop-around").when(F.col("l_returnflag") == "N", "aop-before").otherwise("other")
     edges = line.select(F.concat(F.lit("a"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("ADVISES").alias("kind"), reason.alias("reason"))
     return C.interceptions(edges).select("method", F.array_join(F.array_sort(F.transform("advice", lambda a: F.concat_ws(" ", a["kind"], a["advice"]))), ",").alias("advice"))
@@ -750,9 +765,9 @@ def J23_member_lookup(spark, d):
     return C.members(sites, defs)
 
 
-@query("SELECT p_partkey AS id, upper(CASE WHEN p_size % 2 = 0 THEN p_type ELSE lower(regexp_replace(replace(p_brand || 'Of', '#', ''), '(.)([A-Z])', '\\1_\\2', 'g')) END) AS \"table\" FROM part WHERE p_size % 3 = 0")
+@query("SELECT p_partkey AS id, upper(CASE WHEN p_size % 2 = 0 THEN p_type ELSE lower(regexp_replace(replace(p_brand || 'Of', '#', ''), '(.)([A-Z])', '\\1_\\2', 'g')) END) AS \"table\" FROM part")
 def J20_entity_tables(spark, d):
-    types = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.concat("p_brand", F.lit("Of")), "#", "").alias("name"), F.when(F.col("p_size") % 3 == 0, "entity").alias("stereotype"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("table_name"))
+    types = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.regexp_replace(F.concat("p_brand", F.lit("Of")), "#", "").alias("name"), F.lit("entity").alias("stereotype"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("table_name"))
     return C.entity_tables(types)
 
 
@@ -763,11 +778,10 @@ def J29_injection(spark, d):
     return C.injected(points, beans)
 
 
-@query("SELECT o_custkey AS id, coalesce('pin' || c_custkey, 'orders') AS feature FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 0) ON c_custkey = o_custkey UNION SELECT c_custkey, 'pin' || c_custkey FROM customer WHERE c_custkey % 10 = 0")
+@query("SELECT o_custkey AS id, 'orders' AS feature FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, 'pin' || s_suppkey FROM supplier")
 def O7_override_apply(spark, d):
     assigned = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("orders").alias("feature")).distinct()
-    pinned = table(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("pin"), F.col("c_custkey")).alias("feature"))
-    return C.feature_overrides(assigned, pinned)
+    return C.feature_overrides(assigned, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("pin"), "s_suppkey").alias("feature")))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'late' WHEN p_size % 2 = 0 THEN 'early' ELSE 'shared' END AS feature FROM part")

@@ -44,3 +44,8 @@ COMMUNITY_SYMBOL_KINDS = ("Class", "Interface", "Method", "Constructor")
 FORWARD_STEPS = ("CALLS", "EXTERNAL_CALL", "PUBLISHES_EVENT")
 DATA_STEPS = ("EXECUTES_QUERY", "READS_TABLE", "WRITES_TABLE")
 REVERSED_STEPS = ("HANDLES_ROUTE", "LISTENS_TO")
+PROJECTION_EDGES = (
+    "CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "TESTS", "HANDLES_ROUTE", "EXTERNAL_CALL", "PUBLISHES_EVENT", "LISTENS_TO", "INTEGRATION_LINK", "EXECUTES_QUERY", "READS_TABLE", "WRITES_TABLE",
+)
+SEARCHABLE_KINDS = (*EMBEDDABLE_KINDS, "Function", "DbTable", "DbQuery", "MessageDestination")
+KINDS_OF_USE = {"searchable": SEARCHABLE_KINDS, "embeddable": EMBEDDABLE_KINDS, "clusterable": EMBEDDABLE_KINDS, "community": COMMUNITY_SYMBOL_KINDS, "projection": PROJECTION_EDGES}

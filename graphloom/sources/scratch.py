@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Bytes of rows up to which a table may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a local folder of our own only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder; a folder of our own only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return _own[0]
@@ -36,3 +42,8 @@ def remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     except Exception:  # the session has ended; the folder's owner clears it
         pass
+
+
+def small(df: DataFrame, row_bytes: int = 128) -> DataFrame:
+    """The table marked for broadcast if its counted rows stay within BROADCAST_BYTES; otherwise a join shuffles it."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

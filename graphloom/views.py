@@ -111,3 +111,103 @@ PAGES_SQL = """
 routes AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS rest FROM pages))
 """
+
+
+def code_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code base: suppliers as types, what they supply as their methods, and routes, topics, queries and tables that methods touch.
+
+    A method's role follows from its part's number; suppliers of every fifth nation are tests.
+    """
+    own = _methods(spark, sf_dir)
+    types = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))
+    place = lambda s, n: F.concat(F.lit("n"), n, F.lit("/S"), s, F.when(n % 5 == 0, "Test").otherwise(""), F.lit(".java"))
+    none = lambda t: F.lit(None).cast(t)
+    s, n, p = F.col("s"), F.col("n"), F.col("p")
+    test = F.when(n % 5 == 0, "test")
+
+    def plain(df: DataFrame, column: str, kind: str) -> DataFrame:
+        name = F.regexp_replace(column, "^[A-Za-z]+:", "")
+        return df.where(F.col(column).isNotNull()).select(F.col(column).alias("id"), F.lit(kind).alias("kind"), name.alias("name"), F.lit("").alias("file"), none("string").alias("stereotype"), none("int").alias("cyclomatic"), none("int").alias("cognitive"), none("int").alias("loop_depth")).distinct()
+
+    parts = [
+        types.select(_type_id(s).alias("id"), F.when(s % 4 == 0, "Interface").otherwise("Class").alias("kind"), F.concat(F.lit("S"), s).alias("name"), place(s, n).alias("file"), test.alias("stereotype"), none("int").alias("cyclomatic"), none("int").alias("cognitive"), none("int").alias("loop_depth")),
+        own.select("id", F.lit("Method").alias("kind"), "name", place(s, n).alias("file"), F.coalesce(test, F.when(p % 13 == 0, "scheduled"), F.when(p % 13 == 1, "utility")).alias("stereotype"), (p % 9).cast("int").alias("cyclomatic"), (p % 7).cast("int").alias("cognitive"), (p % 4).cast("int").alias("loop_depth")),
+        plain(own, "route", "Route"), plain(own, "topic", "KafkaTopic"), plain(own, "query", "DbQuery"), plain(own, "db_table", "DbTable"),
+        types.select(F.concat(F.lit("Community:"), n).alias("c")).transform(lambda d: plain(d, "c", "Community")),
+    ]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HAS_METHOD, EXTENDS, IMPLEMENTS, CALLS (a line's method to the next line's of an order; cycles occur), TESTS, HANDLES_ROUTE, PUBLISHES_EVENT, LISTENS_TO, EXECUTES_QUERY, READS_TABLE, WRITES_TABLE, MEMBER_OF."""
+    own = _methods(spark, sf_dir)
+    types = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"))
+    base = F.ceil(F.col("s") / 3)
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _method_id(F.col("l_suppkey"), F.col("l_partkey")).alias("src"))
+    after = F.lead("src").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "src"))
+    calls = line.select("src", after.alias("dst")).where("dst IS NOT NULL").distinct()
+    tested = calls.join(own.where("n % 5 = 0").select(F.col("id").alias("src")), "src", "left_semi").join(own.where("n % 5 <> 0").select(F.col("id").alias("dst")), "dst", "left_semi")
+
+    def edge(df: DataFrame, src, dst, kind) -> DataFrame:
+        return df.select(src.alias("src"), dst.alias("dst"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.lit(1.0).alias("confidence"), F.lit("code").alias("reason")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+    c = F.col
+    parts = [
+        edge(own, _type_id(c("s")), c("id"), "HAS_METHOD"), edge(types.where("s > 1"), _type_id(c("s")), _type_id(base), F.when(base % 4 == 0, "IMPLEMENTS").otherwise("EXTENDS")),
+        edge(calls, c("src"), c("dst"), "CALLS"), edge(tested, c("src"), c("dst"), "TESTS"), edge(own, c("id"), c("route"), "HANDLES_ROUTE"),
+        edge(own.where("p % 7 = 0"), c("id"), c("topic"), "PUBLISHES_EVENT"), edge(own.where("p % 7 = 1"), c("id"), c("topic"), "LISTENS_TO"), edge(own, c("id"), c("query"), "EXECUTES_QUERY"),
+        edge(own, c("query"), c("db_table"), F.when(c("p") % 2 == 0, "READS_TABLE").otherwise("WRITES_TABLE")), edge(own, c("id"), F.concat(F.lit("Community:"), "n"), "MEMBER_OF"),
+    ]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def _type_id(s):
+    return F.concat(F.lit("Class:S"), s.cast("string"))
+
+
+def _method_id(s, p):
+    return F.concat(F.lit("Method:S"), s.cast("string"), F.lit("#p"), p.cast("string"), F.lit("/0"))
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s, p, n, id, name, and the route, topic, query and table of each method, or null."""
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    own = pairs.join(F.broadcast(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("n"))), "s")
+    p = F.col("p")
+    verb = F.when(p % 6 == 0, "handle").when(p % 6 == 1, "get").when(p % 6 == 2, "run").otherwise("do")
+    return own.select(
+        "s", "p", "n", _method_id(F.col("s"), p).alias("id"), F.concat(verb, p).alias("name"),
+        F.when(p % 10 == 0, F.concat(F.when(p % 20 == 0, "Route:GET /api/r").otherwise("Route:POST /api/r"), p % 70)).alias("route"),
+        F.when(p % 7 <= 1, F.concat(F.lit("KafkaTopic:t"), p % 40)).alias("topic"),
+        F.when(p % 11 == 0, F.concat(F.lit("DbQuery:S"), F.col("s"), F.lit("#q"), p)).alias("query"),
+        F.when(p % 11 == 0, F.concat(F.lit("DbTable:T"), p % 30)).alias("db_table"),
+    )
+
+
+CODE_SQL = """
+own AS (SELECT s, p, n, 'Method:S' || s || '#p' || p || '/0' AS id, CASE p % 6 WHEN 0 THEN 'handle' WHEN 1 THEN 'get' WHEN 2 THEN 'run' ELSE 'do' END || p AS name,
+  CASE WHEN p % 10 = 0 THEN CASE WHEN p % 20 = 0 THEN 'Route:GET /api/r' ELSE 'Route:POST /api/r' END || (p % 70) END AS route, CASE WHEN p % 7 <= 1 THEN 'KafkaTopic:t' || (p % 40) END AS topic,
+  CASE WHEN p % 11 = 0 THEN 'DbQuery:S' || s || '#q' || p END AS query, CASE WHEN p % 11 = 0 THEN 'DbTable:T' || (p % 30) END AS db_table
+  FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) JOIN (SELECT s_suppkey AS s, s_nationkey AS n FROM supplier) USING (s)),
+things AS (SELECT DISTINCT * FROM (SELECT route AS id, 'Route' AS kind FROM own UNION ALL SELECT topic, 'KafkaTopic' FROM own UNION ALL SELECT query, 'DbQuery' FROM own UNION ALL SELECT db_table, 'DbTable' FROM own UNION ALL SELECT 'Community:' || s_nationkey, 'Community' FROM supplier) WHERE id IS NOT NULL),
+nodes AS (
+  SELECT 'Class:S' || s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'Interface' ELSE 'Class' END AS kind, 'S' || s_suppkey AS name, 'n' || s_nationkey || '/S' || s_suppkey || CASE WHEN s_nationkey % 5 = 0 THEN 'Test' ELSE '' END || '.java' AS file, CASE WHEN s_nationkey % 5 = 0 THEN 'test' END AS stereotype, NULL::INT AS cyclomatic, NULL::INT AS cognitive, NULL::INT AS loop_depth FROM supplier
+  UNION ALL SELECT id, 'Method', name, 'n' || n || '/S' || s || CASE WHEN n % 5 = 0 THEN 'Test' ELSE '' END || '.java', CASE WHEN n % 5 = 0 THEN 'test' WHEN p % 13 = 0 THEN 'scheduled' WHEN p % 13 = 1 THEN 'utility' END, (p % 9)::INT, (p % 7)::INT, (p % 4)::INT FROM own
+  UNION ALL SELECT id, kind, regexp_replace(id, '^[A-Za-z]+:', ''), '', NULL, NULL, NULL, NULL FROM things),
+lines AS (SELECT l_orderkey, l_linenumber, 'Method:S' || l_suppkey || '#p' || l_partkey || '/0' AS src FROM lineitem),
+calls AS (SELECT DISTINCT * FROM (SELECT src, lead(src) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, src) AS dst FROM lines) WHERE dst IS NOT NULL),
+edges AS (SELECT DISTINCT src, dst, kind, 1.0::DOUBLE AS confidence, 'code' AS reason FROM (
+  SELECT 'Class:S' || s AS src, id AS dst, 'HAS_METHOD' AS kind FROM own
+  UNION ALL SELECT 'Class:S' || s_suppkey, 'Class:S' || ceil(s_suppkey / 3)::BIGINT, CASE WHEN ceil(s_suppkey / 3)::BIGINT % 4 = 0 THEN 'IMPLEMENTS' ELSE 'EXTENDS' END FROM supplier WHERE s_suppkey > 1
+  UNION ALL SELECT src, dst, 'CALLS' FROM calls
+  UNION ALL SELECT src, dst, 'TESTS' FROM calls WHERE src IN (SELECT id FROM own WHERE n % 5 = 0) AND dst IN (SELECT id FROM own WHERE n % 5 <> 0)
+  UNION ALL SELECT id, route, 'HANDLES_ROUTE' FROM own UNION ALL SELECT id, topic, 'PUBLISHES_EVENT' FROM own WHERE p % 7 = 0 UNION ALL SELECT id, topic, 'LISTENS_TO' FROM own WHERE p % 7 = 1
+  UNION ALL SELECT id, query, 'EXECUTES_QUERY' FROM own UNION ALL SELECT query, db_table, CASE WHEN p % 2 = 0 THEN 'READS_TABLE' ELSE 'WRITES_TABLE' END FROM own
+  UNION ALL SELECT id, 'Community:' || n, 'MEMBER_OF' FROM own) WHERE src IS NOT NULL AND dst IS NOT NULL)
+"""
