@@ -33,3 +33,20 @@ def signature_match(a: Column, b: Column) -> Column:
 
 def hop_confidence(hops: Column) -> Column:
     return F.greatest(F.lit(0.5), 0.9 - 0.05 * (hops - 1))
+
+
+def band_hash(values: Column) -> Column:
+    """FNV-1a over the little-endian bytes of 32-bit values, as hexadecimal digits; products modulo 2^64 by halves of 32 bits in decimals."""
+    two32, two64 = "4294967296", "18446744073709551616"
+    dec = "decimal(38,0)"
+    state = F.struct(F.lit(0xCBF29CE4).cast(dec).alias("hi"), F.lit(0x84222325).cast(dec).alias("lo"))
+    data = F.flatten(F.transform(values, lambda v: F.array(*(F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255)) for k in range(4)))))
+
+    def step(s: Column, byte: Column) -> Column:
+        low = s["lo"].cast("long").bitwiseXOR(byte).cast(dec)
+        # The prime is 2^40 + 0x1B3: (hi 2^32 + low) times it, cut to 64 bits.
+        product = low * F.lit(0x1B3).cast(dec) + (low * F.lit(256).cast(dec) % F.lit(two32).cast(dec) + s["hi"] * F.lit(0x1B3).cast(dec)) % F.lit(two32).cast(dec) * F.lit(two32).cast(dec)
+        cut = product.cast(dec) % F.lit(two64).cast(dec)
+        return F.struct(F.floor(cut / F.lit(two32).cast(dec)).cast(dec).alias("hi"), (cut % F.lit(two32).cast(dec)).cast(dec).alias("lo"))
+
+    return F.aggregate(data, state, step, lambda s: F.lower(F.concat(F.lpad(F.hex(s["hi"].cast("long")), 8, "0"), F.lpad(F.hex(s["lo"].cast("long")), 8, "0"))))

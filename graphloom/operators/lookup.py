@@ -153,7 +153,10 @@ def untested(nodes: DataFrame, edges: DataFrame, prefix: str = "", kinds: Sequen
 
 def tests_for_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, cap: int = 200) -> DataFrame:
     """Tests of a file's nodes, directly or through one call; ``via`` says how, each way capped by the order of ids."""
-    wanted = nodes.join(files.select("file").distinct(), "file", "left_semi").select(F.col("id").alias("dst"))
+    from ..sources.scratch import small, written
+
+    wanted = small(written(nodes.join(files.select("file").distinct(), "file", "left_semi").select(F.col("id").alias("dst")).distinct(), "wanted"))
+    edges = written(edges.where("kind IN ('TESTS', 'CALLS')").select("src", "dst", "kind"), "steps")
     tests, calls = edges.where("kind = 'TESTS'"), edges.where("kind = 'CALLS'")
     direct = tests.join(wanted, "dst", "left_semi").select(F.col("src").alias("test"), F.lit("direct").alias("via")).distinct().orderBy("test").limit(cap)
     callers = calls.join(wanted, "dst", "left_semi").select(F.col("src").alias("dst")).distinct()

@@ -12,6 +12,8 @@ from ..functions import vectors as V
 from ..operators import aggregates as A
 from ..operators import contracts as C
 from ..operators import lookup as L
+from ..operators import projections as R
+from ..operators import resolution as V2
 from ..operators import search as S
 from ..operators import traversal as G
 from ..views import CODE_SQL, FLOW_SQL, PAGES_SQL, SUPPLY_SQL, code_edges, code_nodes, flow_edges, page_routes, supply_edges, supply_nodes, table
@@ -84,11 +86,6 @@ def P7_complexity_hotspots(spark, d):
     return L.hotspots(supply_nodes(spark, d), kinds=("Part",)).select("id", "loop_depth", "cyclomatic", "cognitive")
 
 
-@query(supply("SELECT kind, count(*) AS n FROM nodes WHERE kind IN ('Part', 'Supplier') GROUP BY kind"))
-def P9_kind_filter(spark, d):
-    return supply_nodes(spark, d).where(F.col("kind").isin("Part", "Supplier")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(supply("SELECT kind, count(*) AS n FROM edges WHERE kind IN ('CALLS', 'TESTS') GROUP BY kind"))
 def P13_edge_kind_filter(spark, d):
     return supply_edges(spark, d).where(L.edge_kinds(("CALLS", "TESTS"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -861,3 +858,366 @@ def G14_cross_community(spark, d):
     groups = rows.select(F.col("role").alias("id"), F.col("role").alias("group")).distinct()
     turns = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
     return A.transitions_between(kinds.distinct(), groups).join(turns, F.col("path_id") == F.col("conv_id")).select("conv_id", "turns", "crosses")
+
+
+# --- operators on the code base
+
+
+@query(code("SELECT kind, count(*) AS n FROM nodes WHERE kind IN ('Class', 'Interface', 'Enum', 'Record', 'Annotation', 'Method', 'Function', 'Constructor', 'Field', 'Route', 'DbTable', 'DbQuery', 'IntegrationRoute', 'MessageDestination') GROUP BY kind"))
+def P9_searchable_kinds(spark, d):
+    return L.of_kinds(code_nodes(spark, d), "searchable").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(code("SELECT kind, count(*) AS n FROM nodes WHERE kind IN ('Class', 'Interface', 'Enum', 'Record', 'Annotation', 'Method', 'Constructor', 'Field', 'Route', 'IntegrationRoute') GROUP BY kind"))
+def P10_embeddable_kinds(spark, d):
+    return L.of_kinds(code_nodes(spark, d), "embeddable").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(code("SELECT kind, count(*) AS n FROM nodes WHERE kind IN ('Class', 'Interface', 'Method', 'Constructor') GROUP BY kind"))
+def P11_community_kinds(spark, d):
+    return L.of_kinds(code_nodes(spark, d), "community").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(code("SELECT id FROM nodes WHERE kind IN ('Class', 'Interface', 'Enum', 'Record', 'Annotation', 'Method', 'Constructor', 'Field', 'Route', 'IntegrationRoute')"))
+def P12_clusterable_kinds(spark, d):
+    return L.of_kinds(code_nodes(spark, d), "clusterable").select("id")
+
+
+@query(code("SELECT kind, count(*) AS n FROM edges WHERE kind IN ('CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS', 'TESTS', 'HANDLES_ROUTE', 'EXTERNAL_CALL', 'PUBLISHES_EVENT', 'LISTENS_TO', 'INTEGRATION_LINK', 'EXECUTES_QUERY', 'READS_TABLE', 'WRITES_TABLE') GROUP BY kind"))
+def P14_projection_kinds(spark, d):
+    return L.of_kinds(code_edges(spark, d), "projection").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(code("SELECT 'read' AS access, src, dst FROM edges WHERE kind = 'READS_TABLE' UNION ALL SELECT 'write', src, dst FROM edges WHERE kind = 'WRITES_TABLE'"))
+def P19_final_edges(spark, d):
+    edges = code_edges(spark, d)
+    return L.final_edges(edges, "read").select(F.lit("read").alias("access"), "src", "dst").union(L.final_edges(edges, "write").select(F.lit("write"), "src", "dst"))
+
+
+@query("SELECT event_id FROM events WHERE coalesce(json_extract_string(CASE WHEN event_type = 'view' THEN '{\"external\":true}' ELSE '{\"fromJar\":' || (event_id % 2 = 0) || '}' END, '$.fromJar'), 'false') <> 'true' AND event_type <> 'view'")
+def P21_project_nodes(spark, d):
+    props = F.when(F.col("event_type") == "view", '{"external":true}').otherwise(F.concat(F.lit('{"fromJar":'), F.col("event_id") % 2 == 0, F.lit("}")))
+    return L.project_nodes(table(spark, d, "events").select("event_id", F.lit("src/A.java").alias("file"), props.alias("props"))).select("event_id")
+
+
+@query("SELECT s AS source, n, h, CASE WHEN n > 500 AND h > 3 THEN 'monolith' WHEN n < 100 THEN 'microservice' ELSE 'unknown' END AS hint FROM (SELECT source AS s, count(*) AS n, count(DISTINCT coalesce(lang, '')) AS h FROM documents GROUP BY source)")
+def P23_architecture_hint(spark, d):
+    counted = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.coalesce("lang", F.lit(""))).alias("h"))
+    return counted.withColumn("hint", L.architecture(F.col("h"), F.col("n")))
+
+
+_SIMILAR = "SELECT id AS src, nid AS dst, confidence FROM (SELECT a.vec_id AS id, b.vec_id AS nid, 1 - abs(a.vec_id % 97 - b.vec_id % 97) / 97.0 AS confidence FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id = 7)"
+
+
+@query(f"SELECT dst AS id, round(confidence, 6)::DOUBLE AS similarity FROM ({_SIMILAR}) WHERE confidence >= 0.5 ORDER BY confidence DESC, dst::VARCHAR LIMIT 20")
+def P8_similar_methods(spark, d):
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "label")
+    root = vectors.where("v = 7").select(F.col("v").alias("src"), "label")
+    edges = vectors.join(root, "label").where("src <> v").select(F.col("src").cast("string").alias("src"), F.col("v").cast("string").alias("dst"), F.lit("SIMILAR_TO").alias("kind"), (1 - F.abs(F.col("src") % 97 - F.col("v") % 97) / 97.0).alias("confidence"))
+    nodes = vectors.select(F.col("v").cast("string").alias("id"), F.col("v").cast("string").alias("name"), F.lit("").alias("file"))
+    return L.similar_methods(nodes, edges, "7", 0.5, 20).select(F.col("id").cast("long").alias("id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(code(", f AS (SELECT n.file, count(*) AS members FROM nodes n JOIN edges e ON e.src = n.id AND e.kind = 'MEMBER_OF' AND e.dst = 'Community:7' WHERE n.file <> '' GROUP BY n.file ORDER BY members DESC, file LIMIT 20), m AS (SELECT n.id, n.file FROM nodes n JOIN edges e ON e.src = n.id AND e.kind = 'MEMBER_OF' AND e.dst = 'Community:7' JOIN f USING (file)) SELECT 'File:' || a.file AS src, 'File:' || b.file AS dst, e.kind, count(*) AS n FROM edges e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE a.file <> b.file AND e.kind IN ('CALLS', 'TESTS') GROUP BY ALL"))
+def A5_community_projection(spark, d):
+    found = R.community_projection(code_nodes(spark, d), code_edges(spark, d), "Community:7", ("CALLS", "TESTS"), 20, 100_000, 0)
+    return found.edges
+
+
+@query(code(", m AS (SELECT n.id, n.kind, n.name FROM nodes n WHERE file = 'n5/S1Test.java' OR file = (SELECT file FROM nodes WHERE id = 'Class:S1')), t AS (SELECT DISTINCT * FROM edges), deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM t UNION ALL SELECT dst FROM t) GROUP BY id) SELECT m.id, m.kind, m.name, coalesce(degree, 0) AS degree FROM m LEFT JOIN deg USING (id) ORDER BY degree DESC, id LIMIT 200"))
+def A6_file_projection(spark, d):
+    nodes = code_nodes(spark, d)
+    file = nodes.where("id = 'Class:S1'").first().file
+    return R.file_projection(nodes, code_edges(spark, d), file).nodes.select("id", "kind", "name", "degree")
+
+
+@query(
+    code(
+        """, m AS (SELECT src AS id, dst AS community FROM edges WHERE kind = 'MEMBER_OF'), best AS (
+            SELECT community, 'route' AS part, '/' || array_to_string(list_slice(list_filter(string_split(regexp_replace(dst, '^Route:[A-Z]+ ', ''), '/'), lambda x: x <> ''), 1, 2), '/') AS v FROM m JOIN edges e ON e.src = m.id AND e.kind = 'HANDLES_ROUTE'
+            UNION ALL SELECT community, 'controller', n.name FROM m JOIN edges e ON e.src = m.id AND e.kind = 'HANDLES_ROUTE' JOIN edges h ON h.dst = m.id AND h.kind = 'HAS_METHOD' JOIN nodes n ON n.id = h.src
+            UNION ALL SELECT community, 'table', regexp_replace(a.dst, '^DbTable:', '') FROM m JOIN edges e ON e.src = m.id AND e.kind = 'EXECUTES_QUERY' JOIN edges a ON a.src = e.dst AND a.kind IN ('READS_TABLE', 'WRITES_TABLE')
+            UNION ALL SELECT community, 'topic', regexp_replace(e.dst, '^KafkaTopic:', '') FROM m JOIN edges e ON e.src = m.id AND e.kind IN ('PUBLISHES_EVENT', 'LISTENS_TO')
+            UNION ALL SELECT community, 'stereotype', stereotype FROM m JOIN nodes USING (id) WHERE stereotype IS NOT NULL),
+        top AS (SELECT community, part, v FROM (SELECT community, part, v, row_number() OVER (PARTITION BY community, part ORDER BY count(*) DESC, v) AS k FROM best GROUP BY ALL) WHERE k = 1)
+        p AS (SELECT community, max(v) FILTER (part = 'route') AS route_prefix, max(v) FILTER (part = 'controller') AS controller, max(v) FILTER (part = 'table') AS db_table, max(v) FILTER (part = 'topic') AS topic, max(v) FILTER (part = 'stereotype') AS stereotype FROM top GROUP BY community),
+        n AS (SELECT community, count(*) AS members FROM m GROUP BY community) SELECT n.community, members, route_prefix, controller, db_table, topic, stereotype, coalesce(route_prefix, controller, db_table, topic, stereotype, n.community) AS label FROM n LEFT JOIN p ON p.community = n.community"""
+    )
+)
+def A12_community_profiles(spark, d):
+    return R.community_profiles(code_nodes(spark, d), code_edges(spark, d))
+
+
+@query(
+    code(
+        """, m AS (SELECT src AS id, dst AS community FROM edges WHERE kind = 'MEMBER_OF'), x AS (SELECT a.community AS ca, b.community AS cb, e.src, e.dst FROM edges e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst WHERE e.kind = 'CALLS' AND a.community <> b.community)
+        SELECT community, count(*) AS members, (SELECT count(DISTINCT src) FROM x WHERE cb = community) AS callers, (SELECT count(DISTINCT dst) FROM x WHERE ca = community) AS callees,
+        (SELECT count(DISTINCT a.dst) FROM m n JOIN edges e ON e.src = n.id AND e.kind = 'EXECUTES_QUERY' JOIN edges a ON a.src = e.dst AND a.kind IN ('READS_TABLE', 'WRITES_TABLE') WHERE n.community = m.community) AS tables,
+        (SELECT count(DISTINCT e.dst) FROM m n JOIN edges e ON e.src = n.id AND e.kind IN ('PUBLISHES_EVENT', 'LISTENS_TO') WHERE n.community = m.community) AS topics FROM m GROUP BY community"""
+    )
+)
+def A24_community_stats(spark, d):
+    return R.community_stats(code_edges(spark, d))
+
+
+@query(
+    code(
+        """, s AS (SELECT s, count(*) AS methods, avg((p % 9)::INT) AS ac, max((p % 9)::INT) AS mc, avg((p % 7)::INT) AS ag, max((p % 7)::INT) AS mg, avg((p % 4)::INT) AS al, max((p % 4)::INT) AS ml, sum(p % 5) AS ifs, sum(p % 3) AS rets FROM own GROUP BY s)
+        SELECT 'Class:S' || s_suppkey AS type, array_to_string(list_transform([coalesce(methods, 0), 0, 0, coalesce(ac, 0), coalesce(mc, 0), coalesce(ag, 0), coalesce(mg, 0), coalesce(al, 0), coalesce(ml, 0), coalesce(ifs, 0), 0, 0, 0, 0, coalesce(rets, 0), 0, 2, (s_nationkey % 5 = 0)::INT, (s_suppkey % 4 = 0)::INT, 0, 0, 1, 0, (s_nationkey % 5 = 0)::INT, least(1, s_suppkey * 30 / 1000)], lambda x: round(x * 1000)::BIGINT), ',') AS profile FROM supplier LEFT JOIN s ON s = s_suppkey"""
+    )
+)
+def A25_structural_profile(spark, d):
+    types = code_nodes(spark, d).where("kind IN ('Class', 'Interface')").withColumn("s", F.regexp_extract("id", "S(\\d+)$", 1).cast("int"))
+    types = types.select("id", "kind", "stereotype", F.lit(False).alias("is_abstract"), F.lit(2).alias("annotations"), F.lit(1).alias("implements"), F.lit(0).alias("extends"), (F.col("stereotype") == "test").alias("is_test"), (F.col("s") * 30).alias("lines"))
+    methods = code_nodes(spark, d).where("kind = 'Method'").withColumn("p", F.regexp_extract("id", "#p(\\d+)/", 1).cast("int"))
+    flow = {"ifs": F.col("p") % 5, "returns": F.col("p") % 3}
+    methods = methods.select(F.concat(F.lit("Class:"), F.regexp_extract("id", ":(S\\d+)#", 1)).alias("owner"), "kind", "cyclomatic", "cognitive", "loop_depth", *(flow.get(c, F.lit(None).cast("int")).alias(c) for c in R.FLOW_COUNTS))
+    whole = F.transform("profile", lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string"))
+    return R.structural_profiles(types, methods).select("type", F.array_join(whole, ",").alias("profile"))
+
+
+@query(code(", up AS (SELECT src AS child, dst AS ancestor, 1 AS distance FROM edges WHERE kind IN ('EXTENDS', 'IMPLEMENTS') UNION ALL SELECT u.child, e.dst, u.distance + 1 FROM up u JOIN edges e ON e.src = u.ancestor AND e.kind IN ('EXTENDS', 'IMPLEMENTS')), f AS (SELECT o.id AS src, b.id AS dst, n.kind, u.distance FROM own o JOIN up u ON u.child = 'Class:S' || o.s JOIN own b ON 'Class:S' || b.s = u.ancestor AND b.p = o.p JOIN nodes n ON n.id = u.ancestor) SELECT src, dst, 'METHOD_OVERRIDES' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS k FROM f WHERE kind = 'Class') WHERE k = 1 UNION ALL SELECT src, dst, 'METHOD_IMPLEMENTS' FROM f WHERE kind = 'Interface'"))
+def G18_overrides(spark, d):
+    nodes, edges = code_nodes(spark, d), code_edges(spark, d)
+    closure = G.ancestors(edges.where("kind IN ('EXTENDS', 'IMPLEMENTS')").select(F.col("src").alias("child"), F.col("dst").alias("parent")))
+    methods = edges.where("kind = 'HAS_METHOD'").select(F.col("dst").alias("id"), F.col("src").alias("owner"), F.regexp_extract("dst", "#(.*)$", 1).alias("signature"))
+    return C.overrides(methods, closure, nodes.where("kind IN ('Class', 'Interface')").select(F.col("id").alias("type"), "kind"))
+
+
+@query(code(", up AS (SELECT src AS type, [src, dst] AS mro, dst AS last FROM edges WHERE kind IN ('EXTENDS', 'IMPLEMENTS') UNION ALL SELECT u.type, list_append(u.mro, e.dst), e.dst FROM up u JOIN edges e ON e.src = u.last AND e.kind IN ('EXTENDS', 'IMPLEMENTS')) SELECT type, array_to_string(mro, ' ') AS mro FROM up WHERE last = 'Class:S1' UNION ALL SELECT 'Class:S1', 'Class:S1'"))
+def G17_linearization(spark, d):
+    """The bases of each type in order; here each has one. Diamonds and cycles are tested on small graphs."""
+    parents = code_edges(spark, d).where("kind IN ('EXTENDS', 'IMPLEMENTS')").select(F.col("src").alias("child"), F.col("dst").alias("parent"), F.lit(0).alias("place"))
+    return V2.linearized(parents).select("type", F.array_join("mro", " ").alias("mro"))
+
+
+@query(code(", up AS (SELECT src AS child, dst AS ancestor, 1 AS distance FROM edges WHERE kind IN ('EXTENDS', 'IMPLEMENTS') UNION ALL SELECT u.child, e.dst, u.distance + 1 FROM up u JOIN edges e ON e.src = u.ancestor AND e.kind IN ('EXTENDS', 'IMPLEMENTS')), sites AS (SELECT 'Class:S' || s_suppkey AS owner, 'p' || p_partkey || '/0' AS sig FROM supplier JOIN part ON p_partkey % 7 = s_suppkey % 7), c AS (SELECT owner, sig, owner AS anc, 0 AS distance FROM sites UNION ALL SELECT owner, sig, ancestor, distance FROM sites JOIN up ON child = owner) SELECT owner || ' ' || sig AS site, id, distance::INT AS distance FROM (SELECT c.*, o.id, row_number() OVER (PARTITION BY c.owner, c.sig ORDER BY distance, o.id) AS k FROM c JOIN own o ON 'Class:S' || o.s = anc AND 'p' || o.p || '/0' = sig) WHERE k = 1"))
+def J24_inherited_members(spark, d):
+    edges = code_edges(spark, d)
+    closure = G.ancestors(edges.where("kind IN ('EXTENDS', 'IMPLEMENTS')").select(F.col("src").alias("child"), F.col("dst").alias("parent")))
+    defs = edges.where("kind = 'HAS_METHOD'").select(F.col("dst").alias("id"), F.col("src").alias("owner"), F.regexp_extract("dst", "#(.*)$", 1).alias("name"), F.lit(0).alias("arity"))
+    part, supplier = table(spark, d, "part").select("p_partkey"), table(spark, d, "supplier").select("s_suppkey")
+    sites = supplier.join(part, F.col("p_partkey") % 7 == F.col("s_suppkey") % 7).select(F.concat(F.lit("Class:S"), "s_suppkey").alias("owner"), F.concat(F.lit("p"), "p_partkey", F.lit("/0")).alias("name"), F.lit(0).alias("arity"))
+    return C.inherited_members(sites.withColumn("site", F.concat_ws(" ", "owner", "name")), defs, closure)
+
+
+@query(code(", start AS (SELECT id FROM nodes WHERE kind = 'Route' UNION SELECT id FROM nodes WHERE id NOT IN (SELECT dst FROM edges WHERE kind IN ('HAS_METHOD', 'EXTENDS', 'IMPLEMENTS', 'EXECUTES_QUERY'))), walk AS (SELECT id, 0 AS depth FROM start UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id AND e.kind IN ('HAS_METHOD', 'EXTENDS', 'IMPLEMENTS', 'EXECUTES_QUERY') WHERE w.depth < 20) SELECT n.id, coalesce(min(depth), 0)::INT AS depth FROM nodes n LEFT JOIN walk USING (id) GROUP BY n.id"))
+def G23_call_depths(spark, d):
+    return G.call_depths(code_nodes(spark, d), code_edges(spark, d), ("Route",), ("HAS_METHOD", "EXTENDS", "IMPLEMENTS", "EXECUTES_QUERY"))
+
+
+@query(code(", layer AS (SELECT DISTINCT src, dst, kind FROM edges WHERE src IN ('Class:S1', 'Class:S2') OR dst IN ('Class:S1', 'Class:S2')) SELECT * FROM layer ORDER BY src, dst, kind LIMIT 300"))
+def G4_layer(spark, d):
+    frontier = spark.createDataFrame([("Class:S1",), ("Class:S2",)], "id string")
+    return G.expand_layer(code_edges(spark, d), frontier, edge_budget=300)[0].select("src", "dst", "kind")
+
+
+@query(code(", q(source, target) AS (VALUES ('Class:S1', 'DbTable:T0'), ('Class:S2', 'Class:S1'), ('Class:S1', 'Class:S2')), walk AS (SELECT source, source AS id, 0 AS depth FROM q UNION SELECT w.source, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 4 AND e.kind IN ('HAS_METHOD', 'EXTENDS', 'IMPLEMENTS', 'EXECUTES_QUERY', 'READS_TABLE', 'WRITES_TABLE')) SELECT source, target, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.source = q.source AND w.id = target AND depth > 0) THEN 'reachable' ELSE 'not reachable' END AS status FROM q"))
+def G8_reaches_status(spark, d):
+    nodes, edges = code_nodes(spark, d), code_edges(spark, d).where("kind IN ('HAS_METHOD', 'EXTENDS', 'IMPLEMENTS', 'EXECUTES_QUERY', 'READS_TABLE', 'WRITES_TABLE')")
+    pairs = [("Class:S1", "DbTable:T0"), ("Class:S2", "Class:S1"), ("Class:S1", "Class:S2")]
+    return spark.createDataFrame([(a, b, G.reaches(nodes, edges, a, b, 4)) for a, b in pairs], "source string, target string, status string")
+
+
+@query(code(", c AS (SELECT src, dst AS endpoint FROM edges WHERE kind = 'HANDLES_ROUTE'), walk AS (SELECT src AS id, 0 AS depth FROM edges WHERE kind = 'LISTENS_TO' AND dst = 'KafkaTopic:t1' UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id AND e.kind = 'CALLS' WHERE w.depth < 2) SELECT w.id, min(depth)::INT AS depth, min(endpoint) AS route FROM walk w LEFT JOIN c ON c.src = w.id GROUP BY w.id"))
+def J38_consumer_callers(spark, d):
+    edges = code_edges(spark, d).withColumn("kind", F.when(F.col("kind") == "LISTENS_TO", "EXTERNAL_CALL").otherwise(F.col("kind")))
+    return V2.consumer_callers(edges, "KafkaTopic:t1", 2)
+
+
+@query("SELECT o_orderkey AS ref, id FROM (SELECT o_orderkey, p_partkey AS id, row_number() OVER (PARTITION BY o_orderkey ORDER BY m = '*', CASE WHEN o_orderkey % 3 = p_size % 3 THEN 0 ELSE 1 END, p_partkey) AS k FROM orders JOIN (SELECT DISTINCT s_nationkey AS file, 'Brand#' || (11 + s_suppkey % 9) AS owner, CASE WHEN s_suppkey % 2 = 0 THEN '*' ELSE 'ECONOMY' END AS m FROM supplier) i ON i.file = o_custkey % 25 JOIN part ON p_brand = owner AND p_type = CASE o_orderstatus WHEN 'F' THEN 'ECONOMY' ELSE 'STANDARD' END AND (m = '*' OR m = p_type)) WHERE k = 1")
+def J27_static_imports(spark, d):
+    refs = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), F.lit(None).cast("string").alias("receiver"), F.when(F.col("o_orderstatus") == "F", "ECONOMY").otherwise("STANDARD").alias("name"), (F.col("o_orderkey") % 3).alias("arity"), (F.col("o_custkey") % 25).alias("file"))
+    imports = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("file"), F.concat(F.lit("Brand#"), 11 + F.col("s_suppkey") % 9, F.lit("."), F.when(F.col("s_suppkey") % 2 == 0, "*").otherwise("ECONOMY")).alias("raw"), F.lit(True).alias("is_static"))
+    defs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("owner"), F.col("p_type").alias("name"), (F.col("p_size") % 3).cast("long").alias("arity"))
+    return V2.static_imports(refs, imports.distinct(), defs)
+
+
+@query("SELECT DISTINCT 'm' || page_id AS src, 'Route:GET /v1/' || lower(host) AS id, '/v1/' || lower(host) AS path FROM (SELECT min(page_id) AS page_id, regexp_extract(url, '//([^/]+)', 1) AS host FROM (SELECT 'm' || page_id AS m, page_id, url FROM pages) GROUP BY 2) WHERE host <> ''")
+def J32_custom_routes(spark, d):
+    host = F.lower(F.regexp_extract("url", "//([^/]+)", 1))
+    first = table(spark, d, "pages").where(host != "").groupBy(host.alias("host")).agg(F.min("page_id").alias("page_id"))
+    note = lambda name, key, value: F.array(F.struct(F.lit(name).alias("name"), F.create_map(F.lit(key), value).alias("attrs")))
+    methods = first.select(F.concat(F.lit("m"), "page_id").alias("id"), F.lit("Api").alias("owner"), note("Get", "value", F.col("host")).alias("annotations"))
+    types = spark.range(1).select(F.lit("Api").alias("owner"), note("Path", "value", F.lit("/v1/")).alias("annotations"))
+    rules = spark.createDataFrame([("Get", "value", "GET", None, "Path", "value")], "annotation string, path_attr string, method string, method_attr string, prefix_annotation string, prefix_attr string")
+    return V2.custom_routes(methods, types, rules, spark.createDataFrame([], "id string")).select("id", "src", "path")
+
+
+@query("WITH r AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages) SELECT page_id AS old_id, CASE WHEN n_name IS NULL THEN '/' || host ELSE '/svc/' || n_nationkey || '/' || host END AS path FROM r LEFT JOIN nation ON n_nationkey = page_id % 40 WHERE host <> ''")
+def J33_stitched_routes(spark, d):
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    routes = table(spark, d, "pages").where(host != "").select(F.col("page_id").alias("id"), (F.col("page_id") % 40).alias("owner"), F.lit("GET").alias("method"), F.concat(F.lit("/"), host).alias("path"))
+    servers = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("owner"), F.concat(F.lit("/svc/"), "n_nationkey").alias("address"))
+    return V2.stitched_routes(routes, servers).select("old_id", "path")
+
+
+@query("SELECT 'rich' AS src, s_suppkey::VARCHAR AS dst, 0.8::DOUBLE AS confidence, 'aop-around' AS reason FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey::VARCHAR) AS k FROM supplier WHERE s_nationkey < 10) WHERE k <= 15")
+def J31_advice(spark, d):
+    methods = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("com.n"), "s_nationkey", F.lit(".Svc")).alias("owner"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("annotations"))
+    # One digit after com.n, then a class.
+    advice = spark.createDataFrame([("rich", "around", "com.n?.Svc".replace("?", "*"), "*", None, True)], "id string, kind string, owner_pattern string, name_pattern string, annotation string, approximate boolean")
+    return V2.advice_edges(methods.where(F.length("owner") == F.length(F.lit("com.n1.Svc"))), advice, 15)
+
+
+@query("SELECT 'c' || c_custkey AS src, 's' || s_suppkey AS dst, 'CALLS' AS kind, 0.9::DOUBLE AS confidence FROM customer JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) ON s_nationkey = c_nationkey")
+def J30_wired_calls(spark, d):
+    customer, supplier = table(spark, d, "customer"), table(spark, d, "supplier")
+    own = customer.select(F.concat(F.lit("c"), "c_custkey").alias("bean"), F.concat(F.lit("n"), "c_nationkey").alias("ref"))
+    beans = own.select("bean", F.col("bean").alias("class_id")).union(supplier.select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey")))
+    return V2.wired_calls(own, beans)
+
+
+@query("SELECT src, dst, kind, max(confidence)::DOUBLE AS confidence FROM (SELECT user_id AS src, 'ExternalEndpoint:GET /' || event_type AS dst, 'EXTERNAL_CALL' AS kind, 0.75 AS confidence FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, 'ExternalEndpoint:GET /' || event_type || '/{*}', 'EXTERNAL_CALL', 0.65 FROM events WHERE event_id % 3 = 1 UNION ALL SELECT user_id, 'KafkaTopic:' || event_type, 'PUBLISHES_EVENT', 0.8 FROM events WHERE event_id % 3 = 2 AND event_id % 2 = 0) GROUP BY ALL")
+def V7_contract_edges(spark, d):
+    kind, e = F.col("event_id") % 3, F.col("event_type")
+    sites = table(spark, d, "events").select(F.col("user_id").alias("src"), F.when(kind < 2, "http").otherwise("publish").alias("kind"), F.lit("get").alias("method"), F.when(kind == 0, F.concat(F.lit("/"), e)).alias("literal"), F.when(kind == 1, F.concat(e, F.lit("/${id}"))).otherwise(F.when(F.col("event_id") % 2 == 0, e).otherwise(F.concat(e, F.lit("-${env}")))).alias("folded"))
+    return V2.contract_edges(sites)[1]
+
+
+@query("SELECT page_id, CASE WHEN len(p) > 0 AND len(list_filter(p, lambda s: s <> '{*}')) > 0 THEN '/' || array_to_string(p, '/') END AS path FROM (SELECT page_id, list_transform(list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/'), lambda s: s <> ''), lambda s: CASE WHEN contains(s, 'a') THEN '{*}' ELSE s END) AS p FROM pages)")
+def F9_wildcard_segments(spark, d):
+    return table(spark, d, "pages").select("page_id", X.wildcard_segments(F.col("url"), "a").alias("path"))
+
+
+@query("SELECT page_id, split_part(url, ':', 1) AS scheme, split_part(regexp_replace(CASE WHEN contains(url, ':') THEN regexp_replace(url, '^[^:]*:', '') ELSE '' END, '^(queue|topic):', ''), '?', 1) AS endpoint FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'jms:queue:' || url WHEN 1 THEN url ELSE 'direct' || page_id END AS url FROM pages)")
+def F11_endpoint_uri(spark, d):
+    uri = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("jms:queue:"), "url")).when(F.col("page_id") % 3 == 1, F.col("url")).otherwise(F.concat(F.lit("direct"), "page_id"))
+    return table(spark, d, "pages").select("page_id", X.uri_scheme(uri).alias("scheme"), X.uri_endpoint(uri).alias("endpoint"))
+
+
+@query("SELECT page_id, regexp_matches(host, '^www[^.]*\\.(?:(?s:.)*\\.)?[^.]*$') AS a, regexp_matches(host, '^[^.]*\\.[^.]*$') AS b FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages)")
+def F12_type_patterns(spark, d):
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    return table(spark, d, "pages").select("page_id", host.rlike(X.type_pattern("www*..*")).alias("a"), host.rlike(X.type_pattern("*.*")).alias("b"))
+
+
+@query(code("SELECT id, 'kafka ' || name AS label FROM nodes WHERE kind = 'KafkaTopic'"))
+def F16_topic_labels(spark, d):
+    topics = code_nodes(spark, d).where("kind = 'KafkaTopic'")
+    return topics.select("id", X.topic_label(F.col("kind"), F.col("id"), F.lit("")).alias("label"))
+
+
+@query(code("SELECT id, md5('kind: ' || kind || chr(10) || 'name: ' || name || chr(10) || 'file: ' || file || CASE WHEN cyclomatic > 0 THEN chr(10) || 'lines: ' || cyclomatic || '-' || (cyclomatic + 5) ELSE '' END || CASE WHEN stereotype IS NOT NULL THEN chr(10) || '---' || chr(10) || stereotype ELSE '' END) AS text FROM nodes WHERE kind = 'Method'"))
+def F20_embedding_text(spark, d):
+    nodes = code_nodes(spark, d).where("kind = 'Method'")
+    none, last = F.lit(None).cast("string"), F.when(F.col("cyclomatic") > 0, F.col("cyclomatic") + 5)
+    text = X.embedding_text(F.col("kind"), F.col("name"), none, F.col("file"), F.col("cyclomatic"), last, none, F.concat(F.lit(" \n"), "stereotype", F.lit("\n")))
+    return nodes.select("id", F.md5(text.cast("binary")).alias("text"))
+
+
+@query(code("SELECT kind || ' ' || name || ' ' || id || ' ' || file AS text, id FROM nodes WHERE kind IN ('Class', 'Interface', 'Route')"))
+def F2_document_text(spark, d):
+    none = F.lit(None).cast("string")
+    return code_nodes(spark, d).where("kind IN ('Class', 'Interface', 'Route')").select("id", X.document_text(F.col("kind"), F.col("name"), none, F.col("id"), F.col("file"), none).alias("text"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS html, regexp_replace(coalesce(source, '') || doc_id, '[^A-Za-z0-9_]', '_', 'g') AS node FROM documents")
+def F21_escapes(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.html_safe(F.col("text")).cast("binary")).alias("html"), X.diagram_id(F.concat(F.coalesce("source", F.lit("")), "doc_id")).alias("node"))
+
+
+@query("WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, [(l_partkey & 255), ((l_partkey >> 8) & 255), ((l_partkey >> 16) & 255), ((l_partkey >> 24) & 255)] AS bytes FROM lineitem), u AS (SELECT DISTINCT p, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(bytes, lambda x: x::HUGEINT)), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM b) SELECT p AS part, lower(lpad(hex(h::UBIGINT), 16, '0')) AS hash FROM u")
+def M7_band_hash(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("part")).distinct().select("part", V.band_hash(F.array("part")).alias("hash"))
+
+
+@query("SELECT event_id, len(s) AS n, coalesce(s[1], 0) AS first FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN []::INT[] ELSE [(event_id % 50)::INT, 7] END AS s FROM events)")
+def K2_call_sites(spark, d):
+    raw = F.when(F.col("event_id") % 4 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('[{"line":'), F.col("event_id") % 50, F.lit(',"args":["a"]},{"line":7}]')))
+    sites = X.call_sites(raw)
+    return table(spark, d, "events").select("event_id", F.size(sites).cast("long").alias("n"), F.coalesce(F.get(sites, F.lit(0))["line"], F.lit(0)).alias("first"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS path FROM events")
+def K3_annotations(spark, d):
+    other, own = (F.struct(F.lit(n).alias("name"), F.create_map(F.lit("path"), v).alias("attrs")) for n, v in (("Other", F.lit("x")), ("Get", F.col("event_type"))))
+    notes = F.when(F.col("event_id") % 3 == 0, F.array(other, own)).otherwise(F.array(other))
+    return table(spark, d, "events").select("event_id", X.annotation_attribute(notes, "Get", "path").alias("path"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN len(embedding) END AS size FROM embeddings")
+def K4_vector_json(spark, d):
+    vectors = table(spark, d, "embeddings")
+    n = F.size(F.col("embedding"))
+    raw = F.when(F.col("vec_id") % 2 == 0, X.vector_json(F.col("embedding"))).otherwise(X.vector_json(F.slice("embedding", 1, n - 1)))
+    size = len(vectors.first()["embedding"])
+    return vectors.select("vec_id", F.size(X.vector_from_json(raw, size)).cast("long").alias("s")).select("vec_id", F.when(F.col("s") >= 0, F.col("s")).alias("size"))
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY f), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def K5_stable_distinct(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return rows.select("conv_id", F.array_join(X.stable_distinct(F.transform("t", lambda x: x["role"])), ",").alias("roles"))
+
+
+@query("SELECT conv_id, contains(',' || array_to_string(list(role ORDER BY turn), ',') || ',', ',user,assistant,user,') AS held FROM conversations GROUP BY conv_id")
+def K6_is_part(spark, d):
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return rows.select("conv_id", X.is_part_of(F.array(*map(F.lit, ("user", "assistant", "user"))), F.transform("t", lambda x: x["role"])).alias("held"))
+
+
+@query("SELECT kind, pattern, category FROM (SELECT *, row_number() OVER (PARTITION BY kind, pattern ORDER BY o, category) AS k FROM (SELECT 0 AS o, 'sink' AS kind, p_brand AS pattern, 'a' AS category FROM part WHERE p_size < 3 UNION SELECT 1, 'sink', p_brand, 'b' FROM part UNION SELECT 1, 'source', p_type, 'b' FROM part)) WHERE k = 1")
+def O2_merged_rules(spark, d):
+    from ..operators.taint import merged_rules
+
+    part = table(spark, d, "part")
+    rule = lambda df, kind, c, cat: df.select(F.lit(kind).alias("kind"), F.col(c).alias("pattern"), F.lit(cat).alias("category")).distinct()
+    return merged_rules(rule(part.where("p_size < 3"), "sink", "p_brand", "a"), rule(part, "sink", "p_brand", "b").union(rule(part, "source", "p_type", "b")))
+
+
+@query("SELECT s_suppkey AS advice, id, k::INT AS rank FROM (SELECT l_suppkey AS s_suppkey, l_partkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE k <= 200")
+def W7_cap_per_advice(spark, d):
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("advice"), F.col("l_partkey").alias("id")).distinct()
+    return R.top_per(pairs, ["advice"], ["id"], 200)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 'added' ELSE 'modified' END AS change FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey WHERE c_name IS DISTINCT FROM s_name UNION ALL SELECT s_suppkey, 'removed' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)")
+def S38_changed_pages(spark, d):
+    from ..sources.stores import changed_pages
+
+    page = lambda t, k, n: table(spark, d, t).select(F.col(k).alias("path"), F.col(n).alias("text"))
+    return changed_pages(page("customer", "c_custkey", "c_name"), page("supplier", "s_suppkey", "s_name")).select(F.col("path").alias("id"), "change")
+
+
+@query("SELECT doc_id AS node FROM documents d WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id = d.doc_id AND length(p.html) % 10 = length(d.text) % 10)")
+def S22_chunks_to_embed(spark, d):
+    from ..sources.stores import chunks_to_embed
+
+    side = lambda t, k, x: table(spark, d, t).select(F.col(k).alias("node"), F.lit(0).alias("chunk"), (F.length(x) % 10).alias("hash"))
+    return chunks_to_embed(side("documents", "doc_id", "text"), side("pages", "page_id", "html")).select("node")
+
+
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1 + doc_id % 3, 3 + doc_id % 3), chr(10)) AS body FROM documents WHERE text IS NOT NULL AND len(string_split(text, chr(10))) >= 1 + doc_id % 3")
+def S34_source_bodies(spark, d):
+    from ..sources.stores import source_bodies
+
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    first = (1 + F.col("doc_id") % 3).cast("int")
+    nodes = docs.select(F.col("doc_id").alias("id"), F.lit("Method").alias("kind"), F.col("doc_id").alias("file"), first.alias("start_line"), (first + 2).alias("end_line"))
+    return source_bodies(nodes, lines).select(F.col("id").alias("doc_id"), "body")
+
+
+@query("SELECT host AS module, count(*) AS files, sum(page_id % 90)::BIGINT AS lines FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages) GROUP BY host")
+def S8_module_sizes(spark, d):
+    from ..sources.stores import module_sizes
+
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    files = table(spark, d, "pages").select(F.concat(host, F.lit("/a/f"), "page_id").alias("file"), F.lit("html").alias("language"), (F.col("page_id") % 90).alias("lines"))
+    return module_sizes(files, table(spark, d, "pages").select(host.alias("module")).distinct()).select("module", "files", "lines")
+
+
+@query("SELECT consumer_id FROM (SELECT DISTINCT o_custkey AS consumer_id FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)) ORDER BY consumer_id LIMIT 50")
+def S25_route_consumers(spark, d):
+    from ..sources.stores import route_consumers
+
+    matches = table(spark, d, "orders").select(F.col("o_orderpriority").alias("match_key"), F.lit("r").alias("consumer_repo"), F.col("o_custkey").alias("consumer_id"))
+    return route_consumers(matches, matches.agg(F.min("match_key")).first()[0], 50)[0].select("consumer_id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_type = 'ECONOMY' AND p_partkey > 100 ORDER BY id LIMIT 31")
+def S28_record_page(spark, d):
+    from ..sources.stores import record_page
+
+    return record_page(table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("id")), "ECONOMY", ("id",), (100,), 30).select("id")
