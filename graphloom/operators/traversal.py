@@ -319,3 +319,17 @@ def call_depths(nodes: DataFrame, edges: DataFrame, starts: tuple[str, ...] = ("
     first = nodes.where(F.col("kind").isin(list(starts))).select("id").union(nodes.select("id").join(own.select(F.col("dst").alias("id")), "id", "left_anti"))
     found = reach(nodes, own, first, "down", depth).rows.select("id", "depth")
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def page_chain(edges: DataFrame, start: str, depth: int = 6) -> DataFrame:
+    """The chain of calls that a page shows: from the start each time to the first target by id that isn't in it yet; one row (path)."""
+    first = written(edges.groupBy("src").agg(F.sort_array(F.collect_set("dst")).alias("next")), "steps")
+    path = edges.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
+    for _ in range(depth):
+        step = path.join(first, F.col("at") == F.col("src"), "left")
+        to = F.get(F.array_except("next", "path"), F.lit(0))
+        grown = written(step.select(F.coalesce(to, F.lit("")).alias("at"), F.when(to.isNotNull(), F.concat("path", F.array(to))).otherwise(F.col("path")).alias("path")), "chain")
+        if not grown.where("at <> ''").count():
+            return grown.select("path")
+        path = grown
+    return path.select("path")

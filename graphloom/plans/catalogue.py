@@ -939,7 +939,7 @@ def A6_file_projection(spark, d):
             UNION ALL SELECT community, 'table', regexp_replace(a.dst, '^DbTable:', '') FROM m JOIN edges e ON e.src = m.id AND e.kind = 'EXECUTES_QUERY' JOIN edges a ON a.src = e.dst AND a.kind IN ('READS_TABLE', 'WRITES_TABLE')
             UNION ALL SELECT community, 'topic', regexp_replace(e.dst, '^KafkaTopic:', '') FROM m JOIN edges e ON e.src = m.id AND e.kind IN ('PUBLISHES_EVENT', 'LISTENS_TO')
             UNION ALL SELECT community, 'stereotype', stereotype FROM m JOIN nodes USING (id) WHERE stereotype IS NOT NULL),
-        top AS (SELECT community, part, v FROM (SELECT community, part, v, row_number() OVER (PARTITION BY community, part ORDER BY count(*) DESC, v) AS k FROM best GROUP BY ALL) WHERE k = 1)
+        top AS (SELECT community, part, v FROM (SELECT community, part, v, row_number() OVER (PARTITION BY community, part ORDER BY count(*) DESC, v) AS k FROM best GROUP BY community, part, v) WHERE k = 1),
         p AS (SELECT community, max(v) FILTER (part = 'route') AS route_prefix, max(v) FILTER (part = 'controller') AS controller, max(v) FILTER (part = 'table') AS db_table, max(v) FILTER (part = 'topic') AS topic, max(v) FILTER (part = 'stereotype') AS stereotype FROM top GROUP BY community),
         n AS (SELECT community, count(*) AS members FROM m GROUP BY community) SELECT n.community, members, route_prefix, controller, db_table, topic, stereotype, coalesce(route_prefix, controller, db_table, topic, stereotype, n.community) AS label FROM n LEFT JOIN p ON p.community = n.community"""
     )
@@ -1221,3 +1221,37 @@ def S28_record_page(spark, d):
     from ..sources.stores import record_page
 
     return record_page(table(spark, d, "part").select(F.col("p_type").alias("kind"), F.col("p_partkey").alias("id")), "ECONOMY", ("id",), (100,), 30).select("id")
+
+
+@query("SELECT o_orderkey AS ref, CASE WHEN s_suppkey IS NULL THEN 'R' || n_regionkey ELSE 'S' || s_suppkey END AS type FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey AND o_orderstatus = 'F' WHERE o_orderstatus <> 'F' OR s_suppkey IS NOT NULL")
+def J26_expression_types(spark, d):
+    """customer.nation.supplier of finished orders, customer.nation.region of the others."""
+    last = F.when(F.col("o_orderstatus") == "F", "supplier()").otherwise("region")
+    sites = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref"), F.lit("Order").alias("owner"), F.array(F.concat(F.lit("c"), "o_custkey"), F.lit("nation"), last).alias("parts"))
+    customer, nation, supplier = (table(spark, d, t) for t in ("customer", "nation", "supplier"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c))
+    bindings = customer.select(F.lit("Order").alias("owner"), key("c", "c_custkey").alias("name"), key("C", "c_custkey").alias("type"))
+    first = supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s"))
+    members = customer.select(key("C", "c_custkey").alias("owner"), F.lit("nation").alias("name"), key("N", "c_nationkey").alias("type"))
+    members = members.union(nation.select(key("N", "n_nationkey"), F.lit("region"), key("R", "n_regionkey"))).union(first.select(key("N", "s_nationkey"), F.lit("supplier"), key("S", "s")))
+    return V2.expression_types(sites, bindings, members)
+
+
+@query("WITH w AS (SELECT s_nationkey AS m, 'f' || s_suppkey % 30 AS n FROM supplier GROUP BY ALL), u AS (SELECT n, min(m) AS m FROM w GROUP BY n HAVING count(*) = 1), s AS (SELECT c_custkey AS site, c_nationkey AS m, 'f' || c_custkey % 33 AS callee FROM customer), i AS (SELECT n_nationkey AS f, n_regionkey AS m FROM nation) SELECT site, coalesce(a.m, b.m, u.m) AS module FROM s LEFT JOIN w a ON a.m = s.m AND a.n = callee LEFT JOIN (SELECT f, n, min(w.m) AS m FROM i JOIN w ON w.m = i.m GROUP BY ALL) b ON b.f = s.m AND b.n = callee LEFT JOIN u ON u.n = callee WHERE coalesce(a.m, b.m, u.m) IS NOT NULL")
+def J28_http_wrappers(spark, d):
+    sites = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.concat(F.lit("f"), F.col("c_custkey") % 33).alias("callee"), F.col("c_nationkey").alias("module"), F.col("c_nationkey").alias("file"))
+    wrappers = table(spark, d, "supplier").select(F.col("s_nationkey").alias("module"), F.concat(F.lit("f"), F.col("s_suppkey") % 30).alias("name"), F.lit("GET").alias("fixed_method")).distinct()
+    imports = table(spark, d, "nation").select(F.col("n_nationkey").alias("file"), F.col("n_regionkey").alias("raw"), F.lit(None).cast("string").alias("alias"))
+    return V2.http_wrappers(sites, wrappers, imports).select("site", F.col("module").cast("int").alias("module"))
+
+
+@query(code("SELECT id, name, file FROM nodes WHERE kind = 'Route' AND (id LIKE 'Route:GET /api/r1%') ORDER BY id LIMIT 50"))
+def T7_route_map(spark, d):
+    from ..engine import Engine
+
+    return Engine(code_nodes(spark, d), code_edges(spark, d)).route_map("/api/r1", 50).select("id", "name", "file").where("id LIKE 'Route:GET%'")
+
+
+@query(code(", w AS (SELECT 'Class:S2' AS id, 0 AS depth, ['Class:S2'] AS path UNION ALL SELECT e.dst, w.depth + 1, list_append(path, e.dst) FROM w JOIN edges e ON e.src = w.id AND e.kind IN ('EXTENDS', 'IMPLEMENTS') WHERE w.depth < 5) SELECT array_to_string(path, '->') AS chain FROM w ORDER BY len(path) DESC LIMIT 1"))
+def G22_page_chain(spark, d):
+    return G.page_chain(code_edges(spark, d).where("kind IN ('EXTENDS', 'IMPLEMENTS')"), "Class:S2", 5).select(F.array_join("path", "->").alias("chain"))

@@ -5,10 +5,11 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from graphs import plain
+from graphs import BAR, CALLEE, CALLER, HANDLER, contract, plain
 from pyspark.sql import functions as F
 
 from graphloom import registry
+from graphloom.engine import Engine
 from graphloom.functions import text as X
 from graphloom.functions import vectors as V
 from graphloom.operators import clustering, contracts, projections, resolution, search, similarity, taint, traversal
@@ -358,3 +359,32 @@ def test_feature_profile_has_25_numbers(spark):
     members = spark.createDataFrame(pd.DataFrame([["T", "Method", 3, 1, 2, *[1] * 7], ["T", "Field", 0, 0, 0, *[0] * 7]], columns=["owner", "kind", "cyclomatic", "cognitive", "loop_depth", *projections.FLOW_COUNTS]))
     row = projections.structural_profiles(types, members).first().profile
     assert len(row) == 25 and row[:9] == [1, 1, 0, 3, 3, 1, 1, 2, 2] and row[24] == 1.0
+
+
+def test_requests(spark):
+    nodes, edges = contract(spark)
+    engine = Engine(nodes, edges)
+    hits, around = engine.query_expanded("foo caller", 5)
+    assert hits.first().id == CALLER and {r.id for r in around.nodes.collect()} >= {CALLER, CALLEE, HANDLER} and not around.truncated
+    assert engine.query_expanded("foo caller", 5, byte_budget=200)[1].truncated
+    assert engine.route_map("/api").first().handlers == [HANDLER]
+    features = spark.createDataFrame([(CALLER, "audit")], "id string, feature string")
+    assert {r.id: r.feature for r in engine.feature_map(features, "caller callee").collect()}[CALLER] == "audit"
+    page = engine.test_coverage("Bar")
+    assert page.rows.count() == 2 and not page.has_more
+    assert engine.reaches("getThings", "audit_log", access="write")[0] == "reachable" and engine.reaches("getThings", "audit_log", access="read")[0] == "not reachable"
+    assert engine.reaches("getThings", "audit_log", node_budget=1)[0] == "inconclusive"
+    rules = spark.createDataFrame([("source", "getThings", "http"), ("sink", "#callee", "sql")], "kind string, pattern string, category string")
+    assert [r.path for r in engine.taint_paths(rules).rows.collect()] == [[HANDLER, CALLER, CALLEE]]
+    found, dropped = engine.overview()
+    assert not dropped and found["entry_points"][0]["id"] == HANDLER and {r["kind"] for r in found["stats"]} >= {"Method", "Route"}
+    small_, dropped = engine.overview(byte_budget=400)
+    assert dropped[0] == "hotspots" and "stats" in small_
+    pages = spark.createDataFrame([("p1", "orders and payments", "dev"), ("p2", "orders", "po")], "id string, text string, role string")
+    assert [r.id for r in engine.search_pages(pages, "orders", {"role": "po"}).collect()] == ["p2"]
+    assert {r.id for r in engine.detect_changes(spark.createDataFrame([(BAR,)], "file string")).collect()} >= {CALLEE, CALLER, HANDLER}
+    with_repo = Engine(nodes, edges.withColumn("repo", F.lit("shop")).unionByName(spark.createDataFrame([("m", "ExternalEndpoint:GET /x", "EXTERNAL_CALL", 1.0, "r", "web"), ("up", "m", "CALLS", 1.0, "r", "web")], [*edges.columns, "repo"])))
+    matches = spark.createDataFrame([("GET /x", "shop", "Route:GET /x", "web", "ExternalEndpoint:GET /x", "http")], "match_key string, provider_repo string, provider_id string, consumer_repo string, consumer_id string, kind string")
+    own, callers = with_repo.api_impact(matches, "GET /x", 2)
+    assert own.count() == 1 and {(r.id, r.depth) for r in callers.collect()} == {("m", 0), ("up", 1)}
+    assert with_repo.api_impact(matches, "GET /y")[1].isEmpty() and engine.group_contracts(matches, "event").rows.isEmpty()
