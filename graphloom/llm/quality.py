@@ -109,7 +109,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             keys = part.column(0).to_numpy(zero_copy_only=False)
             yield table(schema, (keys % 5 == 0).astype(np.int32), part.column(2), statistics(texts).tolist())
 
-    measured = written(sample.mapInArrow(measure, "part int, y int, stats array<double>"), "statistics")
+    # The sample is bounded, and so are its few files.
+    measured = written(sample.mapInArrow(measure, "part int, y int, stats array<double>").repartition(8), "statistics")
     of = [F.get("stats", F.lit(k)) for k in range(width_of)]
     moments = measured.agg(*(F.avg(c) for c in of), *(F.stddev_pop(c) for c in of)).first()
     if moments[0] is None:
@@ -132,8 +133,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
                 right += z.T @ (w * y)
         yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()])], names=["l", "r"])
 
-    # The sample is bounded, so a few partitions hold it and a few matrices reach the driver.
-    fit = measured.where("part = 0").repartition(8).mapInArrow(equations, "l binary, r binary").toArrow()
+    # A few files hold the sample, so a few matrices reach the driver.
+    fit = measured.where("part = 0").mapInArrow(equations, "l binary, r binary").toArrow()
     left = sum(np.frombuffer(x, dtype=float) for x in fit["l"].to_pylist()).reshape(waves + 1, waves + 1)
     right = sum(np.frombuffer(x, dtype=float) for x in fit["r"].to_pylist())
     weights = np.linalg.solve(left + ridge * np.eye(waves + 1) * max(1.0, left[-1, -1] / 1000), right)

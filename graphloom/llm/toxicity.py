@@ -156,7 +156,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             counts = [Counter(s) for _, s in found]
             yield table(schema, part.column(part.schema.get_field_index("y")), [len(w) for w in words], [list(c) for c in counts], [list(c.values()) for c in counts], [[s for *_, s in seg] for seg, _ in found])
 
-    measured = written(sample.mapInArrow(segments, "y int, n long, values array<double>, times array<long>, segments array<double>"), "segments")
+    # The sample is bounded, and so are its few files.
+    measured = written(sample.mapInArrow(segments, "y int, n long, values array<double>, times array<long>, segments array<double>").repartition(8), "segments")
     clean_rows = measured.where("y = 0")
     words_in, reached = (x or 0 for x in clean_rows.agg(F.sum("n"), F.sum(F.size("segments"))).first())
     # A word's score is one of the lexicon's: no more rows than that.
