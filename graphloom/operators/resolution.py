@@ -269,9 +269,13 @@ def consumer_callers(edges: DataFrame, endpoint: str, depth: int = 4) -> DataFra
     return small(written(found, "callers")).join(routes, "id", "left").select("id", "depth", "route")
 
 
+def contracts_of(contracts: DataFrame, match_key: str) -> DataFrame:
+    return contracts.where(F.col("match_key") == match_key)
+
+
 def api_impact(contracts: DataFrame, edges: DataFrame, match_key: str, depth: int = 0) -> tuple[DataFrame, DataFrame]:
     """Contracts of a match key, and the callers of their consumer endpoints: (contracts, callers with consumer_repo and endpoint). edges have a column repo."""
-    own = written(contracts.where(F.col("match_key") == match_key), "contracts")
+    own = written(contracts_of(contracts, match_key), "contracts")
     out = None
     for r in own.select("consumer_repo", "consumer_id").distinct().orderBy("consumer_repo", "consumer_id").collect():  # the consumers of one contract
         one = consumer_callers(edges.where(F.col("repo") == r.consumer_repo), r.consumer_id, depth).select(F.lit(r.consumer_repo).alias("consumer_repo"), F.lit(r.consumer_id).alias("endpoint"), "id", "depth", "route")

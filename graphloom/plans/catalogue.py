@@ -1255,3 +1255,44 @@ def T7_route_map(spark, d):
 @query(code(", w AS (SELECT 'Class:S2' AS id, 0 AS depth, ['Class:S2'] AS path UNION ALL SELECT e.dst, w.depth + 1, list_append(path, e.dst) FROM w JOIN edges e ON e.src = w.id AND e.kind IN ('EXTENDS', 'IMPLEMENTS') WHERE w.depth < 5) SELECT array_to_string(path, '->') AS chain FROM w ORDER BY len(path) DESC LIMIT 1"))
 def G22_page_chain(spark, d):
     return G.page_chain(code_edges(spark, d).where("kind IN ('EXTENDS', 'IMPLEMENTS')"), "Class:S2", 5).select(F.array_join("path", "->").alias("chain"))
+
+
+@query(code(", m AS (SELECT e.dst AS community, regexp_extract(n.file, '^([^/]*)/', 1) AS folder FROM edges e JOIN nodes n ON n.id = e.src WHERE e.kind = 'MEMBER_OF') SELECT community, folder AS label FROM (SELECT community, folder, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, folder) AS k FROM m GROUP BY community, folder) WHERE k = 1"))
+def F14_heuristic_labels(spark, d):
+    from ..operators.clustering import heuristic_labels
+
+    member = code_edges(spark, d).where("kind = 'MEMBER_OF'").select(F.col("src").alias("id"), F.col("dst").alias("community"))
+    return heuristic_labels(member, code_nodes(spark, d))
+
+
+@query(code(", m AS (SELECT dst AS community, count(*) AS members FROM edges WHERE kind = 'MEMBER_OF' GROUP BY dst) SELECT 'communities/' || lower(replace(community, ':', '-')) || '.md' AS path, members FROM m"))
+def D4_community_pages(spark, d):
+    from ..functions.render import community_pages
+
+    nodes, edges = code_nodes(spark, d), code_edges(spark, d)
+    pages = community_pages(R.community_profiles(nodes, edges), R.community_stats(edges))
+    return pages.select("path", F.regexp_extract("text", r"\* members: (\d+)", 1).cast("long").alias("members"))
+
+
+@query(code(", n AS (SELECT s_nationkey % 5 AS a, s_nationkey % 7 AS b FROM supplier) SELECT round((SELECT sum(CASE WHEN a = b THEN 1.0 ELSE 0 END) FROM n) - 0.05 * (SELECT sum(c * (c - 1) / 2) FROM (SELECT count(*) AS c FROM (SELECT DISTINCT s_suppkey, s_nationkey % 5 AS g FROM supplier) GROUP BY g)), 6)::DOUBLE AS quality"))
+def M11_constant_potts(spark, d):
+    """Suppliers tied to a hub of their nation modulo 7, in communities by nation modulo 5."""
+    from ..operators.clustering import constant_potts
+
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
+    edges = s.select(F.concat(F.lit("s"), "s_suppkey").alias("a"), F.concat(F.lit("hub"), F.col("n") % 7).alias("b"), F.lit(1.0).alias("weight"))
+    own = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), (F.col("n") % 5).cast("string").alias("community"))
+    hubs = spark.range(7).select(F.concat(F.lit("hub"), "id").alias("id"), F.col("id").cast("string").alias("community"))
+    n = hubs.groupBy("community").count()
+    member = own.unionByName(hubs)
+    # The hubs' own pairs are taken out again.
+    sizes = own.groupBy("community").agg(F.count(F.lit(1)).alias("c")).join(n, "community", "right").select(F.sum(F.coalesce("c", F.lit(0)) * F.col("count") + F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    return spark.createDataFrame([(round(constant_potts(edges, member) + 0.05 * float(sizes), 6),)], "quality double")
+
+
+@query("WITH m AS (SELECT o_orderkey % 10 AS repo, o_custkey AS id, o_orderpriority AS match_key FROM orders) SELECT DISTINCT match_key, 'r' || repo AS consumer_repo, id::VARCHAR AS consumer_id FROM m WHERE match_key = (SELECT min(o_orderpriority) FROM orders)")
+def J17_api_impact(spark, d):
+    orders = table(spark, d, "orders")
+    found = orders.select(F.col("o_orderpriority").alias("match_key"), F.concat(F.lit("r"), F.col("o_orderkey") % 10).alias("consumer_repo"), F.col("o_custkey").cast("string").alias("consumer_id")).distinct()
+    key = orders.agg(F.min("o_orderpriority")).first()[0]
+    return V2.contracts_of(found, key)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import registry
 from graphloom.engine import Engine
+from graphloom.functions import render
 from graphloom.functions import text as X
 from graphloom.functions import vectors as V
 from graphloom.operators import clustering, contracts, projections, resolution, search, similarity, taint, traversal
@@ -388,3 +389,19 @@ def test_requests(spark):
     own, callers = with_repo.api_impact(matches, "GET /x", 2)
     assert own.count() == 1 and {(r.id, r.depth) for r in callers.collect()} == {("m", 0), ("up", 1)}
     assert with_repo.api_impact(matches, "GET /y")[1].isEmpty() and engine.group_contracts(matches, "event").rows.isEmpty()
+
+
+def test_labels_layout_and_pages(spark):
+    member = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y"), ("4", "y"), ("5", "z"), ("6", "z")], "id string, community string")
+    nodes = spark.createDataFrame([("1", "src/orders/A.java"), ("2", "src/orders/B.java"), ("3", "PayOne.java"), ("4", "PayTwo.java"), ("5", "A.java"), ("6", "B.java")], "id string, file string")
+    assert {r.community: r.label for r in clustering.heuristic_labels(member, nodes).collect()} == {"x": "orders", "y": "Pay", "z": "Cluster_2"}
+    nodes, edges = plain(spark, [(f"n{k}", f"n{k + 1}") for k in range(9)])
+    places = render.layout(nodes, edges)
+    at = {x: np.array(p) for x, *p in places}
+    assert len(at) == 10 and places == render.layout(nodes.orderBy(F.desc("id")), edges) and render.layout(nodes.limit(0), edges) == []
+    near, far = np.linalg.norm(at["n0"] - at["n1"]), np.linalg.norm(at["n0"] - at["n9"])
+    assert 0 < near < far
+    similar = spark.createDataFrame([("a", "b", 0.9), ("b", "a", 0.8), ("c", "d", 0.9)], "a string, b string, similarity double")
+    assert {r.id: r.community for r in clustering.similarity_communities(similar).collect()} == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    diagram = render.class_diagram(spark.createDataFrame([("A", "B", 3)], "src string, dst string, n long"))
+    assert diagram.splitlines() == ["classDiagram", '  class c0["A"]', '  class c1["B"]', "  c0 --> c1 : 3"]
