@@ -658,12 +658,23 @@ def N1_taint_paths(spark, d):
     return found.select("source", "sink", (F.size("path") - 1).alias("hops"), "confidence")
 
 
-@query("SELECT doc_id, len(text) AS characters, ceil(greatest(octet_length(encode(text)) - 500, 1) / 3500)::BIGINT AS chunks FROM documents WHERE octet_length(encode(text)) = length(text)")
+def _chunked(size: int = 4000, overlap: int = 500) -> str:
+    """Chunks of texts by bytes: an end moves back, and a start forth, to the border of a character."""
+    inside = lambda at: f"substr(h, 2 * ({at}) + 1, 1) IN ('8', '9', 'A', 'B')"
+    near = lambda at, step: f"CASE WHEN NOT {inside(at)} THEN {at} WHEN NOT {inside(f'{at} + {step}')} THEN {at} + {step} WHEN NOT {inside(f'{at} + 2 * {step}')} THEN {at} + 2 * {step} ELSE {at} + 3 * {step} END"
+    stop = lambda at: f"CASE WHEN {at} + {size} >= n THEN n ELSE {near(f'({at} + {size})', '(-1)')} END"
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
+    c AS (SELECT doc_id, 0::BIGINT AS a, ({stop('0')})::BIGINT AS z FROM t UNION ALL SELECT doc_id, a, ({stop('a')})::BIGINT FROM (SELECT doc_id, h, n, ({near('(z - ' + str(overlap) + ')', '1')})::BIGINT AS a FROM c JOIN t USING (doc_id) WHERE z < n))
+    SELECT d.doc_id, len(text) AS characters, count(a) AS chunks, sum(z - a)::BIGINT AS bytes FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id, text"""
+
+
+@query(_chunked())
 def F19_chunk_text(spark, d):
     from ..functions.scanners import chunks_of
 
-    docs = table(spark, d, "documents").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", F.length("text").alias("characters"), F.size(chunks_of(F.col("text"))).cast("long").alias("chunks"))
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("characters"), chunks_of(F.col("text")).alias("c"))
+    size = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x["text"]))
+    return docs.select("doc_id", "characters", F.size("c").cast("long").alias("chunks"), F.when(F.size("c") > 0, size).alias("bytes"))
 
 
 @query("SELECT v.id, t AS \"table\", m AS mode FROM (VALUES (1, 'ORDERS', 'Read'), (1, 'CUSTOMER', 'Read'), (2, 'AUDIT', 'Write'), (2, 'SRC', 'Read'), (3, 'PART', 'Write'), (4, 'T', 'Write'), (4, 'S', 'Read')) v(id, t, m)")
@@ -1052,12 +1063,11 @@ def J33_stitched_routes(spark, d):
     return V2.stitched_routes(routes, servers).select("old_id", "path")
 
 
-@query("SELECT 'rich' AS src, s_suppkey::VARCHAR AS dst, 0.8::DOUBLE AS confidence, 'aop-around' AS reason FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey::VARCHAR) AS k FROM supplier WHERE s_nationkey < 10) WHERE k <= 15")
+@query("SELECT 'rich' AS src, s_suppkey::VARCHAR AS dst, 0.8::DOUBLE AS confidence, 'aop-around' AS reason FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey::VARCHAR) AS k FROM supplier) WHERE k <= 15")
 def J31_advice(spark, d):
     methods = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.concat(F.lit("com.n"), "s_nationkey", F.lit(".Svc")).alias("owner"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("annotations"))
-    # One digit after com.n, then a class.
-    advice = spark.createDataFrame([("rich", "around", "com.n?.Svc".replace("?", "*"), "*", None, True)], "id string, kind string, owner_pattern string, name_pattern string, annotation string, approximate boolean")
-    return V2.advice_edges(methods.where(F.length("owner") == F.length(F.lit("com.n1.Svc"))), advice, 15)
+    advice = spark.createDataFrame([("rich", "around", "com.n*.Svc", "*", None, True)], "id string, kind string, owner_pattern string, name_pattern string, annotation string, approximate boolean")
+    return V2.advice_edges(methods, advice, 15)
 
 
 @query("SELECT 'c' || c_custkey AS src, 's' || s_suppkey AS dst, 'CALLS' AS kind, 0.9::DOUBLE AS confidence FROM customer JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1) ON s_nationkey = c_nationkey")
@@ -1157,13 +1167,13 @@ def K6_is_part(spark, d):
     return rows.select("conv_id", X.is_part_of(F.array(*map(F.lit, ("user", "assistant", "user"))), F.transform("t", lambda x: x["role"])).alias("held"))
 
 
-@query("SELECT kind, pattern, category FROM (SELECT *, row_number() OVER (PARTITION BY kind, pattern ORDER BY o, category) AS k FROM (SELECT 0 AS o, 'sink' AS kind, p_brand AS pattern, 'a' AS category FROM part WHERE p_size < 3 UNION SELECT 1, 'sink', p_brand, 'b' FROM part UNION SELECT 1, 'source', p_type, 'b' FROM part)) WHERE k = 1")
+@query("SELECT kind, pattern, category FROM (SELECT *, row_number() OVER (PARTITION BY kind, pattern ORDER BY o, category) AS k FROM (SELECT 0 AS o, 'sink' AS kind, r_name AS pattern, 'a' AS category FROM region UNION SELECT 1, 'sink', r_name, 'b' FROM region UNION SELECT 1, 'sink', p_brand, 'b' FROM part UNION SELECT 1, 'source', p_type, 'b' FROM part)) WHERE k = 1")
 def O2_merged_rules(spark, d):
     from ..operators.taint import merged_rules
 
-    part = table(spark, d, "part")
+    part, region = table(spark, d, "part"), table(spark, d, "region")
     rule = lambda df, kind, c, cat: df.select(F.lit(kind).alias("kind"), F.col(c).alias("pattern"), F.lit(cat).alias("category")).distinct()
-    return merged_rules(rule(part.where("p_size < 3"), "sink", "p_brand", "a"), rule(part, "sink", "p_brand", "b").union(rule(part, "source", "p_type", "b")))
+    return merged_rules(rule(region, "sink", "r_name", "a"), rule(region, "sink", "r_name", "b").union(rule(part, "sink", "p_brand", "b")).union(rule(part, "source", "p_type", "b")))
 
 
 @query("SELECT s_suppkey AS advice, id, k::INT AS rank FROM (SELECT l_suppkey AS s_suppkey, l_partkey AS id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS k FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) WHERE k <= 200")
