@@ -11,7 +11,7 @@ from ..functions.vectors import cosine
 from .aggregates import mean_vectors
 from .clustering import communities
 from .contracts import hybrid_features
-from .similarity import nearest_neighbors
+from .similarity import nearest_center, nearest_neighbors
 
 CATCH_ALL = "shared"
 # Folders that say nothing of a feature, and names of shared code.
@@ -39,14 +39,11 @@ def by_structure(nodes: DataFrame, edges: DataFrame, prior: DataFrame, span: int
 
 
 def by_centroid(vectors: DataFrame, prior: DataFrame, least: float = 0.65) -> DataFrame:
-    """Nodes still in the catch-all go to the feature whose mean vector is nearest, if it is near enough. There are few features, so their means are broadcast below a counted bound."""
+    """Nodes still in the catch-all go to the feature whose mean vector is nearest, if it is near enough."""
     named = vectors.join(prior.where(F.col("feature") != CATCH_ALL).select("id", "feature"), "id")
     means = mean_vectors(named, "feature").select("feature", "mean")
     rest = vectors.join(prior.where(F.col("feature") == CATCH_ALL).select("id"), "id", "left_semi")
-    side = F.broadcast(means) if means.count() <= 10_000 else means
-    scored = rest.crossJoin(side).select("id", "feature", F.round(cosine(F.col("embedding"), F.col("mean")), 6).alias("confidence"))
-    best = scored.groupBy("id").agg(F.max(F.struct("confidence", "feature")).alias("m"))
-    return best.where(F.col("m.confidence") >= least).select("id", "m.feature", "m.confidence")
+    return nearest_center(rest, means).where(F.col("confidence") >= least)
 
 
 def by_vector_clusters(vectors: DataFrame, k: int = 15, least: float = 0.65, resolution: float = 0.8) -> DataFrame:

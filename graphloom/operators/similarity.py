@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import signature_match
 
-HASHES, BANDS, ROWS = 64, 32, 2
+HASHES, BANDS = 64, 32
 _SEEDS = np.random.default_rng(0x5EED).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -27,6 +27,11 @@ def minhash(words: Column, size: int = 3) -> Column:
     return run(words)
 
 
+def body_signature(classes: list[str], least: int = 30) -> list[int] | None:
+    """64 MinHash values over the runs of three classes of a body's tokens; a body of under ``least`` tokens says too little."""
+    return _signature(_shingles(classes, 3)) if len(classes) >= least else None
+
+
 def _shingles(words: list[str], size: int) -> np.ndarray:
     runs = set(zip(*(words[k:] for k in range(size)), strict=False))
     return np.array([xxhash.xxh64_intdigest("\0".join(r)) for r in runs], dtype=np.uint64)
@@ -44,14 +49,18 @@ def similar_pairs(signed: DataFrame, least: float = 0.95) -> tuple[DataFrame, Da
     """Pairs of different signatures (a, b, similarity), and membership (id, class).
 
     signed: id, signature. Rows of one signature form a class named by its smallest id,
-    so a group of copies costs one row in the join, however large it is. Pairs link
-    classes that agree in a band of two values and in enough of all 64.
+    so a group of copies costs one row in the join, however large it is. Signatures that
+    agree in ``least`` of 64 values differ in d at most, so of d + 1 blocks of values one is
+    equal: blocks as long as that make short lists and lose no pair. Beyond 32 blocks pairs
+    must agree in one of 32 bands of two values.
     """
     usable = signed.where(F.col("signature").isNotNull())
     classes = usable.groupBy("signature").agg(F.min("id").alias("class"))
     members = usable.join(classes, "signature").select("id", "class")
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.slice("signature", b * ROWS + 1, ROWS)))).alias("band", "bucket")
-    banded = classes.select("class", band)
+    blocks = min(int(HASHES * (1 - least) + 1e-9) + 1, BANDS)
+    ends = [b * HASHES // blocks for b in range(blocks + 1)]
+    keys = F.array(*(F.xxhash64(F.slice("signature", a + 1, b - a)) for a, b in zip(ends, ends[1:], strict=False)))
+    banded = classes.select("class", F.posexplode(keys).alias("band", "bucket"))
     a, b = (banded.select("band", "bucket", F.col("class").alias(side)) for side in ("a", "b"))
     candidates = a.join(b, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
     left, right = (classes.select(F.col("class").alias(side), F.col("signature").alias(f"{side}_signature")) for side in ("a", "b"))
@@ -113,6 +122,41 @@ def nearest_neighbors(vectors: DataFrame, queries: DataFrame, k: int = 10, least
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest_center(vectors: DataFrame, centers: DataFrame, key: str = "id", name: str = "feature", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """Of each vector the center with the greatest cosine, of equals the greatest name: id, feature, confidence.
+
+    Vectors are read in place. Centers go to them a block at a time as one matrix, so no
+    pair of a vector and a center is ever a row.
+    """
+    from ..sources.scratch import written
+
+    numbered = written(centers.select(F.col(name).alias("name"), F.col("mean").alias("v")), "centers")
+    parts = max(1, -(-numbered.count() // block))
+    schema, out = f"{key} {dict(vectors.dtypes)[key]}, {name} {dict(centers.dtypes)[name]}, confidence double", None
+    for p in range(parts):
+        rows = sorted(numbered.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == p).collect(), key=lambda r: r["name"], reverse=True)
+        if not rows:
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast(([r["name"] for r in rows], _unit(np.array([r.v for r in rows], dtype=np.float64))))
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, matrix = shared.value
+            for frame in frames:
+                frame = frame[frame["v"].map(lambda v: v is not None and len(v) == matrix.shape[1])]
+                for start in range(0, len(frame), 4096):
+                    some = frame.iloc[start : start + 4096]
+                    sims = np.round(_unit(np.stack(some["v"].to_numpy()).astype(np.float64)) @ matrix.T, 6)
+                    best = sims.argmax(axis=1)  # the first of equals, which has the greatest name
+                    yield pd.DataFrame({key: some["id"].to_numpy(), name: [names[i] for i in best], "confidence": sims[np.arange(len(some)), best]})
+
+        found = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], schema)
+    best = out.groupBy(key).agg(F.max(F.struct("confidence", name)).alias("m"))
+    return best.select(key, F.col(f"m.{name}").alias(name), "m.confidence")
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(size == 0, np.inf, size)

@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scanners import tables_of
+from ..functions.text import sql_operation
 from ..operators.lookup import in_scope
+from .frontends import heritage_of, parse_braced, python_classes, python_cognitive, python_constants, python_signature, python_site
+from .lexing import TYPE_WORDS
 
 # Folders that are never sources, and file suffixes by language.
 IGNORED = (".git", "node_modules", "target", "build", "dist", "__pycache__", ".venv", ".idea")
@@ -56,25 +60,33 @@ def folders(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-UNIT = "file string, language string, error string, defs array<struct<id:string,kind:string,name:string,first:int,last:int,cyclomatic:int,loop_depth:int>>, imports array<struct<raw:string,is_wildcard:boolean>>, refs array<struct<name:string,owner:string,line:int>>, routes array<struct<method:string,path:string,handler:string>>"
+UNIT = (
+    "file string, language string, error string, "
+    "defs array<struct<id:string,kind:string,name:string,first:int,last:int,cyclomatic:int,cognitive:int,loop_depth:int,leaf_tokens:int,minhash:array<long>>>, "
+    "imports array<struct<raw:string,is_wildcard:boolean>>, refs array<struct<name:string,owner:string,line:int>>, "
+    "routes array<struct<method:string,path:string,handler:string,framework:string>>, "
+    "sites array<struct<src:string,kind:string,framework:string,method:string,literal:string,folded:string,mode:string,line:int>>, "
+    "heritage array<struct<child:string,parent:string,kind:string>>, constants array<struct<name:string,value:string>>, bindings array<struct<name:string,type:string>>"
+)
+FACTS = ("defs", "imports", "refs", "routes", "sites", "heritage", "constants", "bindings")
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """One row of definitions, imports, references and routes a file; a file that can't be parsed has an error and nothing else."""
+    """One row a file of what it defines, imports, calls and serves, and of the sites that speak to the outside; a file that can't be parsed has an error and nothing else."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for file, language, content in zip(frame["file"], frame["language"], frame["content"], strict=True):
-                unit = {"defs": [], "imports": [], "refs": [], "routes": []}
+                unit = {name: [] for name in FACTS}
                 error = None
                 try:
                     text = bytes(content).decode("utf-8", "replace")
-                    unit = {"python": parse_python, "java": parse_java}.get(language, parse_generic)(file, text)
+                    unit |= parse_python(file, text) if language == "python" else parse_braced(file, text, language) if language in TYPE_WORDS else parse_generic(file, text)
                 except (SyntaxError, ValueError, RecursionError) as e:
                     error = f"{type(e).__name__}: {e}"
                 rows.append({"file": file, "language": language, "error": error, **unit})
-            yield pd.DataFrame(rows, columns=["file", "language", "error", "defs", "imports", "refs", "routes"])
+            yield pd.DataFrame(rows, columns=["file", "language", "error", *FACTS])
 
     return files.select("file", "language", "content").mapInPandas(run, UNIT)
 
@@ -91,7 +103,17 @@ def _loop_depth(node: ast.AST) -> int:
 def parse_python(file: str, text: str) -> dict:
     tree = ast.parse(text)
     module = re.sub(r"(/__init__)?\.py$", "", file).replace("/", ".")
-    out: dict = {"defs": [], "imports": [], "refs": [], "routes": []}
+    constants, classes, tokens = python_constants(tree), [], python_classes(text)
+    out: dict = {"defs": [], "imports": [], "refs": [], "routes": [], "sites": [], "constants": [{"name": k, "value": v} for k, v in constants.items()]}
+
+    def sites(node: ast.AST, ident: str) -> None:
+        """Sites outside of inner functions, which are visited themselves."""
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                continue
+            if isinstance(child, ast.Call) and (site := python_site(child, ident, constants)) is not None:
+                out["sites"].append(site)
+            sites(child, ident)
 
     def visit(node: ast.AST, owner: str, in_class: bool) -> None:
         for child in ast.iter_child_nodes(node):
@@ -100,16 +122,18 @@ def parse_python(file: str, text: str) -> dict:
                 arity = len(child.args.posonlyargs + child.args.args) - in_class
                 ident = f"{kind}:{owner}#{child.name}/{arity}"
                 branches = sum(isinstance(n, _BRANCHES) for n in ast.walk(child))
-                out["defs"].append({"id": ident, "kind": kind, "name": child.name, "first": child.lineno, "last": child.end_lineno, "cyclomatic": 1 + branches, "loop_depth": _loop_depth(child)})
+                size, minhash = python_signature(tokens, child.lineno, child.end_lineno or child.lineno)
+                out["defs"].append({"id": ident, "kind": kind, "name": child.name, "first": child.lineno, "last": child.end_lineno, "cyclomatic": 1 + branches, "cognitive": python_cognitive(child), "loop_depth": _loop_depth(child), "leaf_tokens": size, "minhash": minhash})
+                sites(child, ident)
                 for d in child.decorator_list:
                     if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
                         verb = d.func.attr.upper()
                         if verb in ("GET", "POST", "PUT", "PATCH", "DELETE"):
-                            out["routes"].append({"method": verb, "path": d.args[0].value, "handler": ident})
+                            out["routes"].append({"method": verb, "path": d.args[0].value, "handler": ident, "framework": "decorator"})
                         elif verb == "ROUTE":
                             methods = next((k.value for k in d.keywords if k.arg == "methods"), None)
                             names = [e.value for e in methods.elts if isinstance(e, ast.Constant)] if isinstance(methods, (ast.List, ast.Tuple)) else ["GET"]
-                            out["routes"] += [{"method": n.upper(), "path": d.args[0].value, "handler": ident} for n in names]
+                            out["routes"] += [{"method": n.upper(), "path": d.args[0].value, "handler": ident, "framework": "decorator"} for n in names]
                 for n in ast.walk(child):
                     if isinstance(n, ast.Call):
                         name = n.func.attr if isinstance(n.func, ast.Attribute) else n.func.id if isinstance(n.func, ast.Name) else None
@@ -118,7 +142,8 @@ def parse_python(file: str, text: str) -> dict:
                 visit(child, f"{owner}.{child.name}", False)
             elif isinstance(child, ast.ClassDef):
                 full = f"{owner}.{child.name}"
-                out["defs"].append({"id": f"Class:{full}", "kind": "Class", "name": child.name, "first": child.lineno, "last": child.end_lineno, "cyclomatic": 0, "loop_depth": 0})
+                out["defs"].append({"id": f"Class:{full}", "kind": "Class", "name": child.name, "first": child.lineno, "last": child.end_lineno, "cyclomatic": 0, "cognitive": 0, "loop_depth": 0, "leaf_tokens": 0, "minhash": None})
+                classes.append((f"Class:{full}", child))
                 visit(child, full, True)
             elif isinstance(child, ast.Import):
                 out["imports"] += [{"raw": a.name, "is_wildcard": False} for a in child.names]
@@ -129,85 +154,32 @@ def parse_python(file: str, text: str) -> dict:
                 visit(child, owner, in_class)
 
     visit(tree, module, False)
-    return out
+    sites(tree, f"File:{file}")
+    return out | {"heritage": heritage_of(classes)}
 
 
-_JAVA_TYPE = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
-_JAVA_METHOD = re.compile(r"^\s*(?:(?:public|protected|private|static|final|abstract|synchronized|default)\s+)*[\w<>\[\],.? ]+\s+(\w+)\s*\(([^()]*)\)\s*(?:throws [\w., ]+)?\{", re.MULTILINE)
-_JAVA_ROUTE = re.compile(r"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*(?:\(\s*(?:value\s*=\s*)?\"([^\"]*)\"[^)]*\))?")
 _CALL = re.compile(r"\b(\w+)\s*\(")
 _KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "synchronized", "try", "super", "this", "def", "function", "func", "fn"}
 
 
-def parse_java(file: str, text: str) -> dict:
-    """Types, methods, calls and Spring routes by patterns; braces give the ends. Comments and literals are blanked first, lines stay."""
-    blank = re.sub(r"//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.DOTALL)
-    plain = re.sub(r"\"(?:\\.|[^\"\\\n])*\"", lambda m: '"' + " " * (len(m[0]) - 2) + '"', blank)
-    package = re.search(r"^\s*package\s+([\w.]+)\s*;", plain, re.MULTILINE)
-    prefix = package[1] + "." if package else ""
-    line = lambda at: plain.count("\n", 0, at) + 1
-    out: dict = {"defs": [], "imports": [{"raw": m[1], "is_wildcard": m[1].endswith("*")} for m in re.finditer(r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;", plain, re.MULTILINE)], "refs": [], "routes": []}
-
-    def close(at: int) -> int:
-        depth = 0
-        for i in range(plain.find("{", at), len(plain)):
-            depth += (plain[i] == "{") - (plain[i] == "}")
-            if not depth:
-                return i
-        return len(plain)
-
-    types = [(m.start(), close(m.start()), m[1], m[2]) for m in _JAVA_TYPE.finditer(plain) if "{" in plain[m.start() :]]
-    for a, b, kind, name in types:
-        out["defs"].append({"id": f"{kind.capitalize()}:{prefix}{name}", "kind": kind.capitalize(), "name": name, "first": line(a), "last": line(b), "cyclomatic": 0, "loop_depth": 0})
-    bases = {name: m[2] or "" for a, _, _, name in types if (m := _last(_JAVA_ROUTE, blank, max((e for s, e, *_ in types if e < a), default=0), a))}
-    end_before = 0
-    for m in _JAVA_METHOD.finditer(plain):
-        if m[1] in _KEYWORDS:
-            continue
-        owners = [t for t in types if t[0] < m.start() < t[1]]
-        if not owners:
-            continue
-        owner = owners[-1][3]
-        stop = close(m.end() - 1)
-        body = plain[m.end() : stop]
-        arity = len([p for p in m[2].split(",") if p.strip()])
-        ident = f"Method:{prefix}{owner}#{m[1]}/{arity}"
-        branches = len(re.findall(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?", body))
-        out["defs"].append({"id": ident, "kind": "Method", "name": m[1], "first": line(m.start(1)), "last": line(stop), "cyclomatic": 1 + branches, "loop_depth": min(1, len(re.findall(r"\b(?:for|while)\b", body)))})
-        out["refs"] += [{"name": c[1], "owner": ident, "line": line(m.end() + c.start())} for c in _CALL.finditer(body) if c[1] not in _KEYWORDS]
-        route = _last(_JAVA_ROUTE, blank, max(end_before, owners[-1][0]), m.start(1))
-        if route:
-            path = re.sub("/+", "/", "/" + bases.get(owner, "") + "/" + (route[2] or ""))
-            out["routes"].append({"method": "ANY" if route[1] == "Request" else route[1].upper(), "path": path.rstrip("/") or "/", "handler": ident})
-        end_before = stop
-    return out
-
-
-def _last(pattern: re.Pattern, text: str, start: int, end: int) -> re.Match | None:
-    found = None
-    for found in pattern.finditer(text, start, end):  # noqa: B007
-        pass
-    return found
-
-
 _GENERIC_DEF = re.compile(r"^\s*(?:export\s+|pub\s+|public\s+|private\s+|async\s+|static\s+)*(?:(class|struct|trait|interface|enum|module|type)|(def|fn|func|fun|function|sub|proc))\s+(\w+)", re.MULTILINE)
 
 
 def parse_generic(file: str, text: str) -> dict:
-    """Types, functions and calls of other languages, by the keywords that open them."""
+    """Types, functions and calls of languages without braces, by the keywords that open them."""
     module = re.sub(r"\.\w+$", "", file).replace("/", ".")
     out: dict = {"defs": [], "imports": [], "refs": [], "routes": []}
     for m in _GENERIC_DEF.finditer(text):
         kind = "Class" if m[1] else "Function"
         at = text.count("\n", 0, m.start(3)) + 1
-        out["defs"].append({"id": f"{kind}:{module}#{m[3]}" if m[2] else f"{kind}:{module}.{m[3]}", "kind": kind, "name": m[3], "first": at, "last": at, "cyclomatic": 0, "loop_depth": 0})
+        out["defs"].append({"id": f"{kind}:{module}#{m[3]}" if m[2] else f"{kind}:{module}.{m[3]}", "kind": kind, "name": m[3], "first": at, "last": at, "cyclomatic": 0, "cognitive": 0, "loop_depth": 0, "leaf_tokens": 0, "minhash": None})
     out["refs"] = [{"name": c[1], "owner": f"File:{file}", "line": text.count("\n", 0, c.start()) + 1} for c in _CALL.finditer(text) if c[1] not in _KEYWORDS]
     return out
 
 
 def definitions(units: DataFrame) -> DataFrame:
     """Nodes of all definitions, one an id, the first by file."""
-    rows = units.select("file", F.explode("defs").alias("d")).select("d.id", "d.kind", "d.name", "file", F.col("d.first").alias("start_line"), F.col("d.last").alias("end_line"), "d.cyclomatic", "d.loop_depth")
+    rows = units.select("file", F.explode("defs").alias("d")).select("d.id", "d.kind", "d.name", "file", F.col("d.first").alias("start_line"), F.col("d.last").alias("end_line"), "d.cyclomatic", "d.cognitive", "d.loop_depth", "d.leaf_tokens", F.col("d.minhash").alias("signature"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("file", "start_line"))).where("rank = 1").drop("rank")
 
 
@@ -220,3 +192,40 @@ def call_edges(units: DataFrame) -> DataFrame:
     both = local.join(only(defs, "name"), "name", "left").where("own IS NOT NULL OR dst IS NOT NULL")
     edge = both.select("src", F.coalesce("own", "dst").alias("dst"), F.when(F.col("own").isNotNull(), 0.9).otherwise(0.7).alias("confidence"), "line").where("src <> dst")
     return edge.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.slice(F.sort_array(F.collect_set("line")), 1, 20).alias("lines")).withColumn("kind", F.lit("CALLS"))
+
+
+def contract_sites(units: DataFrame) -> DataFrame:
+    """file and the columns of each site, for ``contract_edges``."""
+    return units.select("file", F.explode("sites").alias("s")).select("file", "s.*")
+
+
+def route_graph(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Route nodes, one a verb and path, and HANDLES_ROUTE edges of their handlers."""
+    rows = units.select("file", F.explode("routes").alias("r")).select("file", F.concat_ws(" ", "r.method", "r.path").alias("name"), "r.handler", "r.framework")
+    nodes = rows.groupBy("name").agg(F.min("file").alias("file")).select(F.concat(F.lit("Route:"), "name").alias("id"), F.lit("Route").alias("kind"), "name", "file")
+    held = rows.where("handler IS NOT NULL").groupBy("handler", "name").agg(F.min("framework").alias("framework"))
+    return nodes, held.select(F.col("handler").alias("src"), F.concat(F.lit("Route:"), "name").alias("dst"), F.lit("HANDLES_ROUTE").alias("kind"), F.lit(1.0).alias("confidence"), F.col("framework").alias("reason"))
+
+
+def query_graph(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """DbQuery and DbTable nodes, EXECUTES_QUERY edges, and READS_TABLE and WRITES_TABLE edges of each query.
+
+    SQL names its tables itself; object mappers name one table. A query known by its text
+    counts .9, one whose text constants gave .8.
+    """
+    own = contract_sites(units).where("kind = 'query'").withColumn("text", F.coalesce("literal", "folded"))
+    own = own.withColumn("query", F.concat(F.lit("DbQuery:"), "file", F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.substring(F.sha2("text", 256), 1, 8)))
+    mapped = F.array(F.struct(F.upper("text").alias("table"), F.col("mode").alias("mode")))
+    touched = own.withColumn("tables", F.when(F.col("mode").isNull(), tables_of(F.col("text"))).otherwise(mapped)).select("query", F.explode("tables").alias("t"))
+    operation = F.coalesce(sql_operation(F.col("text")), F.upper("method"))
+    queries = own.groupBy("query").agg(F.min(F.concat_ws(" ", operation, F.col("framework"))).alias("name"), F.min("file").alias("file"))
+    nodes = queries.select(F.col("query").alias("id"), F.lit("DbQuery").alias("kind"), "name", "file")
+    nodes = nodes.unionByName(touched.select(F.concat(F.lit("DbTable:"), "t.table").alias("id"), F.lit("DbTable").alias("kind"), F.col("t.table").alias("name"), F.lit(None).cast("string").alias("file")).distinct())
+    runs = own.select("src", F.col("query").alias("dst"), F.lit("EXECUTES_QUERY").alias("kind"), F.when(F.col("literal").isNotNull(), 0.9).otherwise(0.8).alias("confidence"))
+    uses = touched.select(F.col("query").alias("src"), F.concat(F.lit("DbTable:"), "t.table").alias("dst"), F.when(F.col("t.mode") == "Write", "WRITES_TABLE").otherwise("READS_TABLE").alias("kind"), F.lit(0.9).alias("confidence"))
+    return nodes, runs.unionByName(uses).groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"))
+
+
+def body_signatures(units: DataFrame) -> DataFrame:
+    """id and signature of callables whose bodies are long enough, for ``similar_pairs``."""
+    return definitions(units).where("signature IS NOT NULL").select("id", "signature")
