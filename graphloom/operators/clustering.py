@@ -9,10 +9,10 @@ are fixed, so the result is a function of the edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import numbered, written
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> float:
@@ -54,9 +54,10 @@ def _move(edges: DataFrame, resolution: float, passes: int) -> DataFrame:
         moved = state.join(named, "id", "left").join(alone, "id", "left").select("id", F.when(turn & (F.col("stay") == 0) & (F.col("gain") > F.coalesce("here", F.lit(0.0))), F.col("new")).otherwise(F.col("community")).alias("community"), "k")
         before = state.select("id", F.col("community").alias("was"))
         state = written(moved, "state")
-        if p % 2 and state.join(before, "id").where("community <> was").isEmpty() and still:
+        calm = state.join(before, "id").where("community <> was").isEmpty()
+        if p % 2 and calm and still:
             break
-        still = state.join(before, "id").where("community <> was").isEmpty()
+        still = calm
     return state.select("id", "community")
 
 
@@ -113,8 +114,7 @@ def heuristic_labels(membership: DataFrame, nodes: DataFrame, generic: tuple[str
     ends = own.groupBy("community").agg(F.min("stem").alias("a"), F.max("stem").alias("b"))
     shared = F.expr("aggregate(sequence(1, least(length(a), length(b)) + 1), 0, (n, k) -> if(substring(a, 1, k) = substring(b, 1, k) AND n = k - 1 AND k <= least(length(a), length(b)), k, n))")
     stem = ends.select("community", F.substring("a", F.lit(1), shared).alias("prefix"))
-    number = membership.select("community").distinct()
-    place = number.withColumn("place", F.row_number().over(Window.orderBy("community")) - 1)  # a row a community
+    place = numbered(membership.select("community").distinct(), "community", "place")
     return place.join(named, "community", "left").join(stem, "community", "left").select("community", F.coalesce("label", F.when(F.length("prefix") >= 3, F.col("prefix")), F.concat(F.lit("Cluster_"), "place")).alias("label"))
 
 

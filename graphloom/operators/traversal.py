@@ -29,9 +29,9 @@ class Reached:
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
-    """(src, dst) in the order of the walk: down follows edges, up goes against them."""
+    """(src, dst) in the order of the walk, repeats included: down follows edges, up goes against them."""
     down, up = edges.select("src", "dst"), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"down": down, "up": up, "both": down.union(up)}[direction].distinct()
+    return {"down": down, "up": up, "both": down.union(up)}[direction]
 
 
 def reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "down", depth: int = 4, node_budget: int | None = None, stop: DataFrame | None = None) -> Reached:
@@ -42,7 +42,7 @@ def reach(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str =
     stops after the level that exceeds it and isn't complete.
     """
     bounded("depth", depth, 1, 20)
-    steps = written(directed(edges, direction), "steps")
+    steps = written(directed(edges, direction), "steps")  # a level groups by node, so repeated edges needn't be shuffled away first
     names = written(nodes.select(F.col("id").alias("src"), F.col("name").alias("src_name")), "names")
     seen = written(roots.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("string")), "level")
     frontier, size, total = seen, seen.count(), 0

@@ -325,13 +325,22 @@ def G9_call_chain(spark, d):
     return G.call_chains(edges, first, last, 3).select(F.array_join("path", "->").alias("path"), "hops")
 
 
-@query(None)
+_TRACES_SQL = f"""WITH RECURSIVE {FLOW_SQL},
+narrow AS (SELECT src, dst FROM (SELECT DISTINCT src, dst FROM edges WHERE confidence >= 0.5) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3),
+walk AS (SELECT src AS entry, src AS node, [src] AS path FROM (SELECT DISTINCT src FROM edges) UNION ALL SELECT w.entry, n.dst, list_append(w.path, n.dst) FROM walk w JOIN narrow n ON n.src = w.node WHERE len(w.path) <= 5 AND NOT list_contains(w.path, n.dst)),
+followed AS (SELECT DISTINCT w.path FROM walk w JOIN narrow n ON n.src = w.node WHERE len(w.path) <= 5 AND NOT list_contains(w.path, n.dst)),
+traces AS (SELECT entry, path FROM walk WHERE len(path) >= 3 AND path NOT IN (SELECT path FROM followed) QUALIFY row_number() OVER (PARTITION BY entry ORDER BY len(path) DESC, path) <= 9),
+texts AS (SELECT entry, path[-1] AS last, len(path) AS n, array_to_string(path, '->') AS path FROM traces)
+"""
+
+
+@query(_TRACES_SQL + "SELECT entry, path FROM texts")
 def G12_process_tracing(spark, d):
     edges = flow_edges(spark, d)
     return G.trace_processes(edges, edges.select(F.col("src").alias("id")).distinct(), 0.5, 3, 5, 3).select("entry", F.array_join("path", "->").alias("path"))
 
 
-@query(None)
+@query(_TRACES_SQL + "SELECT entry, path FROM texts t WHERE NOT EXISTS (SELECT 1 FROM texts u WHERE u.n > t.n AND contains('->' || u.path || '->', '->' || t.path || '->')) QUALIFY row_number() OVER (PARTITION BY entry, last ORDER BY n DESC, path) = 1")
 def G13_trace_dedup(spark, d):
     edges = flow_edges(spark, d)
     traces = G.trace_processes(edges, edges.select(F.col("src").alias("id")).distinct(), 0.5, 3, 5, 3)

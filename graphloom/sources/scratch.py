@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -47,3 +47,12 @@ def remove(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, row_bytes: int = 128) -> DataFrame:
     """The table marked for broadcast if its counted rows stay within BROADCAST_BYTES; otherwise a join shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with distinct keys and each one's place from 0 in the order of the key; ranges are numbered apart, so no task sees all rows."""
+    ranged = written(df.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, place).select(*df.columns, name)
