@@ -66,3 +66,23 @@ def test_features(spark):
     assert [(r.id, r.feature) for r in features.by_centroid(vectors, structure).collect()] == [("n2", "shop")]
     both = features.assign([lambda _: package, lambda prior: features.by_structure(nodes, edges, prior)])
     assert {r.id: r.feature for r in both.collect()} == {"n1": "shop", "n2": "common", "n3": "pay"}
+
+
+def test_nearest_centers(spark):
+    import numpy as np
+
+    from graphloom.operators.similarity import nearest_center
+
+    rng = np.random.default_rng(5)
+    rows, means = rng.normal(size=(40, 4)), rng.normal(size=(6, 4))
+    means[3] = means[2] * 2  # the same direction
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(99, None)], "id long, embedding array<double>")
+    centers = spark.createDataFrame([(f"f{i}", [float(x) for x in v]) for i, v in enumerate(means)], "feature string, mean array<double>")
+    want = {}
+    for i, v in enumerate(rows):
+        scored = [(round(float(v @ m / np.linalg.norm(v) / np.linalg.norm(m)), 6), f"f{k}") for k, m in enumerate(means)]
+        want[i] = max(scored)
+    for block in (4096, 2):
+        got = {r.id: (round(r.confidence, 6), r.feature) for r in nearest_center(vectors, centers, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 2e-6 for i in want)
+    assert nearest_center(vectors, centers.limit(0)).count() == 0
