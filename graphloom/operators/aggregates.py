@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..schemas import CALLABLE_KINDS
 
@@ -135,24 +138,48 @@ def route_groups(routes: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def mean_vectors(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """The mean vector of each key and its number of rows. Each task adds up its own rows, so a row a key and task is shuffled, whatever a group's size. Vectors of one key have one length; null vectors count for nothing."""
+    """The mean vector of each key and its number of rows. Each task adds up its own rows, so a row a key and task is shuffled, whatever a group's size.
 
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Each place is the mean of what is known there, so vectors may differ in length and hold
+    nulls; null and empty vectors count as rows only. A key without any place has no mean.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
-        for frame in frames:
-            frame = frame[frame["v"].map(lambda v: v is not None)]
-            for name, rows in frame.groupby("key", dropna=False)["v"]:
-                name = None if pd.isna(name) else name
-                s, n = total.get(name, (0.0, 0))
-                total[name] = (s + np.stack(rows.to_numpy()).astype(np.float64).sum(axis=0), n + len(rows))
-        yield pd.DataFrame({"key": list(total), "sums": [s for s, _ in total.values()], "n": [n for _, n in total.values()]})
-
-    kind = dict(vectors.dtypes)[key]
-    parts = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(sums, f"key {kind}, sums array<double>, n long")
-    zero = F.array().cast("array<double>")
-    added = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, b: a + b))
-    grouped = parts.groupBy("key").agg(F.collect_list("sums").alias("s"), F.sum("n").alias("n"))  # a row a task
-    return grouped.select(F.col("key").alias(key), F.transform(F.aggregate("s", zero, added), lambda x: x / F.col("n")).alias("mean"), "n")
+        for batch in batches:
+            keys, lists = batch.column(0).dictionary_encode("encode"), batch.column(1)
+            names, codes = keys.dictionary.to_pylist(), keys.indices.to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            width, values = int(sizes.max(initial=0)), lists.flatten()
+            place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cell = (np.repeat(codes, sizes) * width + place)[known := pc.is_valid(values).to_numpy(zero_copy_only=False)]
+            added = np.bincount(cell, values.to_numpy(zero_copy_only=False)[known].astype(np.float64), len(names) * width).reshape(len(names), width)
+            counted = np.bincount(cell, minlength=len(names) * width).reshape(len(names), width)
+            length = np.zeros(len(names), dtype=np.int64)
+            np.maximum.at(length, codes, sizes)
+            for k, n in enumerate(np.bincount(codes, minlength=len(names))):
+                s, c, m = total.get(names[k], (np.zeros(0), np.zeros(0, dtype=np.int64), 0))
+                own = slice(0, int(length[k]))
+                total[names[k]] = (_padded_sum(s, added[k, own]), _padded_sum(c, counted[k, own]), m + int(n))
+        if total:
+            s, c, n = zip(*total.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), kind), pa.array([x.tolist() for x in s], pa.list_(pa.float64())), pa.array([x.tolist() for x in c], pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["key", "sums", "counts", "n"])
+
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
+    kind = to_arrow_type(rows.schema["key"].dataType)
+    parts = rows.mapInArrow(sums, StructType([rows.schema["key"], *StructType.fromDDL("sums array<double>, counts array<long>, n long").fields]))
+    added = lambda kind: lambda acc, x: F.zip_with(acc, x, lambda a, b: F.coalesce(a, F.lit(0).cast(kind)) + F.coalesce(b, F.lit(0).cast(kind)))
+    every = lambda name, kind: F.aggregate(F.collect_list(name), F.array().cast(f"array<{kind}>"), added(kind))
+    grouped = parts.groupBy("key").agg(every("sums", "double").alias("s"), every("counts", "long").alias("c"), F.sum("n").alias("n"))  # a row a task
+    return grouped.where(F.size("s") > 0).select(F.col("key").alias(key), F.zip_with("s", "c", lambda x, n: F.when(n > 0, x / n)).alias("mean"), "n")
+
+
+def _padded_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    out = a.copy()
+    out[: len(b)] += b
+    return out
 
 
 def transitions_between(kinds: DataFrame, groups: DataFrame) -> DataFrame:
