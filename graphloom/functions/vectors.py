@@ -20,6 +20,20 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
 
 
+def known_cosine(a: Column, b: Column) -> Column:
+    """The cosine over the places of the first vector, nulls as zeros, within -1 and 1; null if a norm is zero."""
+    value = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    pairs = F.zip_with(a, F.slice(b, F.lit(1), F.size(a)), lambda x, y: F.struct(value(x).alias("x"), value(y).alias("y")))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("xy", "xx", "yy")))
+    add = lambda s, p: F.struct((s["xy"] + p["x"] * p["y"]).alias("xy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"))
+
+    def finish(s: Column) -> Column:
+        size = F.sqrt(s["xx"] * s["yy"])
+        return F.when(size != 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s["xy"] / size)))
+
+    return F.aggregate(pairs, zero, add, finish)
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 for empty vectors, vectors of different lengths and zero vectors."""
     usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm(a) > 0) & (norm(b) > 0)
