@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import join_route, type_pattern, wildcard_segments
 from ..sources.scratch import small, written
-from .contracts import best_tier, inherited_members, resolve_types, unique_by
+from .contracts import best_tier, first_overloads, inherited_members, resolve_types, unique_by, with_exact
 
 
 def receiver_types(refs: DataFrame, bindings: DataFrame) -> DataFrame:
@@ -64,14 +64,17 @@ def static_imports(refs: DataFrame, imports: DataFrame, defs: DataFrame) -> Data
     """Members that calls without a receiver mean through static imports: ref, id.
 
     imports: file, raw (``owner.member`` or ``owner.*``), is_static. The named import comes
-    before the wildcard, of one owner the same arity before any overload, then the id.
+    before the wildcard, of one owner the same arity before any overload, then the id. Each
+    distinct (name, arity, file) is resolved once, against the first overloads only.
     """
-    own = imports.where("is_static").select("file", F.regexp_replace("raw", r"\.[^.]*$", "").alias("owner"), F.substring_index("raw", ".", -1).alias("member"))
-    open_ = refs.where("receiver IS NULL").select("ref", "name", "arity", "file").join(own, "file").where("member = name OR member = '*'")
-    d = defs.select("id", F.col("owner"), F.col("name"), F.col("arity").alias("d_arity"))
-    found = open_.join(d, ["owner", "name"])
-    order = F.row_number().over(Window.partitionBy("ref").orderBy(F.col("member") == "*", F.when(F.col("arity").eqNullSafe(F.col("d_arity")), 0).otherwise(1), "id"))
-    return found.withColumn("rank", order).where("rank = 1").select("ref", "id")
+    own = imports.where("is_static").select("file", F.regexp_replace("raw", r"\.[^.]*$", "").alias("owner"), F.substring_index("raw", ".", -1).alias("member")).distinct()
+    open_ = refs.where("receiver IS NULL").select("ref", "name", "arity", "file")
+    asked = open_.select("name", "arity", "file").distinct()
+    imported = asked.join(own, "file").where("member = name OR member = '*'").join(first_overloads(defs, exact=False), ["owner", "name"])
+    order = F.struct((F.col("member") == "*").alias("wild"), F.col("exact").isNull().alias("other"), F.coalesce("exact", "any").alias("id"))
+    best = with_exact(imported, first_overloads(defs, exact=True)).groupBy("name", F.col("arity").alias("b_arity"), "file").agg(F.min(order).alias("best"))
+    found = open_.join(best, ["name", "file"]).where(F.col("arity").eqNullSafe(F.col("b_arity")))
+    return found.groupBy("ref").agg(F.min("best").alias("best")).select("ref", "best.id")
 
 
 def http_wrappers(sites: DataFrame, wrappers: DataFrame, imports: DataFrame) -> DataFrame:

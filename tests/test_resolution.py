@@ -115,3 +115,16 @@ def test_members_of_many_overloads(spark):
         tier = lambda d, s=s: (2 if d.kind == "Field" else 0 if s.arity == d.arity else 1, d.id)
         want[s.site] = min(tier(d) for d in every if d.name == s.name)[1]
     assert {r.site: r.id for r in rows} == want and most < 2000
+
+
+def test_static_imports_of_many_overloads(spark):
+    refs = spark.range(300).selectExpr("id AS ref", "CAST(NULL AS string) AS receiver", "IF(id % 2 = 0, 'm', 'f') AS name", "IF(id % 4 = 0, NULL, id % 5) AS arity", "id % 3 AS file")
+    imports = spark.createDataFrame([(0, "p.A.m", True), (0, "p.B.*", True), (0, "p.B.*", True), (1, "p.B.*", True), (2, "p.A.*", False)], "file long, raw string, is_static boolean")
+    defs = spark.range(400).selectExpr("id", "IF(id % 3 = 0, 'p.A', 'p.B') AS owner", "IF(id % 2 = 0, 'm', 'f') AS name", "id % 4 AS arity")
+    rows, most = most_rows(resolution.static_imports(refs, imports, defs))
+    want, every = {}, defs.collect()
+    for r in refs.collect():
+        hits = [(m == "*", r.arity != d.arity, d.id) for f, o, m in ((0, "p.A", "m"), (0, "p.B", "*"), (1, "p.B", "*")) if f == r.file and m in (r.name, "*") for d in every if (d.owner, d.name) == (o, r.name)]
+        if hits:
+            want[r.ref] = min(hits)[2]
+    assert {r.ref: r.id for r in rows} == want and most < 2000
